@@ -1,8 +1,6 @@
 """The registered queries of this subpackage, and their SQL for DuckDB where SQL can express them."""
 
-from pyspark.sql import functions as F
-
-from tallyforge.llm import packing, quality_rules, secret_scans
+from tallyforge.llm import gif_media, language_id, packing, quality_rules, secret_scans, sentencepiece_bpe
 from tallyforge.llm.common import documents
 
 
@@ -10,15 +8,27 @@ def op3_best_fit_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op4_gif_media(spark, sf_dir):
+    return gif_media.digests(gif_media.texts_as_gifs(documents(spark, sf_dir, "doc_id", "text")))
+
+
+def op5_language_id(spark, sf_dir):
+    return language_id.identify(documents(spark, sf_dir, "doc_id", "text", "lang"))
+
+
 def op6_quality_rules(spark, sf_dir):
     docs = documents(spark, sf_dir, "doc_id", "source", "text").withColumnRenamed("source", "host")
     out = quality_rules.quality_rules(docs)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words", "depleted")
 
 
+def op7_sentencepiece(spark, sf_dir):
+    return sentencepiece_bpe.digests(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op8_secret_scans(spark, sf_dir):
     return secret_scans.secret_scans(documents(spark, sf_dir, "doc_id", "text")).drop("found")
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op6_quality_rules, op8_secret_scans)}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_gif_media, op5_language_id, op6_quality_rules, op7_sentencepiece, op8_secret_scans)}
 ORACLE_SQL: dict[str, str] = {}
