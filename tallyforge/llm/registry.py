@@ -1,9 +1,26 @@
 """The registered queries of this subpackage, and their SQL for DuckDB where SQL can express them."""
 
-from tallyforge.llm import gif_media, language_id, packing, quality_rules, secret_scans, sentencepiece_bpe
+from pyspark.sql import functions as F
+
+from tallyforge.llm import gif_media, kd_sharding, language_id, packing, quality_rules, secret_scans, sentencepiece_bpe, url_filters
 from tallyforge.llm.common import documents
 
 
+#: The fixed rules of op1.
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op1_url_filters(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return url_filters.judge(url_filters.labelled_pages(pages, labels), RULES)
+
+
+def op2_kd_sharding(spark, sf_dir):
+    out = kd_sharding.shard(documents(spark, sf_dir, "doc_id", "text", "lang", "source"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op3_best_fit_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -30,5 +47,5 @@ def op8_secret_scans(spark, sf_dir):
     return secret_scans.secret_scans(documents(spark, sf_dir, "doc_id", "text")).drop("found")
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_gif_media, op5_language_id, op6_quality_rules, op7_sentencepiece, op8_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_kd_sharding, op3_best_fit_packing, op4_gif_media, op5_language_id, op6_quality_rules, op7_sentencepiece, op8_secret_scans)}
 ORACLE_SQL: dict[str, str] = {}
