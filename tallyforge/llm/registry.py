@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyforge.llm import gif_media, kd_sharding, language_id, packing, quality_rules, secret_scans, sentencepiece_bpe, url_filters
+from tallyforge.llm import gif_media, jaccard_join, kd_sharding, language_id, packing, quality_rules, secret_scans, sentencepiece_bpe, url_filters
 from tallyforge.llm.common import documents
 
 
@@ -47,5 +47,9 @@ def op8_secret_scans(spark, sf_dir):
     return secret_scans.secret_scans(documents(spark, sf_dir, "doc_id", "text")).drop("found")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_kd_sharding, op3_best_fit_packing, op4_gif_media, op5_language_id, op6_quality_rules, op7_sentencepiece, op8_secret_scans)}
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard_join.linked(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_kd_sharding, op3_best_fit_packing, op4_gif_media, op5_language_id, op6_quality_rules, op7_sentencepiece, op8_secret_scans, op9_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
