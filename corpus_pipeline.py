@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import packing, quality_rules, secret_scans
+from tallyforge.llm import jaccard_join, packing, quality_rules, repeated_bytes, secret_scans
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -10,6 +10,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.cleaned(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near copies."""
+    return jaccard_join.one_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without passages that an earlier document holds."""
+    return repeated_bytes.without_repeats(docs)
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every found secret masked."""
     return secret_scans.redacted(docs)
@@ -20,7 +30,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("quality_rules", quality), ("secret_scans", secrets), ("best_fit_packing", packed)]
+STAGES = [("quality_rules", quality), ("jaccard_join", near_duplicates), ("suffix_array_dedup", repeated_passages), ("secret_scans", secrets), ("best_fit_packing", packed)]
 
 #: Not expressible: the stages pass whole texts through hashing and a tokenizer.
 ORACLE_SQL = None

@@ -345,3 +345,12 @@ def linked(docs: DataFrame, region_shingles: int = REGION_SHINGLES, range_shingl
     least = labelled.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = labelled.join(least, "root", "left")
     return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, **sizes) -> DataFrame:
+    """``docs`` (doc_id, text and more) with the document of the smallest id of every component; rows of one document stay or go together."""
+    verdicts = linked(docs.select("doc_id", "text"), **sizes).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = verdicts.select(F.col("doc_id").alias("_id"), "text_key")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("_key"), F.struct(*docs.columns).alias("_all"))
+    kept = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("text_key")), "left_semi")
+    return kept.select("_all.*")
