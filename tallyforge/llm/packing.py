@@ -11,6 +11,7 @@ capacity are cut; repeated rows are packed each; an empty table gives an empty t
 columns aren't read.
 """
 
+import struct
 import zlib
 from collections import defaultdict
 from functools import lru_cache
@@ -24,7 +25,7 @@ from tallyforge.llm.common import over_batches, ranked, stored
 CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a Python worker keeps.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 
 
 def vocabulary(name: str) -> str:
@@ -51,19 +52,28 @@ def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     and kept; spaces and newlines part words here, other white space stays for the tokenizer.
     """
     tokenizer, known = _tokenizer(path)
-    split = [(t or "").replace("\n", " ").split(" ") for t in texts]
     out, block = [], 64
-    for i in range(0, len(split), block):
+    for i in range(0, len(texts), block):
         if len(known) > CACHED_WORDS:
             known.clear()
-        part = split[i : i + block]
-        fresh = list({w for words in part for w in words if w not in known})
-        for w, e in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        out += [b"".join([known[w] for w in words]) for words in part]
+        part = [(t or "").replace("\n", " ").split(" ") for t in texts[i : i + block]]
+        fresh = set().union(*part).difference(known)
+        stems = {w: _stem(w) for w in fresh}
+        new = list({x for s in stems.values() for x in s}.difference(known))
+        for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        for w, s in stems.items():
+            known[w] = known[s[0]] + known[s[1]]
+        out += [b"".join(map(known.__getitem__, words)) for words in part]
     return out
 
 
+def _stem(word: str) -> tuple[str, str]:
+    """Two parts of a word with the same ids: the tokenizer folds case, and parts a letter from a final stop or comma."""
+    base, end = (word[:-1], word[-1]) if word[-1:] in (".", ",") and word[-2:-1].isalpha() else (word, "")
+    return base.lower() if base.isascii() or max(base) < "\u0300" else base, end
+
+
 PIECE = {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint"}
 
 
