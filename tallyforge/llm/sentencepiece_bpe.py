@@ -195,7 +195,7 @@ def encoded(texts: list[str | None], path: str):
         if len(known) > CACHED_UNITS:
             known.clear()
         part = [units_of(model, t or "") for t in texts[i : i + 256]]
-        fresh = list({u for units in part for u in units if u not in known})
+        fresh = list(set().union(*part).difference(known))
         if fresh:
             known.update(zip(fresh, merge(model, [u if u[:1] == "\n" and model.separable else MARK + u for u in fresh]), strict=True))
         for units in part:
