@@ -57,7 +57,7 @@ def repeated_words(words: list[bytes]) -> int:
 
 def line_key(words: list[bytes]) -> int:
     """Signed 64-bit hash of a normalised line."""
-    line = re.sub(r"\d", "0", b" ".join(words).decode("utf-8", "replace").lower())
+    line = re.sub("[0-9]", "0", b" ".join(words).decode("utf-8", "replace").lower())
     return xxhash.xxh3_64_intdigest(line) - (1 << 63)
 
 

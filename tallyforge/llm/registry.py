@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import gif_media, jaccard_join, kd_sharding, language_id, packing, quality_rules, repeated_bytes, secret_scans, sentencepiece_bpe, url_filters
 from tallyforge.llm.common import documents
+from tallyforge.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
 #: The fixed rules of op1.
@@ -56,4 +57,4 @@ def op10_suffix_array_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_kd_sharding, op3_best_fit_packing, op4_gif_media, op5_language_id, op6_quality_rules, op7_sentencepiece, op8_secret_scans, op9_jaccard_join, op10_suffix_array_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+
