@@ -3,7 +3,7 @@ from decimal import Decimal
 
 import pytest
 
-from conftest import same
+from compare import same
 from tallyforge import plans
 from tallyforge.operators import value_businesses, with_starting_multiple
 from tallyforge.sources import BUSINESS, TRADE_MULTIPLE, read_businesses
