@@ -53,25 +53,4 @@ SELECT node AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, min(target)
 FROM reach LEFT JOIN sizes ON sizes.doc_id = node GROUP BY node, n
 """
 
-OP10 = """
-WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-w AS (
-  SELECT doc_id, unnest(range(0, len(x) // 2)) AS i,
-    unnest(list_transform(range(0, len(x) // 2), lambda i: CASE WHEN 2 * i + 100 <= len(x) THEN substring(x, 2 * i + 1, 100) END)) AS s,
-    unnest(list_transform(range(0, len(x) // 2), lambda i: substring(x, 2 * i + 1, 2))) AS b
-  FROM h),
-f AS (SELECT s, min(doc_id) AS first FROM w WHERE s IS NOT NULL GROUP BY s),
-c AS (
-  SELECT w.doc_id, i, b, max(coalesce(first < w.doc_id, false)) OVER (PARTITION BY w.doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
-  FROM w LEFT JOIN f ON w.s = f.s),
-g AS (SELECT *, lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER BY i) AS earlier FROM c),
-k AS (
-  SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE gone AND NOT earlier) AS n_spans,
-    coalesce(string_agg(CASE WHEN NOT gone THEN b END, '' ORDER BY i), '') AS kept
-  FROM g GROUP BY doc_id)
-SELECT h.doc_id, CAST(coalesce(n_bytes, 0) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
-  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
-FROM h LEFT JOIN k ON h.doc_id = k.doc_id
-"""
-
-ORACLE_SQL = {"op6_quality_rules": OP6, "op9_jaccard_join": OP9, "op10_suffix_array_dedup": OP10}
+ORACLE_SQL = {"op6_quality_rules": OP6, "op9_jaccard_join": OP9}

@@ -109,14 +109,18 @@ def _answers(key: np.ndarray, repeated: np.ndarray, hashes: np.ndarray, parts: i
     return {"part": used, "keys": cut(key), "repeated": cut(repeated), "hashes": cut(hashes)}
 
 
-def _settled(group: np.ndarray, string: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order of the entries; in it, which are the first of their string, and which stand in a larger document than that one."""
-    order = np.lexsort((doc, string, group))
-    g, s, d = group[order], string[order], doc[order]
+def _settled(group: np.ndarray, string: np.ndarray, doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
+    """An order of the entries; in it, where strings begin, which entries stand in a larger document than their string's
+    smallest, and which are left: once for each text of the smallest document."""
+    order = np.lexsort((key, doc, string, group))
+    g, s, d, k = group[order], string[order], doc[order], key[order]
     first = np.ones(len(g), bool)
     first[1:] = (g[1:] != g[:-1]) | (s[1:] != s[:-1])
     head = np.flatnonzero(first)
-    return order, first, d > np.repeat(d[head], np.diff(np.r_[head, len(d)]))
+    repeated = d > np.repeat(d[head], np.diff(np.r_[head, len(d)]))
+    again = np.zeros(len(g), bool)
+    again[1:] = ~first[1:] & (k[1:] == k[:-1])
+    return order, first, repeated, ~repeated & ~again
 
 
 def _dealt(entries, ranges: int, parts: int):
@@ -127,12 +131,12 @@ def _dealt(entries, ranges: int, parts: int):
         owner = np.repeat(np.arange(len(held)), sizes)
         group, string = (np.concatenate([x[i] for x in held]) for i in (2, 3))
         keys, ids = (np.array([x[i] for x in held], np.int64) for i in (0, 1))
-        order, first, repeated = _settled(group, string, ids[owner])
+        order, _, repeated, left = _settled(group, string, ids[owner], keys[owner])
         gone = order[repeated]
         done = _answers(keys[owner[gone]], np.ones(len(gone), bool), string[gone], parts)
         n = len(done["part"])
         yield {"part": [ranges + p for p in done["part"]], "keys": done["keys"], "ids": done["repeated"], "counts": [b""] * n, "groups": [b""] * n, "strings": done["hashes"]}
-        stay = np.sort(order[first])
+        stay = np.sort(order[left])
         part = (((group[stay] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
         stay = stay[np.argsort(part, kind="stable")]
         edge = np.searchsorted(np.sort(part), np.arange(ranges + 1))
@@ -167,13 +171,13 @@ def _resolved(blocks: DataFrame, ranges: int, parts: int) -> DataFrame:
         counts = get("counts", np.int32)
         key, doc = np.repeat(get("keys", np.int64), counts), np.repeat(get("ids", np.int64), counts)
         group, string = get("groups", np.uint64), get("strings", np.uint64)
-        order, first, repeated = _settled(group, string, doc)
+        order, first, repeated, left = _settled(group, string, doc, key)
         g = group[order]
         head = np.r_[True, g[1:] != g[:-1]] if len(g) else np.zeros(0, bool)
         runs = np.diff(np.r_[np.flatnonzero(head), len(g)])
         strings = np.add.reduceat(first.astype(np.int64), np.flatnonzero(head)) if len(g) else runs
         several = np.repeat(strings > 1, runs)
-        told = repeated | (first & several)
+        told = repeated | (left & several)
         own = order[told]
         return pa.Table.from_pydict(_answers(key[own], repeated[told], string[own], parts), schema=_SCHEMA(ANSWER))
 
