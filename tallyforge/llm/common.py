@@ -59,7 +59,7 @@ def over_batches(df: DataFrame, fields: dict[str, str], fn) -> DataFrame:
     return df.mapInArrow(run, ", ".join(f"`{k}` {t}" for k, t in fields.items()))
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str | Column], name: str, rows_per_bucket: int = 50_000) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[str | Column], name: str, rows_per_bucket: int = 10_000) -> DataFrame:
     """Adds ``name``: gapless numbers from 0 within each key, whatever the size of a key.
 
     Rows fall by a hash of their order columns into buckets; a bucket is numbered by itself and

@@ -27,6 +27,9 @@ BINS = 16
 #: Bytes of texts after which a batch of gifs is passed on.
 BATCH_BYTES = 4 << 20
 _FULL = 4096
+#: For images without a palette.
+_GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 4, 1)
+_GREY[:, 3] = 255
 #: Width of the j-th code after a clear code, and its first bit. A decoder has 257 + j entries before it reads it.
 _N = 1 << 14
 _WIDTH = np.minimum(12, np.maximum(9, [(257 + j).bit_length() for j in range(_N)])).astype(np.int64)
@@ -45,14 +48,10 @@ def lzw_encode(samples: bytes) -> bytes:
     codes, clears = [256], [0]
     table: dict[int, int] = {}
     get, add, entry = table.get, codes.append, 258
-    w = -1
-    for c in samples:
-        if w < 0:
-            w = c
-            continue
-        key = w << 8 | c
-        known = get(key)
-        if known is not None:
+    rest = iter(samples)
+    w = next(rest, -1)
+    for c in rest:
+        if (known := get(key := w << 8 | c)) is not None:
             w = known
             continue
         add(w)
@@ -85,13 +84,13 @@ def lzw_encode(samples: bytes) -> bytes:
 
 def lzw_decode(stream: bytes, bits: int, limit: int) -> bytes:
     """The samples of a code stream, ``limit`` at most."""
-    raw = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int64)
+    raw = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int32)
     clear, end = 1 << bits, (1 << bits) + 1
     single = [bytes([i]) for i in range(clear)]
     out, size, bit, total = [], 0, 0, 8 * len(stream)
     table, prev, read = [*single, b"", b""], b"", 0
     while bit < total and size < limit:
-        n = 4096
+        n = min(4096, (total - bit) // (bits + 1) + 1)
         width = _widths(bits, read + n)[read:]
         at = bit + np.r_[0, np.cumsum(width)]
         n = int(np.searchsorted(at[1:], total, "right"))
@@ -102,19 +101,29 @@ def lzw_decode(stream: bytes, bits: int, limit: int) -> bytes:
         codes = ((raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (at[:-1] & 7)) & ((1 << width) - 1)
         stop = np.flatnonzero((codes == clear) | (codes == end))
         upto = int(stop[0]) if len(stop) else n
-        add, grow = out.append, table.append
-        for code in codes[:upto].tolist():
-            if code < len(table):
+        told, strings = codes[:upto].tolist(), []
+        add, grow, at_first = strings.append, table.append, 0
+        if told and not prev:  # the first code after a clear code adds no entry
+            if told[0] >= clear:
+                return b"".join(out)[:limit]  # a broken stream
+            add(prev := table[told[0]])
+            at_first = 1
+        growing = min(len(told), at_first + max(0, _FULL - len(table)))
+        for code in told[at_first:growing]:
+            try:
                 own = table[code]
-            elif code == len(table) and prev:
+            except IndexError:
+                if code > len(table):
+                    return b"".join([*out, *strings])[:limit]
                 own = prev + prev[:1]
-            else:
-                return b"".join(out)[:limit]  # a broken stream
             add(own)
-            size += len(own)
-            if prev and len(table) < _FULL:
-                grow(prev + own[:1])
+            grow(prev + own[:1])
             prev = own
+        if growing < len(told):  # a full table
+            strings += map(table.__getitem__, told[growing:])
+            prev = strings[-1]
+        out.append(b"".join(strings))
+        size += len(out[-1])
         if not len(stop):
             bit, read = int(at[n]), read + n
         elif codes[upto] == end:
@@ -150,9 +159,9 @@ def decode_gif(data: bytes):
 
     def colours(flags: int, at: int):
         n = 2 << (flags & 7)
-        own = np.zeros((256, 3), np.uint8)
+        own = np.full((256, 4), (0, 0, 0, 255), np.uint8)
         got = np.frombuffer(data[at : at + 3 * n], np.uint8)
-        own[: len(got) // 3] = got[: len(got) // 3 * 3].reshape(-1, 3)
+        own[: len(got) // 3, :3] = got[: len(got) // 3 * 3].reshape(-1, 3)
         return own, at + 3 * n
 
     def blocks(at: int):
@@ -190,9 +199,11 @@ def decode_gif(data: bytes):
         before = canvas.copy() if disposal == 3 else None
         area = canvas[top : top + h, left : left + w]
         image = image[: area.shape[0], : area.shape[1]]
-        shown = image != clear if clear is not None else np.ones(image.shape, bool)
-        colour = (own if own is not None else np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, 1))[image]
-        area[shown] = np.dstack([colour, np.full(image.shape, 255, np.uint8)])[shown]
+        colour = (own if own is not None else _GREY)[image]
+        if clear is None:
+            area[:] = colour
+        else:
+            area[image != clear] = colour[image != clear]
         yield samples, canvas.copy(), delay, disposal
         if disposal == 2:
             canvas[top : top + h, left : left + w] = 0
@@ -204,9 +215,10 @@ def decode_gif(data: bytes):
 
 def histogram(canvas: np.ndarray, bins: int = BINS) -> np.ndarray:
     """Counts of visible pixels by brightness."""
-    seen = canvas[canvas[..., 3] > 0].astype(np.int64)
-    grey = (299 * seen[:, 0] + 587 * seen[:, 1] + 114 * seen[:, 2]) // 1000
-    return np.bincount(grey * bins // 256, minlength=bins)
+    flat = canvas.reshape(-1, 4)
+    seen = flat if (flat[:, 3] > 0).all() else flat[flat[:, 3] > 0]
+    red, green, blue = (seen[:, i].astype(np.uint32) for i in range(3))
+    return np.bincount((299 * red + 587 * green + 114 * blue) * bins // 256_000, minlength=bins)
 
 
 FRAMES = {"id": "bigint", "frame": "int", "delay_cs": "int", "disposal": "int", "width": "int", "height": "int", "rgba": "binary", "histogram": "array<bigint>"}

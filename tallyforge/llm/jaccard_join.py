@@ -39,13 +39,17 @@ WORDS = 5
 PERCENT = 75
 RADIUS = 1 - PERCENT / 100
 #: Shingles of a range, and of a region that one task joins.
-RANGE_SHINGLES = 1_500_000
+RANGE_SHINGLES = 500_000
 REGION_SHINGLES = 4_000_000
 #: Pivots of a large region, and pivots whose distances a task keeps.
 PIVOTS = 16
 #: Shingles after which a task passes its arrays on; words whose hash a worker keeps.
-BATCH_SHINGLES = 2_000_000
-CACHED_WORDS = 1_000_000
+BATCH_SHINGLES = 1_000_000
+CACHED_WORDS = 300_000
+#: Points of a batch from which a shingle counts as frequent; its points then needn't meet in its range.
+FREQUENT = 64
+#: The largest frequency that is told apart; also the mark of a frequent shingle.
+MOST = 255
 _LOWER = bytes(range(256)).lower()
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _known: dict[bytes, int] = {}
@@ -96,8 +100,37 @@ BLOCK = {"part": "int", "keys": "binary", "sizes": "binary", "counts": "binary",
 BLOCK_SCHEMA = pa.schema([(k, pa.int32() if v == "int" else pa.binary()) for k, v in BLOCK.items()])
 
 
-def _dealt(docs: DataFrame, ranges: int) -> DataFrame:
-    """Each task's shingles by range of value, with the points that hold them."""
+def _by_part(part: np.ndarray, key: np.ndarray, size: np.ndarray, flat: np.ndarray, frequency: np.ndarray) -> dict:
+    """Rows of BLOCK of shingles with their points, shingles of a point together."""
+    order = np.lexsort((flat, key, part))
+    part, key, size, flat, frequency = part[order], key[order], size[order], flat[order], frequency[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
+    head = np.flatnonzero(new)
+    count = np.diff(np.r_[head, len(key)]).astype(np.int32)
+    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else head
+    edge = np.r_[first, len(part)].tolist()
+    edge_head = np.searchsorted(head, edge).tolist()
+    out = {k: [] for k in BLOCK}
+    for p, a, b, i, j in zip(part[first].tolist(), edge, edge[1:], edge_head, edge_head[1:], strict=False):
+        own = head[i:j]
+        row = (p, key[own].tobytes(), size[own].astype(np.int32).tobytes(), count[i:j].tobytes(), flat[a:b].tobytes(), frequency[a:b].astype(np.uint8).tobytes())
+        for name, v in zip(BLOCK, row, strict=True):
+            out[name].append(v)
+    return out
+
+
+def _part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    return (key.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+
+
+def _dealt(docs: DataFrame, ranges: int, parts: int) -> DataFrame:
+    """Each task's shingles by range of value, with the points that hold them.
+
+    A shingle that many points of a batch hold is settled there: its points get the largest
+    frequency at once (behind the ranges), and its range only a mark, so a shingle that a third
+    of all documents hold reaches its range a few times a batch.
+    """
 
     def blocks(sets):
         if not sets:
@@ -107,20 +140,18 @@ def _dealt(docs: DataFrame, ranges: int) -> DataFrame:
         # copies within the batch go at once
         _, one = np.unique(keys, return_index=True)
         sets, size, keys = [sets[i] for i in one], size[one], keys[one]
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-        part = (((flat >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        flat, owner, part = flat[order], owner[order], part[order]
-        edge = np.searchsorted(part, np.arange(ranges + 1))
-        out = {k: [] for k in BLOCK}
-        for r in range(ranges):
-            a, b = edge[r], edge[r + 1]
-            if a == b:
-                continue
-            who, counts = np.unique(owner[a:b], return_counts=True)
-            for name, v in zip(BLOCK, (r, keys[who].tobytes(), size[who].astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), flat[a:b].tobytes(), b""), strict=True):
-                out[name].append(v)
-        yield out
+        flat, size, key = np.concatenate(sets), np.repeat(size, size), np.repeat(keys, size)
+        _, back, count = np.unique(flat, return_inverse=True, return_counts=True)
+        often = count[back] >= FREQUENT
+        part = (((flat >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int32)
+        if often.any():
+            yield _by_part(_part_of(key[often], parts) + ranges, key[often], size[often], flat[often], np.full(int(often.sum()), MOST))
+            mark = np.flatnonzero(often)
+            mark = mark[np.unique(flat[mark], return_index=True)[1]]
+            stay = np.r_[np.flatnonzero(~often), mark]
+            often = often[stay]
+            part, key, size, flat = part[stay], key[stay], size[stay], flat[stay]
+        yield _by_part(part, key, size, flat, np.where(often, MOST, 0))
 
     def fn(c):
         held, n = [], 0
@@ -144,40 +175,33 @@ def _arrays(table: pa.Table):
     return np.repeat(get("keys", np.int64), counts), np.repeat(get("sizes", np.int32), counts), get("shingles", np.uint64), get("frequencies", np.uint8)
 
 
-def _shared(blocks: DataFrame, parts: int) -> DataFrame:
+def _shared(blocks: DataFrame, ranges: int, parts: int) -> DataFrame:
     """Of every range the shingles that two points hold or more, dealt by point."""
 
     def fn(table: pa.Table) -> pa.Table:
-        key, size, flat, _ = _arrays(table)
+        if (part := table.column("part")[0].as_py()) >= ranges:  # settled already
+            return table.set_column(0, "part", pa.array([part - ranges] * len(table), pa.int32())).cast(BLOCK_SCHEMA)
+        key, size, flat, mark = _arrays(table)
         order = np.argsort(flat)
-        key, size, flat = key[order], size[order], flat[order]
-        run = np.r_[True, flat[1:] != flat[:-1]]
-        length = np.diff(np.r_[np.flatnonzero(run), len(flat)])
+        key, size, flat, mark = key[order], size[order], flat[order], mark[order]
+        head = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+        length = np.diff(np.r_[head, len(flat)])
         twice = np.repeat(length > 1, length)
-        key, size, flat = key[twice], size[twice], flat[twice]
-        order = np.lexsort((key, flat))
-        key, size, flat = key[order], size[order], flat[order]
+        key, size, flat, mark = key[twice], size[twice], flat[twice], mark[twice]
+        order = np.lexsort((mark, key, flat))
+        key, size, flat, mark = key[order], size[order], flat[order], mark[order]
         new = np.ones(len(flat), bool)
         new[1:] = (flat[1:] != flat[:-1]) | (key[1:] != key[:-1])  # copies of a point go
-        key, size, flat = key[new], size[new], flat[new]
         head = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
-        length = np.diff(np.r_[head, len(flat)])
-        frequency = np.repeat(length, length)
-        twice = frequency > 1
-        key, size, flat, frequency = key[twice], size[twice], flat[twice], np.minimum(frequency[twice], 255).astype(np.uint8)
-        part = (key.view(np.uint64) % np.uint64(parts)).astype(np.int32)
-        order = np.lexsort((key, part))
-        key, size, flat, frequency, part = key[order], size[order], flat[order], frequency[order], part[order]
-        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        count = np.diff(np.r_[head, len(key)]).astype(np.int32)
-        out = {k: [] for k in BLOCK}
-        edge, edge_head = np.searchsorted(part, np.arange(parts + 1)), np.searchsorted(part[head], np.arange(parts + 1))
-        for p in np.flatnonzero(np.diff(edge)).tolist():
-            a, b, i, j = edge[p], edge[p + 1], edge_head[p], edge_head[p + 1]
-            own = head[i:j]
-            for name, v in zip(BLOCK, (p, key[own].tobytes(), size[own].tobytes(), count[i:j].tobytes(), flat[a:b].tobytes(), frequency[a:b].tobytes()), strict=True):
-                out[name].append(v)
-        return pa.Table.from_pydict(out, schema=BLOCK_SCHEMA)
+        if len(head):
+            length = np.diff(np.r_[head, len(flat)])
+            count = np.minimum(np.maximum(np.add.reduceat(new.astype(np.int64), head), np.maximum.reduceat(mark.astype(np.int64), head)), MOST)
+            frequency = np.repeat(count, length)
+        else:
+            frequency = np.zeros(0, np.int64)
+        told = new & (frequency > 1) & (mark == 0)
+        key = key[told]
+        return pa.Table.from_pydict(_by_part(_part_of(key, parts), key, size[told], flat[told], frequency[told]), schema=BLOCK_SCHEMA)
 
     return blocks.groupBy("part").applyInArrow(fn, ", ".join(f"{k} {v}" for k, v in BLOCK.items()))
 
@@ -190,6 +214,9 @@ def _able(shared: DataFrame) -> DataFrame:
         key, size, flat, frequency = _arrays(table)
         order = np.lexsort((flat, frequency, key))
         key, size, flat = key[order], size[order], flat[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (flat[1:] != flat[:-1])  # told by two batches
+        key, size, flat = key[new], size[new], flat[new]
         head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         out = {k: [] for k in schema.names}
         for a, b in zip(head.tolist(), [*head[1:].tolist(), len(key)], strict=True):
@@ -327,7 +354,8 @@ def linked(docs: DataFrame, region_shingles: int = REGION_SHINGLES, range_shingl
     each = stored(points(docs))
     total = each.agg(F.sum("n")).first()[0] or 0
     ranges = max(8, -(-total // range_shingles))
-    able = stored(_able(_shared(_dealt(docs, ranges), max(8, ranges // 3))))
+    parts = max(8, ranges // 8)
+    able = stored(_able(_shared(_dealt(docs, ranges, parts), ranges, parts)))
     rare = able.select("key", F.explode("rarest").alias("shingle"))
     hubs = rare.groupBy("shingle").agg(F.min("key").alias("hub"), F.max("key").alias("other")).where("hub < other").select("shingle", "hub")
     regions = components(rare.join(hubs, "shingle").select(F.col("key").alias("u"), F.col("hub").alias("v")))

@@ -35,8 +35,8 @@ LENGTH = 50
 GRAM = 20
 SPAN = LENGTH - GRAM  # an anchor starts at most this far into a window
 #: Hashes that a task holds before it passes them on, and hashes of a range.
-BATCH_HASHES = 1_500_000
-RANGE_HASHES = 1_500_000
+BATCH_HASHES = 500_000
+RANGE_HASHES = 1_200_000
 LAST = (1 << 63) - 1
 _M = [np.uint64(m | 1) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -93,20 +93,36 @@ class Anchors:
 
 
 BLOCK = {"part": "int", "keys": "binary", "ids": "binary", "counts": "binary", "groups": "binary", "strings": "binary"}
-ANSWER = {"part": "int", "keys": "binary", "repeated": "binary", "hashes": "binary"}
+ANSWER = {"part": "int", "keys": "binary", "repeated": "binary", "open": "binary", "hashes": "binary"}
 _DDL = lambda fields: ", ".join(f"{k} {v}" for k, v in fields.items())
 _SCHEMA = lambda fields: pa.schema([(k, {"int": pa.int32(), "bigint": pa.int64()}.get(v, pa.binary())) for k, v in fields.items()])
 
 
 def _answers(key: np.ndarray, repeated: np.ndarray, hashes: np.ndarray, parts: int) -> dict:
-    """Rows of ANSWER, dealt by document."""
+    """Rows of ANSWER, dealt by document: the documents, how many of their hashes are repeated and how many open, and the hashes in that order."""
     part = (key.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    key, repeated, hashes = key[order], repeated[order].astype(np.uint8), hashes[order]
-    edge = np.searchsorted(part[order], np.arange(parts + 1))
-    used = np.flatnonzero(np.diff(edge)).tolist()
-    cut = lambda x: [x[edge[p] : edge[p + 1]].tobytes() for p in used]
-    return {"part": used, "keys": cut(key), "repeated": cut(repeated), "hashes": cut(hashes)}
+    order = np.lexsort((~repeated, key, part))
+    key, repeated, hashes, part = key[order], repeated[order].astype(np.int64), hashes[order], part[order]
+    out = {k: [] for k in ANSWER}
+    if len(key):
+        head = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+        yes = np.add.reduceat(repeated, head)
+        no = np.diff(np.r_[head, len(key)]) - yes
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        edge = np.r_[first, len(part)].tolist()
+        edge_head = np.searchsorted(head, edge).tolist()
+        for p, a, b, i, j in zip(part[first].tolist(), edge, edge[1:], edge_head, edge_head[1:], strict=False):
+            row = (p, key[head[i:j]].tobytes(), yes[i:j].astype(np.int32).tobytes(), no[i:j].astype(np.int32).tobytes(), hashes[a:b].tobytes())
+            for name, v in zip(ANSWER, row, strict=True):
+                out[name].append(v)
+    return out
+
+
+def _shared(x: np.ndarray) -> np.ndarray:
+    """Where the values stand that occur more than once."""
+    order = np.argsort(x)
+    new = np.r_[True, x[order][1:] != x[order][:-1]] if len(x) else np.zeros(0, bool)
+    return order[np.repeat((n := np.diff(np.r_[np.flatnonzero(new), len(x)])) > 1, n)]
 
 
 def _settled(group: np.ndarray, string: np.ndarray, doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -124,19 +140,26 @@ def _settled(group: np.ndarray, string: np.ndarray, doc: np.ndarray, key: np.nda
 
 
 def _dealt(entries, ranges: int, parts: int):
-    """Rows of BLOCK from (key, id, groups, strings) of documents: firsts by range of group, settled repeats by document (behind the ranges)."""
+    """Rows of BLOCK from (key, id, groups, strings) of documents: firsts by range of group, settled repeats by document (behind the ranges).
+
+    Within its range a group goes by 32 bits, which can only open a window to the exact comparison; groups that are
+    the strings themselves aren't sent.
+    """
 
     def flush(held):
         sizes = np.fromiter((len(x[2]) for x in held), np.int64, len(held))
         owner = np.repeat(np.arange(len(held)), sizes)
+        alone = held[0][2] is held[0][3]
         group, string = (np.concatenate([x[i] for x in held]) for i in (2, 3))
         keys, ids = (np.array([x[i] for x in held], np.int64) for i in (0, 1))
-        order, _, repeated, left = _settled(group, string, ids[owner], keys[owner])
-        gone = order[repeated]
+        some = _shared(string)  # most strings occur once
+        order, _, repeated, left = _settled(group[some], string[some], ids[owner[some]], keys[owner[some]])
+        gone, stay = some[order[repeated]], np.ones(len(group), bool)
+        stay[some[order[~left]]] = False
         done = _answers(keys[owner[gone]], np.ones(len(gone), bool), string[gone], parts)
         n = len(done["part"])
-        yield {"part": [ranges + p for p in done["part"]], "keys": done["keys"], "ids": done["repeated"], "counts": [b""] * n, "groups": [b""] * n, "strings": done["hashes"]}
-        stay = np.sort(order[left])
+        yield {"part": [ranges + p for p in done["part"]], "keys": done["keys"], "ids": [b""] * n, "counts": done["repeated"], "groups": [b""] * n, "strings": done["hashes"]}
+        stay = np.flatnonzero(stay)
         part = (((group[stay] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
         stay = stay[np.argsort(part, kind="stable")]
         edge = np.searchsorted(np.sort(part), np.arange(ranges + 1))
@@ -144,7 +167,7 @@ def _dealt(entries, ranges: int, parts: int):
         for r in np.flatnonzero(np.diff(edge)).tolist():
             own = stay[edge[r] : edge[r + 1]]
             who, counts = np.unique(owner[own], return_counts=True)
-            for name, v in zip(BLOCK, (r, keys[who].tobytes(), ids[who].tobytes(), counts.astype(np.int32).tobytes(), group[own].tobytes(), string[own].tobytes()), strict=True):
+            for name, v in zip(BLOCK, (r, keys[who].tobytes(), ids[who].tobytes(), counts.astype(np.int32).tobytes(), b"" if alone else group[own].astype(np.uint32).tobytes(), string[own].tobytes()), strict=True):
                 out[name].append(v)
         yield out
 
@@ -166,11 +189,14 @@ def _resolved(blocks: DataFrame, ranges: int, parts: int) -> DataFrame:
     def fn(table: pa.Table) -> pa.Table:
         get = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
         if table.column("part")[0].as_py() >= ranges:
-            out = {k: table.column(c).to_pylist() for k, c in zip(ANSWER, ("part", "keys", "ids", "strings"), strict=True)}
-            return pa.Table.from_pydict(out | {"part": [p - ranges for p in out["part"]]}, schema=_SCHEMA(ANSWER))
-        counts = get("counts", np.int32)
-        key, doc = np.repeat(get("keys", np.int64), counts), np.repeat(get("ids", np.int64), counts)
-        group, string = get("groups", np.uint64), get("strings", np.uint64)
+            out = {k: table.column(c).to_pylist() for k, c in zip(("part", "keys", "repeated", "hashes"), ("part", "keys", "counts", "strings"), strict=True)}
+            out |= {"part": [p - ranges for p in out["part"]], "open": [bytes(len(x)) for x in out["repeated"]]}
+            return pa.Table.from_pydict(out, schema=_SCHEMA(ANSWER))
+        group, string, counts = get("groups", np.uint32), get("strings", np.uint64), get("counts", np.int32)
+        group = group if len(group) else string
+        some = _shared(group)  # an anchor that occurs once has nothing to tell
+        owner = np.repeat(np.arange(len(counts)), counts)[some]
+        key, doc, group, string = get("keys", np.int64)[owner], get("ids", np.int64)[owner], group[some], string[some]
         order, first, repeated, left = _settled(group, string, doc, key)
         g = group[order]
         head = np.r_[True, g[1:] != g[:-1]] if len(g) else np.zeros(0, bool)
@@ -183,15 +209,14 @@ def _resolved(blocks: DataFrame, ranges: int, parts: int) -> DataFrame:
 
     def gathered(table: pa.Table) -> pa.Table:
         get = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-        key, repeated, hashes = get("keys", np.int64), get("repeated", np.uint8) > 0, get("hashes", np.uint64)
-        order = np.lexsort((hashes, key))
-        key, repeated, hashes = key[order], repeated[order], hashes[order]
-        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        out = {"key": [], "repeated": [], "open": []}
-        for a, b in zip(head.tolist(), [*head[1:].tolist(), len(key)], strict=True):
-            yes = repeated[a:b]
-            for name, v in zip(out, (int(key[a]), hashes[a:b][yes].tobytes(), hashes[a:b][~yes].tobytes()), strict=True):
-                out[name].append(v)
+        keys, yes, no, hashes = get("keys", np.int64), get("repeated", np.int32), get("open", np.int32), get("hashes", np.uint64)
+        start = np.r_[0, np.cumsum(yes.astype(np.int64) + no)][:-1].tolist()
+        told: dict[int, tuple[list, list]] = {}
+        for key, a, n, m in zip(keys.tolist(), start, yes.tolist(), no.tolist(), strict=True):
+            own = told.setdefault(key, ([], []))
+            own[0].append(hashes[a : a + n].tobytes())
+            own[1].append(hashes[a + n : a + n + m].tobytes())
+        out = {"key": list(told), "repeated": [b"".join(x[0]) for x in told.values()], "open": [b"".join(x[1]) for x in told.values()]}
         return pa.Table.from_pydict(out, schema=_SCHEMA({"key": "bigint", "repeated": "binary", "open": "binary"}))
 
     answers = blocks.groupBy("part").applyInArrow(fn, _DDL(ANSWER))
@@ -232,7 +257,7 @@ def repeated_bytes(docs: DataFrame, texts: bool = False) -> DataFrame:
     name = f"texts_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct = each.groupBy("key").agg(F.min_by("text", "id").alias("text"), F.min("id").alias("first"))
-    distinct.write.bucketBy(buckets, "key").saveAsTable(name, format="parquet", mode="overwrite")
+    distinct.write.bucketBy(buckets, "key").saveAsTable(name, format="parquet", mode="overwrite", compression="zstd")
     try:
         table = spark.table(name)
 
