@@ -1,15 +1,19 @@
 """Repeated passages: every byte covered by a 50-byte string that also starts in a document with a smaller id.
 
-The exact method here finds repeats by anchors instead of a suffix array of the whole corpus
-(the README says why). A 50-byte window has 31 substrings of 20 bytes; the one with the least hash is
-its anchor, which depends on the window's bytes alone, so equal windows have equal anchors.
+The suffixes of the corpus aren't sorted in one order, which no bounded task could hold: they are
+parted by anchors, and every part is a merge of Burrows-Wheeler transforms of its own. A 50-byte
+window has 31 substrings of 20 bytes; the one with the least hash is its anchor, which depends on
+the window's bytes alone, so equal windows have equal anchors and meet in one part.
 
 1. Equal texts become one, that of the smallest id; its copies are repeats as a whole.
 2. Anchors, one for some sixteen bytes, are dealt by hash with a hash of their context, the 80
    bytes that hold all windows of the anchor. Where a context stands in a smaller document, all its
    windows are repeats. An anchor with one context only has no others.
-3. For anchors with several contexts, the ends of repeats, the windows' own hashes are
-   compared in the same way.
+3. For anchors with several contexts, the ends of repeats, each task transforms the contexts of its
+   texts, a shard for each range of anchors. A range merges its shards' transforms by interleave
+   refinement and takes the intervals with 50 bytes or more in common (bwt_merge).
+   Anchors with more than ``WIDE`` contexts, which would fill a task, are parted further, by the windows
+   themselves, whose hashes are compared in the way of step 2.
 4. Each text is read with its answers, and the covered bytes go.
 
 Each task first settles what its own rows settle (the smallest document of each context stays), so a
@@ -18,7 +22,7 @@ passage that a third of all documents hold reaches another task once per task, n
 Defined results: null and empty texts, and those under 50 bytes, keep all; a null doc_id counts as
 larger than all others; rows with equal doc_id are one document and don't repeat each other;
 repeated rows get a row each; an empty table gives an empty table; other columns aren't read.
-Strings are told apart by 64-bit hashes.
+In steps 1 and 2, and for wide anchors, strings are told apart by 64-bit hashes.
 """
 
 import hashlib
@@ -29,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm import bwt_merge
 from tallyforge.llm.common import over_batches, stored
 
 LENGTH = 50
@@ -37,6 +42,11 @@ SPAN = LENGTH - GRAM  # an anchor starts at most this far into a window
 #: Hashes that a task holds before it passes them on, and hashes of a range.
 BATCH_HASHES = 500_000
 RANGE_HASHES = 1_200_000
+#: Bytes of contexts that a task holds before it transforms them, and bytes of contexts of a range.
+BATCH_BYTES = 4_000_000
+RANGE_BYTES = 3_000_000
+#: Contexts of an anchor beyond which its windows are compared one by one.
+WIDE = 20_000
 LAST = (1 << 63) - 1
 _M = [np.uint64(m | 1) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -93,26 +103,25 @@ class Anchors:
 
 
 BLOCK = {"part": "int", "keys": "binary", "ids": "binary", "counts": "binary", "groups": "binary", "strings": "binary"}
-ANSWER = {"part": "int", "keys": "binary", "repeated": "binary", "open": "binary", "hashes": "binary"}
+ANSWER = {"part": "int", "keys": "binary", "repeated": "binary", "open": "binary", "wide": "binary", "hashes": "binary"}
 _DDL = lambda fields: ", ".join(f"{k} {v}" for k, v in fields.items())
 _SCHEMA = lambda fields: pa.schema([(k, {"int": pa.int32(), "bigint": pa.int64()}.get(v, pa.binary())) for k, v in fields.items()])
 
 
-def _answers(key: np.ndarray, repeated: np.ndarray, hashes: np.ndarray, parts: int) -> dict:
-    """Rows of ANSWER, dealt by document: the documents, how many of their hashes are repeated and how many open, and the hashes in that order."""
+def _answers(key: np.ndarray, kind: np.ndarray, values: np.ndarray, parts: int) -> dict:
+    """Rows of ANSWER, dealt by document: the documents, how many values of each kind they have (repeated, open, wide), and the values in that order."""
     part = (key.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((~repeated, key, part))
-    key, repeated, hashes, part = key[order], repeated[order].astype(np.int64), hashes[order], part[order]
+    order = np.lexsort((kind, key, part))
+    key, kind, values, part = key[order], kind[order], values[order], part[order]
     out = {k: [] for k in ANSWER}
     if len(key):
         head = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
-        yes = np.add.reduceat(repeated, head)
-        no = np.diff(np.r_[head, len(key)]) - yes
+        counts = [np.add.reduceat((kind == k).astype(np.int32), head) for k in range(3)]
         first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         edge = np.r_[first, len(part)].tolist()
         edge_head = np.searchsorted(head, edge).tolist()
         for p, a, b, i, j in zip(part[first].tolist(), edge, edge[1:], edge_head, edge_head[1:], strict=False):
-            row = (p, key[head[i:j]].tobytes(), yes[i:j].astype(np.int32).tobytes(), no[i:j].astype(np.int32).tobytes(), hashes[a:b].tobytes())
+            row = (p, key[head[i:j]].tobytes(), *(n[i:j].astype(np.int32).tobytes() for n in counts), values[a:b].tobytes())
             for name, v in zip(ANSWER, row, strict=True):
                 out[name].append(v)
     return out
@@ -156,7 +165,7 @@ def _dealt(entries, ranges: int, parts: int):
         order, _, repeated, left = _settled(group[some], string[some], ids[owner[some]], keys[owner[some]])
         gone, stay = some[order[repeated]], np.ones(len(group), bool)
         stay[some[order[~left]]] = False
-        done = _answers(keys[owner[gone]], np.ones(len(gone), bool), string[gone], parts)
+        done = _answers(keys[owner[gone]], np.zeros(len(gone), np.int8), string[gone], parts)
         n = len(done["part"])
         yield {"part": [ranges + p for p in done["part"]], "keys": done["keys"], "ids": [b""] * n, "counts": done["repeated"], "groups": [b""] * n, "strings": done["hashes"]}
         stay = np.flatnonzero(stay)
@@ -183,15 +192,15 @@ def _dealt(entries, ranges: int, parts: int):
         yield from flush(held)
 
 
-def _resolved(blocks: DataFrame, ranges: int, parts: int) -> DataFrame:
-    """A row per document with answers: key, repeated (its strings that a smaller document has), open (those of groups with several strings)."""
+def _resolved(blocks: DataFrame, ranges: int, parts: int, wide: int) -> DataFrame:
+    """Answers to blocks of hashes: repeated are strings that a smaller document has; open and wide those of groups with several strings, or very many."""
 
     def fn(table: pa.Table) -> pa.Table:
         get = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
         if table.column("part")[0].as_py() >= ranges:
             out = {k: table.column(c).to_pylist() for k, c in zip(("part", "keys", "repeated", "hashes"), ("part", "keys", "counts", "strings"), strict=True)}
-            out |= {"part": [p - ranges for p in out["part"]], "open": [bytes(len(x)) for x in out["repeated"]]}
-            return pa.Table.from_pydict(out, schema=_SCHEMA(ANSWER))
+            none = [bytes(len(x)) for x in out["repeated"]]
+            return pa.Table.from_pydict(out | {"part": [p - ranges for p in out["part"]], "open": none, "wide": none}, schema=_SCHEMA(ANSWER))
         group, string, counts = get("groups", np.uint32), get("strings", np.uint64), get("counts", np.int32)
         group = group if len(group) else string
         some = _shared(group)  # an anchor that occurs once has nothing to tell
@@ -201,29 +210,88 @@ def _resolved(blocks: DataFrame, ranges: int, parts: int) -> DataFrame:
         g = group[order]
         head = np.r_[True, g[1:] != g[:-1]] if len(g) else np.zeros(0, bool)
         runs = np.diff(np.r_[np.flatnonzero(head), len(g)])
-        strings = np.add.reduceat(first.astype(np.int64), np.flatnonzero(head)) if len(g) else runs
-        several = np.repeat(strings > 1, runs)
-        told = repeated | (left & several)
+        strings = np.repeat(np.add.reduceat(first.astype(np.int64), np.flatnonzero(head)), runs) if len(g) else runs
+        told = repeated | (left & (strings > 1))
+        kind = np.where(repeated, 0, np.where(strings > wide, 2, 1)).astype(np.int8)
         own = order[told]
-        return pa.Table.from_pydict(_answers(key[own], repeated[told], string[own], parts), schema=_SCHEMA(ANSWER))
+        return pa.Table.from_pydict(_answers(key[own], kind[told], string[own], parts), schema=_SCHEMA(ANSWER))
 
-    def gathered(table: pa.Table) -> pa.Table:
+    return _by_text(blocks.groupBy("part").applyInArrow(fn, _DDL(ANSWER)))
+
+
+def _by_text(answers: DataFrame) -> DataFrame:
+    """A row per text with answers: key and the values of each kind."""
+    kinds = ("repeated", "open", "wide")
+
+    def fn(table: pa.Table) -> pa.Table:
         get = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-        keys, yes, no, hashes = get("keys", np.int64), get("repeated", np.int32), get("open", np.int32), get("hashes", np.uint64)
-        start = np.r_[0, np.cumsum(yes.astype(np.int64) + no)][:-1].tolist()
-        told: dict[int, tuple[list, list]] = {}
-        for key, a, n, m in zip(keys.tolist(), start, yes.tolist(), no.tolist(), strict=True):
-            own = told.setdefault(key, ([], []))
-            own[0].append(hashes[a : a + n].tobytes())
-            own[1].append(hashes[a + n : a + n + m].tobytes())
-        out = {"key": list(told), "repeated": [b"".join(x[0]) for x in told.values()], "open": [b"".join(x[1]) for x in told.values()]}
-        return pa.Table.from_pydict(out, schema=_SCHEMA({"key": "bigint", "repeated": "binary", "open": "binary"}))
+        keys, values = get("keys", np.int64), get("hashes", np.uint64)
+        edge = np.r_[0, np.cumsum(np.stack([get(k, np.int32) for k in kinds], 1).astype(np.int64))].tolist()
+        told: dict[int, tuple[list, ...]] = {}
+        for i, key in enumerate(keys.tolist()):
+            own = told.setdefault(key, ([], [], []))
+            for k in range(3):
+                own[k].append(values[edge[3 * i + k] : edge[3 * i + k + 1]].tobytes())
+        out = {"key": list(told)} | {name: [b"".join(x[k]) for x in told.values()] for k, name in enumerate(kinds)}
+        return pa.Table.from_pydict(out, schema=_SCHEMA({"key": "bigint"} | dict.fromkeys(kinds, "binary")))
+
+    return stored(answers.groupBy("part").applyInArrow(fn, "key bigint, repeated binary, open binary, wide binary"))
+
+
+SHARD = {"part": "int", "keys": "binary", "ids": "binary", "starts": "binary", "transform": "binary"}
 
-    answers = blocks.groupBy("part").applyInArrow(fn, _DDL(ANSWER))
-    return stored(answers.groupBy("part").applyInArrow(gathered, "key bigint, repeated binary, open binary"))
 
+def _shards(entries, ranges: int):
+    """Rows of SHARD from (key, id, grams, starts, contexts) of documents: a batch's contexts by range of their anchors, transformed."""
 
-def _covered(raw: bytes, repeated: bytes, opened: bytes, windows: bytes) -> np.ndarray:
+    def flush(held):
+        owner = np.repeat(np.arange(len(held)), [len(x[2]) for x in held])
+        keys, ids = (np.array([x[i] for x in held], np.int64)[owner] for i in (0, 1))
+        grams, starts = (np.concatenate([x[i] for x in held]) for i in (2, 3))
+        strings = [s for x in held for s in x[4]]
+        part = (((grams >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        edge = np.searchsorted(part[order], np.arange(ranges + 1))
+        out = {k: [] for k in SHARD}
+        for r in np.flatnonzero(np.diff(edge)).tolist():
+            own = order[edge[r] : edge[r + 1]]
+            row = (r, keys[own].tobytes(), ids[own].tobytes(), starts[own].astype(np.int32).tobytes(), bwt_merge.transform([strings[i] for i in own.tolist()]))
+            for name, v in zip(SHARD, row, strict=True):
+                out[name].append(v)
+        return out
+
+    held, n = [], 0
+    for x in entries:
+        if len(x[2]):
+            held.append(x)
+            n += sum(map(len, x[4]))
+        if n > BATCH_BYTES:
+            yield flush(held)
+            held, n = [], 0
+    if held:
+        yield flush(held)
+
+
+def _merged(shards: DataFrame, parts: int) -> DataFrame:
+    """Each range's transforms merged; per text the runs of windows that a smaller document has, as first start << 32 | how many."""
+
+    def fn(table: pa.Table) -> pa.Table:
+        each = lambda name, kind: [np.frombuffer(b, kind) for b in table.column(name).to_pylist()]
+        keys, ids, starts = (np.concatenate(each(n, k)) for n, k in (("keys", np.int64), ("ids", np.int64), ("starts", np.int32)))
+        string, offset, interval = bwt_merge.repeats([(b, len(k)) for b, k in zip(table.column("transform").to_pylist(), each("keys", np.int64), strict=True)], LENGTH)
+        doc = ids[string]
+        head = np.flatnonzero(np.r_[True, interval[1:] != interval[:-1]]) if len(doc) else np.zeros(0, np.int64)
+        gone = doc > np.repeat(np.minimum.reduceat(doc, head), np.diff(np.r_[head, len(doc)])) if len(doc) else np.zeros(0, bool)
+        place = np.sort(string[gone].astype(np.int64) << 20 | offset[gone])
+        head = np.flatnonzero(np.r_[True, np.diff(place) > 1]) if len(place) else np.zeros(0, np.int64)
+        of = place[head] >> 20
+        run = (starts[of] + (place[head] & 0xFFFFF)) << 32 | np.diff(np.r_[head, len(place)])
+        return pa.Table.from_pydict(_answers(keys[of], np.zeros(len(of), np.int8), run.astype(np.uint64), parts), schema=_SCHEMA(ANSWER))
+
+    return _by_text(shards.groupBy("part").applyInArrow(fn, _DDL(ANSWER)))
+
+
+def _covered(raw: bytes, repeated: bytes, wide: bytes, windows: bytes, runs: bytes) -> np.ndarray:
     """Which bytes of a text go."""
     cover = np.zeros(len(raw) + 1, np.int64)
     if len(raw) >= LENGTH and (repeated or windows):
@@ -231,18 +299,22 @@ def _covered(raw: bytes, repeated: bytes, opened: bytes, windows: bytes) -> np.n
         own = a.owners()
         gone = np.isin(a.context, np.frombuffer(repeated, np.uint64))[own]
         if windows:
-            starts = np.flatnonzero(np.isin(a.context, np.frombuffer(opened, np.uint64))[own] & ~gone)
+            starts = np.flatnonzero(np.isin(a.context, np.frombuffer(wide, np.uint64))[own] & ~gone)
             gone[starts] = np.isin(a.windows(starts), np.frombuffer(windows, np.uint64))
         starts = np.flatnonzero(gone)
         np.add.at(cover, starts, 1)
         np.add.at(cover, starts + LENGTH, -1)
+    if runs:
+        run = np.frombuffer(runs, np.int64)
+        np.add.at(cover, run >> 32, 1)
+        np.add.at(cover, (run >> 32) + (run & 0xFFFFFFFF) - 1 + LENGTH, -1)
     return np.cumsum(cover[:-1]) > 0
 
 
 RESULT = {"key": "bigint", "first": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string", "kept": "string"}
 
 
-def repeated_bytes(docs: DataFrame, texts: bool = False) -> DataFrame:
+def repeated_bytes(docs: DataFrame, texts: bool = False, wide: int = WIDE) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``texts``, also text_key and kept.
 
     kept is the remaining bytes as text, without characters of which only a part is left.
@@ -271,9 +343,20 @@ def repeated_bytes(docs: DataFrame, texts: bool = False) -> DataFrame:
 
             return _dealt(of(), ranges, parts)
 
-        def ends(c):
+        def contexts_of(c):
             def of():
                 for key, first, text, opened in zip(c["key"], c["first"], c["text"], c["open"], strict=True):
+                    raw = text.encode("utf-8", "surrogatepass")
+                    a = Anchors(raw)
+                    own = np.isin(a.context, np.frombuffer(opened, np.uint64))
+                    starts = np.maximum(a.at[own] - SPAN, 0)
+                    yield key, first, a.gram[own], starts, [raw[i:j] for i, j in zip(starts.tolist(), (a.at[own] + LENGTH).tolist(), strict=True)]
+
+            return _shards(of(), merges)
+
+        def windows_of(c):
+            def of():
+                for key, first, text, opened in zip(c["key"], c["first"], c["text"], c["wide"], strict=True):
                     a = Anchors(text.encode("utf-8", "surrogatepass"))
                     own = np.isin(a.context, np.frombuffer(opened, np.uint64))[a.owners()]
                     h = a.windows(np.flatnonzero(own))
@@ -284,9 +367,9 @@ def repeated_bytes(docs: DataFrame, texts: bool = False) -> DataFrame:
         def final(c):
             for i in range(0, len(c["key"]), 256):
                 out = {k: [] for k in RESULT}
-                for key, first, text, repeated, opened, windows in zip(*(c[n][i : i + 256] for n in ("key", "first", "text", "repeated", "open", "windows")), strict=True):
+                for key, first, text, *told in zip(*(c[n][i : i + 256] for n in ("key", "first", "text", "repeated", "wide", "windows", "runs")), strict=True):
                     raw = text.encode("utf-8", "surrogatepass")
-                    gone = _covered(raw, repeated or b"", opened or b"", windows or b"")
+                    gone = _covered(raw, *(x or b"" for x in told))
                     kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                     spans = int(np.count_nonzero(np.diff(np.r_[False, gone].astype(np.int8)) == 1))
                     row = (key, first, len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if texts else None)
@@ -294,11 +377,19 @@ def repeated_bytes(docs: DataFrame, texts: bool = False) -> DataFrame:
                         out[k].append(v)
                 yield out
 
-        contexts = _resolved(over_batches(table.select("key", "first", "text"), BLOCK, anchors), ranges, parts)
+        contexts = _resolved(over_batches(table.select("key", "first", "text"), BLOCK, anchors), ranges, parts, wide)
         open_ = contexts.where(F.octet_length("open") > 0).select("key", "open")
-        windows = _resolved(over_batches(table.join(open_, "key").select("key", "first", "text", "open"), BLOCK, ends), ranges, parts)
-        told = table.join(contexts, "key", "left").join(windows.select("key", F.col("repeated").alias("windows")), "key", "left")
-        results = stored(over_batches(told.select("key", "first", "text", "repeated", "open", "windows"), RESULT, final))
+        bytes_ = (contexts.agg(F.sum(F.octet_length("open"))).first()[0] or 0) // 8 * (LENGTH + SPAN)
+        merges = max(8, -(-bytes_ // RANGE_BYTES))
+        runs = _merged(over_batches(table.join(open_, "key").select("key", "first", "text", "open"), SHARD, contexts_of), parts)
+        told = table.join(contexts.select("key", "repeated", "wide"), "key", "left").join(runs.select("key", F.col("repeated").alias("runs")), "key", "left")
+        many = contexts.where(F.octet_length("wide") > 0).select("key", "wide")
+        if many.isEmpty():
+            told = told.withColumn("windows", F.lit(None).cast("binary"))
+        else:
+            windows = _resolved(over_batches(table.join(many, "key").select("key", "first", "text", "wide"), BLOCK, windows_of), ranges, parts, wide)
+            told = told.join(windows.select("key", F.col("repeated").alias("windows")), "key", "left")
+        results = stored(over_batches(told.select("key", "first", "text", "repeated", "wide", "windows", "runs"), RESULT, final))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     # copies of a text with a larger id are repeats as a whole

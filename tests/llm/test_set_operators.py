@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from tallyforge.llm import gif_media, jaccard_join, kd_sharding, repeated_bytes, url_filters
+from tallyforge.llm import bwt_merge, gif_media, jaccard_join, kd_sharding, repeated_bytes, url_filters
 from tallyforge.llm.components import components
 from tallyforge.llm.registry import RULES
 
@@ -206,18 +206,34 @@ def plain_repeats(rows):
     return sorted(out)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.binary(max_size=40).map(lambda b: bytes(97 + x % 2 for x in b)), min_size=1, max_size=6), min_size=1, max_size=4), st.integers(1, 12))
+def test_transforms_merge(shards, depth):
+    for strings in shards:
+        suffixes = sorted(([*s[i:], -1], k, i) for k, s in enumerate(strings) for i in range(len(s) + 1))
+        assert bwt_merge.transform(strings) == bytes(strings[k][i - 1] + 1 if i else 0 for _, k, i in suffixes)
+    want, got = {}, {}
+    for k, s in enumerate(x for strings in shards for x in strings):
+        for i in range(len(s) - depth + 1):
+            want.setdefault(s[i : i + depth], []).append((k, i))
+    for k, i, interval in zip(*(x.tolist() for x in bwt_merge.repeats([(bwt_merge.transform(x), len(x)) for x in shards], depth)), strict=True):
+        got.setdefault(interval, []).append((k, i))
+    assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
 def test_repeated_bytes(docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     got = sorted((1 << 63 if r[0] is None else r[0], *r[1:]) for r in repeated_bytes.repeated_bytes(docs).collect())
     assert got == plain_repeats(rows)
 
 
-def test_repeated_bytes_of_pieces(spark):
+@pytest.mark.parametrize("wide", [20_000, 2])
+def test_repeated_bytes_of_pieces(spark, wide):
     """Texts cut from one another at all places, so that repeats end everywhere and overlap."""
     r = random.Random(4)
     pool = ["".join(r.choice("ab cd\né") for _ in range(r.randint(30, 200))) for _ in range(12)]
     rows = [(i if i % 9 else 3, "".join(p[r.randrange(20) : len(p) - r.randrange(20)] for p in r.sample(pool, 3))) for i in range(60)]
-    got = sorted(tuple(x) for x in repeated_bytes.repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    got = sorted(tuple(x) for x in repeated_bytes.repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), wide=wide).collect())
     assert got == plain_repeats(rows)
 
 
