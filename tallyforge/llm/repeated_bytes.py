@@ -12,8 +12,8 @@ the window's bytes alone, so equal windows have equal anchors and meet in one pa
 3. For anchors with several contexts, the ends of repeats, each task transforms the contexts of its
    texts, a shard for each range of anchors. A range merges its shards' transforms by interleave
    refinement and takes the intervals with 50 bytes or more in common (bwt_merge).
-   Anchors with more than ``WIDE`` contexts, which would fill a task, are parted further, by the windows
-   themselves, whose hashes are compared in the way of step 2.
+   Anchors with more than ``WIDE`` contexts, whose parts could outgrow a task, are parted further, by the
+   windows themselves, whose hashes are compared in the way of step 2.
 4. Each text is read with its answers, and the covered bytes go.
 
 Each task first settles what its own rows settle (the smallest document of each context stays), so a
@@ -44,9 +44,9 @@ BATCH_HASHES = 500_000
 RANGE_HASHES = 1_200_000
 #: Bytes of contexts that a task holds before it transforms them, and bytes of contexts of a range.
 BATCH_BYTES = 4_000_000
-RANGE_BYTES = 3_000_000
+RANGE_BYTES = 2_000_000
 #: Contexts of an anchor beyond which its windows are compared one by one.
-WIDE = 20_000
+WIDE = 32
 LAST = (1 << 63) - 1
 _M = [np.uint64(m | 1) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -210,8 +210,10 @@ def _resolved(blocks: DataFrame, ranges: int, parts: int, wide: int) -> DataFram
         g = group[order]
         head = np.r_[True, g[1:] != g[:-1]] if len(g) else np.zeros(0, bool)
         runs = np.diff(np.r_[np.flatnonzero(head), len(g)])
-        strings = np.repeat(np.add.reduceat(first.astype(np.int64), np.flatnonzero(head)), runs) if len(g) else runs
-        told = repeated | (left & (strings > 1))
+        at, d = np.flatnonzero(head), doc[order]
+        strings = np.repeat(np.add.reduceat(first.astype(np.int64), at), runs) if len(g) else runs
+        shared = np.repeat(np.minimum.reduceat(d, at) < np.maximum.reduceat(d, at), runs) if len(g) else head
+        told = repeated | (left & (strings > 1) & shared)
         kind = np.where(repeated, 0, np.where(strings > wide, 2, 1)).astype(np.int8)
         own = order[told]
         return pa.Table.from_pydict(_answers(key[own], kind[told], string[own], parts), schema=_SCHEMA(ANSWER))
@@ -348,9 +350,12 @@ def repeated_bytes(docs: DataFrame, texts: bool = False, wide: int = WIDE) -> Da
                 for key, first, text, opened in zip(c["key"], c["first"], c["text"], c["open"], strict=True):
                     raw = text.encode("utf-8", "surrogatepass")
                     a = Anchors(raw)
-                    own = np.isin(a.context, np.frombuffer(opened, np.uint64))
-                    starts = np.maximum(a.at[own] - SPAN, 0)
-                    yield key, first, a.gram[own], starts, [raw[i:j] for i, j in zip(starts.tolist(), (a.at[own] + LENGTH).tolist(), strict=True)]
+                    own = np.flatnonzero(np.isin(a.context, np.frombuffer(opened, np.uint64)))
+                    # of a context only the anchor's own windows, a run as anchors take turns from the left
+                    of = a.owners()
+                    starts, ends = np.searchsorted(of, own), np.searchsorted(of, own, "right")
+                    own, starts, ends = own[ends > starts], starts[ends > starts], ends[ends > starts] + LENGTH - 1
+                    yield key, first, a.gram[own], starts, [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
 
             return _shards(of(), merges)
 

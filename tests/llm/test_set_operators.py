@@ -227,7 +227,7 @@ def test_repeated_bytes(docs):
     assert got == plain_repeats(rows)
 
 
-@pytest.mark.parametrize("wide", [20_000, 2])
+@pytest.mark.parametrize("wide", [20_000, 2, 0])
 def test_repeated_bytes_of_pieces(spark, wide):
     """Texts cut from one another at all places, so that repeats end everywhere and overlap."""
     r = random.Random(4)
