@@ -44,9 +44,9 @@ BATCH_HASHES = 500_000
 RANGE_HASHES = 1_200_000
 #: Bytes of contexts that a task holds before it transforms them, and bytes of contexts of a range.
 BATCH_BYTES = 4_000_000
-RANGE_BYTES = 2_000_000
+RANGE_BYTES = 1_000_000
 #: Contexts of an anchor beyond which its windows are compared one by one.
-WIDE = 32
+WIDE = 8
 LAST = (1 << 63) - 1
 _M = [np.uint64(m | 1) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
