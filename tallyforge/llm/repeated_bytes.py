@@ -46,7 +46,7 @@ RANGE_HASHES = 1_200_000
 BATCH_BYTES = 4_000_000
 RANGE_BYTES = 1_000_000
 #: Contexts of an anchor beyond which its windows are compared one by one.
-WIDE = 8
+WIDE = 16
 LAST = (1 << 63) - 1
 _M = [np.uint64(m | 1) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -85,6 +85,7 @@ class Anchors:
         padded[SPAN : SPAN + len(self.least)] = self.least
         self.at = np.flatnonzero(_slide(padded, SPAN + 1, np.maximum) == gram)
         self.gram = gram[self.at]
+        self.deal = _mixed(self.gram * _M[0])  # least hashes crowd at the low end; these don't
         c = self.h16[self.at]
         for k in (16, 32, 48, 64):
             c = c * _M[k // 16] + self.h16[self.at + k]
@@ -341,7 +342,7 @@ def repeated_bytes(docs: DataFrame, texts: bool = False, wide: int = WIDE) -> Da
                     raw = text.encode("utf-8", "surrogatepass")
                     if len(raw) >= LENGTH:
                         a = Anchors(raw)
-                        yield key, first, a.gram, a.context
+                        yield key, first, a.deal, a.context
 
             return _dealt(of(), ranges, parts)
 
@@ -355,7 +356,7 @@ def repeated_bytes(docs: DataFrame, texts: bool = False, wide: int = WIDE) -> Da
                     of = a.owners()
                     starts, ends = np.searchsorted(of, own), np.searchsorted(of, own, "right")
                     own, starts, ends = own[ends > starts], starts[ends > starts], ends[ends > starts] + LENGTH - 1
-                    yield key, first, a.gram[own], starts, [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    yield key, first, a.deal[own], starts, [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
 
             return _shards(of(), merges)
 
