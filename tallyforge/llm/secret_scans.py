@@ -31,8 +31,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 PART_ID = re.compile(r"""\b(?:(?:ASIA|AIDA|AROA|AKIA)[A-Z0-9]{8,}|(?:user(?:name)?|login|client_id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,})""", re.A)
-PART_SECRET = re.compile(r"(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=])", re.A)
-PART_ENDPOINT = re.compile(r"\b(?:https?|ftp|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9_.:@/-]+", re.A)
+# '=' may stand before a secret (key=value), and a secret may have any length; a run is taken whole.
+PART_SECRET = re.compile(r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}+={0,2}(?![A-Za-z0-9+/=])", re.A)
+PART_ENDPOINT = re.compile(r"\b(?:https?|ftp|postgres|mysql|mongodb|redis|amqp)(?:ql|s)?(?:\+[A-Za-z0-9]+)*://[A-Za-z0-9_.:@/-]+", re.A)
 WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
 

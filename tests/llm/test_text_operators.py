@@ -92,6 +92,31 @@ def test_weak_parts_need_company(spark, docs, texts):
         assert r["base_sha256"] == hashlib.sha256(plain_secrets(t).encode()).hexdigest()
 
 
+LONG = "aB3+" * 21 + "aB=="
+
+
+@pytest.mark.parametrize(
+    "text, parts",
+    [
+        ("AKIAABCDEFGH aws_secret_access_key=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", ["part_id", "part_secret"]),
+        ("https://db.example.com SecretAccessKey=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", ["part_endpoint", "part_secret"]),
+        (f"https://store.example.net AccountKey={LONG};", ["part_endpoint", "part_secret"]),
+        (f"login: somebody key {LONG}", ["part_id", "part_secret"]),
+        ("login: somebody key " + "aB3x" * 5000, ["part_id", "part_secret"]),
+        (f"mongodb+srv://db.example.net key {'aB3x' * 10}", ["part_endpoint", "part_secret"]),
+        (f"postgresql+psycopg2://db.example.net key {'aB3x' * 10}", ["part_endpoint", "part_secret"]),
+        (f"rediss://db.example.net key {'aB3x' * 10}", ["part_endpoint", "part_secret"]),
+    ],
+)
+def test_linked_secrets_in_usual_forms(spark, text, parts):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = secret_scans.secret_scans(docs).first()["found"]
+    assert [f["kind"] for f in found] == parts
+    secret = next(text[f["start"] : f["end"]] for f in found if f["kind"] == "part_secret")
+    assert secret in (LONG, text[-len(secret) :]) and len(secret) >= 40
+    assert secret not in secret_scans.redacted(docs).first()["text"]
+
+
 def test_redacted(docs):
     out = {r["doc_id"]: r["text"] for r in secret_scans.redacted(docs).collect()}
     assert out[21] == '[secret]" [secret]' and out[0] is None and secret_scans.redacted(docs).columns == docs.columns
