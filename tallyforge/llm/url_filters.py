@@ -1,10 +1,11 @@
 """URL filters: fixed rules first, then the labelled purity of path templates.
 
 A page's path becomes a template: digits in a segment become ``#``; under each host, level by
-level, a node with more than ``MAX_CHILDREN`` different segments, few pages each, has them all
-replaced by ``*``; segments below ``MAX_DEPTH`` become one ``**``. Sibling branches whose labelled
-bad rates don't differ from their pool's by more than ``Z`` standard errors are merged into ``*``;
-one that differs stays apart. A template's bad rate is smoothed towards its host's, and that
+level, sibling branches whose labelled bad rates don't differ from their pool's by more than ``Z``
+standard errors are merged into ``*``; one that differs stays apart. Of a node with more than
+``MAX_CHILDREN`` different segments, those with few pages each are a pool of their own, into whose
+``*`` those without labels go too; the others are merged among themselves, into ``*+``. Segments below
+``MAX_DEPTH`` become one ``**``. A template's bad rate is smoothed towards its host's, and that
 towards the rate of all pages; a template is rejected when the smoothed rate reaches ``LIMIT``.
 
 All steps after the first aggregate work on distinct (host, shape) pairs, so a host with a third
@@ -24,7 +25,7 @@ from tallyforge.llm.common import stored
 
 MAX_DEPTH = 6
 MAX_CHILDREN = 20
-#: A node with this many pages a child, or more, keeps its children apart.
+#: A child of a node with many that has this many pages, or more, isn't pooled with the smaller ones.
 PAGES_PER_CHILD = 50
 Z = 1.96
 #: Pages that the prior of a rate counts as.
@@ -72,15 +73,17 @@ def templates(pages: DataFrame) -> DataFrame:
     for level in range(MAX_DEPTH):
         segment = F.get("shape", F.lit(level))
         kids = tree.where(segment.isNotNull()).groupBy("host", "template", segment.alias("segment")).agg(F.sum("pages").alias("pages"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-        pool = kids.groupBy("host", "template").agg(
-            (F.count(F.lit(1)) > MAX_CHILDREN).alias("many"), (F.sum("pages") < PAGES_PER_CHILD * F.count(F.lit(1))).alias("thin"), F.sum("labelled").alias("all"), F.sum("bad").alias("all_bad"), F.count(F.lit(1)).alias("branches")
-        )
+        thin = F.col("pages") < PAGES_PER_CHILD
+        sums = {"branches": F.lit(1), "all": F.col("labelled"), "all_bad": F.col("bad")}
+        pool = kids.groupBy("host", "template").agg(*(F.sum(x).alias(n) for n, x in sums.items()), *(F.sum(F.when(thin, x).otherwise(0)).alias(f"thin_{n}") for n, x in sums.items()))
         both = kids.join(pool, ["host", "template"])
-        rate = (F.col("all_bad") + 1) / (F.col("all") + 2)
+        many = F.col("branches") > MAX_CHILDREN
+        branches, labelled, bad = (F.when(many & thin, F.col(f"thin_{n}")).when(many, F.col(n) - F.col(f"thin_{n}")).otherwise(F.col(n)) for n in sums)
+        rate = (bad + 1) / (labelled + 2)
         error = F.sqrt(rate * (1 - rate) / F.greatest(F.col("labelled"), F.lit(1)))
         alike = F.abs(F.col("bad") / F.greatest(F.col("labelled"), F.lit(1)) - rate) <= Z * error
-        merged = (F.col("many") & F.col("thin")) | ((F.col("branches") > 1) & (F.col("labelled") > 0) & alike)
-        named = both.select("host", "template", "segment", F.when(merged, "*").otherwise(F.col("segment")).alias("name"))
+        merged = (many & thin & (F.col("labelled") == 0)) | ((branches > 1) & (F.col("labelled") > 0) & alike)
+        named = both.select("host", "template", "segment", F.when(merged & many & ~thin, "*+").when(merged, "*").otherwise(F.col("segment")).alias("name"))
         tree = tree.withColumn("segment", segment).join(named, ["host", "template", "segment"], "left")
         tree = tree.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))).drop("segment", "name")
         tree = stored(tree)  # the next level reads it twice

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyforge.llm import bwt_merge, gif_media, jaccard_join, kd_sharding, repeated_bytes, url_filters
@@ -50,6 +51,20 @@ def test_templates(spark):
     assert url_filters.judge(pages.limit(0), []).count() == 0
 
 
+@pytest.mark.parametrize("heavy", [2000, 20_000])
+def test_large_sections_do_not_vanish_among_small_ones(spark, heavy):
+    name = F.translate(F.format_string("%04d", F.col("id") % 1000), string.digits, "abcdefghij")
+    small = spark.range(5000).select(F.concat(F.lit("http://h.com/f"), name, F.lit("/x")).alias("url"), F.lit(0).alias("bad"))
+    large = spark.range(heavy).select(F.lit("http://h.com/large/x").alias("url"), F.lit(1).alias("bad"))
+    calm = spark.range(500).select(F.lit("http://h.com/calm/x").alias("url"), F.lit(0).alias("bad"))
+    some = spark.range(40).select(F.lit("http://h.com/some/x").alias("url"), F.lit(1).alias("bad"))  # few pages, all bad
+    new = spark.range(40).select(F.lit("http://h.com/new/x").alias("url"), F.lit(None).cast("int").alias("bad"))
+    pages = small.union(large).union(calm).union(some).union(new).select(F.lit(1).alias("page_id"), "url", "bad")
+    out = {r["path"]: r for r in url_filters.judge(pages, []).dropDuplicates(["path"]).collect()}
+    assert {p for p, r in out.items() if r["verdict"] == "block"} == {"/large/x", "/some/x"} and len(out) == 1004
+    assert out["/large/x"]["template"].startswith("/large/") and {r["template"] for p, r in out.items() if p[1] == "f" or p == "/new/x"} == {"/*/x"}
+
+
 def test_shards(docs, spark, texts):
     out = kd_sharding.shard(docs, 4).toPandas()
     assert len(out) == len(texts) + 2 and set(out["shard"]) <= set(range(4))
