@@ -5,7 +5,7 @@ level, sibling branches whose labelled bad rates don't differ from their pool's
 standard errors are merged into ``*``; one that differs stays apart. Of a node with more than
 ``MAX_CHILDREN`` different segments, those with few pages each are a pool of their own, into whose
 ``*`` those without labels go too; the others are merged among themselves, into ``*+``. Segments below
-``MAX_DEPTH`` become one ``**``. A template's bad rate is smoothed towards its host's, and that
+``MAX_DEPTH`` become ``**``, except branches that differ in their labelled rates, at whatever depth. A template's bad rate is smoothed towards its host's, and that
 towards the rate of all pages; a template is rejected when the smoothed rate reaches ``LIMIT``.
 
 All steps after the first aggregate work on distinct (host, shape) pairs, so a host with a third
@@ -61,18 +61,35 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> t
 
 
 def _shape(path: Column) -> Column:
-    """The path's segments with # for digits; those beyond the depth as one **."""
-    parts = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/"), lambda s: s != "")
-    return F.when(F.size(parts) > MAX_DEPTH, F.concat(F.slice(parts, 1, MAX_DEPTH), F.array(F.lit("**")))).otherwise(parts)
+    """The path's segments with # for digits."""
+    return F.filter(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/"), lambda s: s != "")
+
+
+def _mixed(tree: DataFrame, level: int) -> tuple[DataFrame, int | None]:
+    """The nodes with several shapes and both labels below ``level``, and the first level from there on at which one of them parts."""
+    nodes = tree.where(F.size("shape") > level).groupBy("host", "template").agg(F.count(F.lit(1)).alias("shapes"), F.sum("labelled").alias("n"), F.sum("bad").alias("b"), F.min("shape").alias("lo"), F.max("shape").alias("hi"))
+    nodes = nodes.where((F.col("shapes") > 1) & (F.col("b") > 0) & (F.col("b") < F.col("n")))
+    common = F.array_position(F.zip_with("lo", "hi", lambda x, y: x.eqNullSafe(y)), F.lit(False)) - 1
+    first = nodes.agg(F.min(common)).first()[0]
+    return nodes.select("host", "template"), None if first is None else max(level, first)
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """The tree of ``pages`` (host, shape, bad): host, shape, template, pages, labelled, bad, rate."""
     tree = pages.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("pages"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
     tree = stored(tree.withColumn("template", F.lit("")))
-    for level in range(MAX_DEPTH):
+    level = 0
+    while True:
+        below, nodes = level >= MAX_DEPTH, tree
+        if level == MAX_DEPTH:
+            tree = tree.withColumn("template", F.when(F.size("shape") > MAX_DEPTH, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
+        if below:
+            mixed, level = _mixed(tree, level)
+            if level is None:
+                break
+            nodes = tree.join(mixed, ["host", "template"], "left_semi")
         segment = F.get("shape", F.lit(level))
-        kids = tree.where(segment.isNotNull()).groupBy("host", "template", segment.alias("segment")).agg(F.sum("pages").alias("pages"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+        kids = nodes.where(segment.isNotNull()).groupBy("host", "template", segment.alias("segment")).agg(F.sum("pages").alias("pages"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
         thin = F.col("pages") < PAGES_PER_CHILD
         sums = {"branches": F.lit(1), "all": F.col("labelled"), "all_bad": F.col("bad")}
         pool = kids.groupBy("host", "template").agg(*(F.sum(x).alias(n) for n, x in sums.items()), *(F.sum(F.when(thin, x).otherwise(0)).alias(f"thin_{n}") for n, x in sums.items()))
@@ -83,12 +100,14 @@ def templates(pages: DataFrame) -> DataFrame:
         error = F.sqrt(rate * (1 - rate) / F.greatest(F.col("labelled"), F.lit(1)))
         alike = F.abs(F.col("bad") / F.greatest(F.col("labelled"), F.lit(1)) - rate) <= Z * error
         merged = (many & thin & (F.col("labelled") == 0)) | ((branches > 1) & (F.col("labelled") > 0) & alike)
-        named = both.select("host", "template", "segment", F.when(merged & many & ~thin, "*+").when(merged, "*").otherwise(F.col("segment")).alias("name"))
+        wild = F.when(merged & many & ~thin, "*+").when(merged, "**" if below else "*")
+        if below:  # only branches known to differ are kept
+            wild = wild.when((F.col("labelled") == 0) | (F.col("branches") == 1), "**")
+        named = both.select("host", "template", "segment", wild.otherwise(F.col("segment")).alias("name"))
         tree = tree.withColumn("segment", segment).join(named, ["host", "template", "segment"], "left")
-        tree = tree.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))).drop("segment", "name")
+        tree = tree.withColumn("template", F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))).drop("segment", "name")
         tree = stored(tree)  # the next level reads it twice
-    deep = F.size("shape") > MAX_DEPTH
-    tree = tree.withColumn("template", F.when(deep, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
+        level += 1
     total = tree.agg(F.sum("bad").alias("b"), F.sum("labelled").alias("n")).select((F.coalesce("b", F.lit(0.0)) / F.greatest(F.coalesce("n", F.lit(0)), F.lit(1))).alias("prior"))
     hosts = tree.groupBy("host").agg(F.sum("bad").alias("h_bad"), F.sum("labelled").alias("h_labelled")).join(F.broadcast(total))  # one row
     hosts = hosts.select("host", ((F.col("h_bad") + SMOOTHING * F.col("prior")) / (F.col("h_labelled") + SMOOTHING)).alias("h_rate"))

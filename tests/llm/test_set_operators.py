@@ -65,6 +65,16 @@ def test_large_sections_do_not_vanish_among_small_ones(spark, heavy):
     assert out["/large/x"]["template"].startswith("/large/") and {r["template"] for p, r in out.items() if p[1] == "f" or p == "/new/x"} == {"/*/x"}
 
 
+def test_branches_that_part_at_any_depth(spark):
+    ends = [("seven.com/a/b/c/d/e/f/bad/x", 1), ("seven.com/a/b/c/d/e/f/good/x", 0), ("far.com" + "/s" * 40 + "/bad", 1), ("far.com" + "/s" * 40 + "/good", 0)]
+    ends += [("two.com/a/b/c/d/e/f/x/u", 1), ("two.com/a/b/c/d/e/f/y/x", 0), ("two.com/a/b/c/d/e/f/y/z", 1), ("two.com/a/b/c/d/e/f/new/z", None)]
+    rows = [(i, f"http://{u}", bad) for u, bad in ends for i in range(60)]
+    out = url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, bad int"), []).dropDuplicates(["host", "path"]).collect()
+    got = {r["host"] + r["path"]: r for r in out}
+    assert all(got[u]["verdict"] == ("block" if bad else "allow") for u, bad in ends if bad is not None)
+    assert len({got[u]["template"] for u, _ in ends if u.startswith("two")}) == 4
+
+
 def test_shards(docs, spark, texts):
     out = kd_sharding.shard(docs, 4).toPandas()
     assert len(out) == len(texts) + 2 and set(out["shard"]) <= set(range(4))
