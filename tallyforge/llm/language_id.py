@@ -7,7 +7,7 @@ the centroid with the largest cosine. One that lies further from its centroid th
 training texts of that centroid do is marked as rejected; the nearest language stays.
 
 The classifier is fitted on at most ``PER_LANGUAGE`` labelled texts a language, chosen by a hash
-of the text's id; whole texts are predicted. Defined results: null texts and texts without a letter are
+of id and text, equal rows counting once; the document frequencies come from all training texts. Whole texts are predicted. Defined results: null texts and texts without a letter are
 ``und`` with score 0; so are all where nothing was learned; ties go to the language first in
 order; rows with null lang teach nothing; an empty table gives an empty table; other columns
 aren't read.
@@ -87,13 +87,38 @@ def clustered(x: np.ndarray, k: int = CENTROIDS) -> np.ndarray:
     return centroids
 
 
+def sampled(known: DataFrame, per_language: int) -> DataFrame:
+    """lang and text of at most ``per_language`` different rows of ``known`` (doc_id, text, lang) a language."""
+    keyed = known.select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
+    order = Window.partitionBy("lang").orderBy("key")
+    # keys first, so that only chosen rows carry their text on; the limit is applied before the shuffle
+    chosen = keyed.select("lang", "key").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).drop("n")
+    return keyed.join(F.broadcast(chosen), ["lang", "key"], "left_semi").groupBy("lang", "key").agg(F.first("text").alias("text")).drop("key")
+
+
+def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of ``texts`` (text) with a letter, and in how many of them each slot occurs."""
+
+    def fn(c):
+        found = np.zeros(DIMENSIONS + 1, np.int64)
+        for text in c["text"]:
+            n = counts(text)
+            if n is not None:
+                found[:DIMENSIONS] += n > 0
+                found[DIMENSIONS] += 1
+        at = np.flatnonzero(found)
+        return {"slot": at.tolist(), "texts": found[at].tolist()}
+
+    out = np.zeros(DIMENSIONS + 1, np.int64)
+    for r in over_batches(texts.select("text"), {"slot": "int", "texts": "bigint"}, fn).groupBy("slot").agg(F.sum("texts").alias("texts")).collect():  # a row a slot
+        out[r["slot"]] = r["texts"]
+    return int(out[DIMENSIONS]), out[:DIMENSIONS]
+
+
 def fit(docs: DataFrame, training: Column, per_language: int = PER_LANGUAGE) -> dict:
     """A classifier from the rows of ``docs`` (doc_id, text, lang) for which ``training`` holds."""
     known = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # ids first, so that only chosen rows carry their text on; the limit is applied before the shuffle
-    chosen = known.select("lang", "doc_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id").distinct()
-    sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
+    sample = sampled(known, per_language)
 
     def fn(c):
         for lang, text in zip(c["lang"], c["text"], strict=True):
@@ -111,7 +136,8 @@ def fit(docs: DataFrame, training: Column, per_language: int = PER_LANGUAGE) ->
     for k, i in enumerate(order):
         x[k, np.frombuffer(rows[i]["slots"], np.int32)] = np.frombuffer(rows[i]["counts"], np.float32)
     y = y[order]
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
+    n, found = document_frequencies(known)
+    idf = (np.log((1 + n) / (1 + found)) + 1).astype(np.float32)
     x = normalised(x, idf)
     centroids, of, radius = [], [], []
     for j in range(len(langs)):

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from compare import same
 from tallyforge.llm import language_id, packing, quality_rules, registry, secret_scans, sentencepiece_bpe
@@ -190,6 +191,17 @@ def test_languages_held_out(spark):
     assert len(held) > 100 and (held.lang_pred == held.lang).mean() > 0.98 and out.score.between(0, 1).all()
 
 
+def test_language_sample_is_bounded_and_frequencies_are_whole(spark):
+    rows = [(7, f"hot text {chr(97 + i)}{chr(97 + i)}", "en") for i in range(20)] * 2 + [(100 + i, f"autre {chr(97 + i)}", "fr") for i in range(10)] + [(7, "123", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language_id.fit(docs, F.lit(True), 5)
+    own = [c for c in (language_id.counts(t) for _, t, _ in rows) if c is not None]
+    want = np.log((1 + len(own)) / (1 + (np.stack(own) > 0).sum(axis=0))) + 1
+    assert len(own) == 50 and np.allclose(model["idf"], want, atol=1e-5) and model["langs"] == ["en", "fr"]
+    assert {r["lang"]: r["count"] for r in language_id.sampled(docs, 5).groupBy("lang").count().collect()} == {"en": 5, "fr": 5}
+    assert language_id.sampled(docs, 400).count() == 31
+
+
 def test_language_edges(docs, texts):
     out = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
     assert len(out) == len(texts) + 1
