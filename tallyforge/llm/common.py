@@ -22,15 +22,29 @@ ARROW = {
 }
 
 
+def ddl(fields: dict[str, str]) -> str:
+    return ", ".join(f"`{k}` {t}" for k, t in fields.items())
+
+
+def arrow_schema(fields: dict[str, str]) -> pa.Schema:
+    return pa.schema([(k, ARROW[t]) for k, t in fields.items()])
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The documents table, only the named columns."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The shared folder of spark.checkpoint.dir.
+
+    Where that is unset, a local folder serves a local master, as in tests; on a cluster, where
+    executors wouldn't see each other's files, this raises.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='scratch-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -38,25 +52,66 @@ def scratch(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read again: later jobs neither recompute it nor lose it with an executor."""
-    path = f"{scratch(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    return _written(df, f"{scratch(df.sparkSession)}/stored-{uuid.uuid4().hex}")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """A folder for what a query stores on its way; it goes when the block ends, so return nothing lazy that reads it.
+
+    with Scratch(spark) as kept:
+        rows = kept.stored(...)
+        return stored(...)
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.count = spark, f"{scratch(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        return _written(df, f"{self.path}/{self.count}")
+
+    def __exit__(self, *_) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def over_batches(df: DataFrame, fields: dict[str, str], fn) -> DataFrame:
     """``fn`` over Arrow batches, Spark dealing out the rows.
 
     fn takes {column: list of values} and returns {column: list} or an iterable of those.
     """
-    names = df.columns
+    names, schema = df.columns, arrow_schema(fields)
 
     def run(batches):
         for b in batches:
             out = fn({n: b.column(i).to_pylist() for i, n in enumerate(names)})
             for part in [out] if isinstance(out, dict) else out:
-                yield pa.RecordBatch.from_arrays([pa.array(part[k], ARROW[t]) for k, t in fields.items()], names=list(fields))
+                yield pa.RecordBatch.from_arrays([pa.array(part[k], schema.field(k).type) for k in fields], schema=schema)
+
+    return df.mapInArrow(run, ddl(fields))
+
+
+def whole(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, whatever their names."""
+    return F.struct(*(df[quoted(c)] for c in df.columns))
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
 
-    return df.mapInArrow(run, ", ".join(f"`{k}` {t}" for k, t in fields.items()))
+def unpacked(df: DataFrame, struct: str, columns: list[str], fresh: dict[str, Column]) -> DataFrame:
+    """The fields of ``struct`` as columns again, those in ``fresh`` by new values."""
+    return df.select(*(fresh[c].alias(c) if c in fresh else F.col(struct).getField(c).alias(c) for c in columns))
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[str | Column], name: str, rows_per_bucket: int = 10_000) -> DataFrame:

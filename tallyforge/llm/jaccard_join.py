@@ -2,29 +2,34 @@
 
 Distance is one minus Jaccard similarity, a metric; two documents link at similarity
 ``PERCENT`` or more. Documents without a shingle in common all lie at distance 1 from each other,
-so pivots tell nothing there, and the space is first cut where nothing is lost:
-
-1. Equal sets become one point. Shingle hashes are dealt by value to ranges, as flat arrays,
-   and each range finds the shingles that at least two points hold, with their frequency.
-2. A point links only if enough of its shingles are shared at all; most points end here. Of the
-   rest, a link must share one of each partner's rarest few shingles (prefix filter), so the components
-   of "holds the same rare shingle" are regions that no link leaves.
-3. Regions of bounded size are joined exactly: each takes pivots, keeps points' distances to
-   them, and by the triangle inequality compares a point only with those of other components
-   whose distances to all pivots so far differ by no more than the radius.
-4. A larger region takes distributed pivots: every point is linked with those within the
-   radius, and what doesn't fall to the region's main component is compared, block by block,
-   with all of the region. So a group of copies of any size costs two passes.
-
-Within a component no further pairs are compared, and none are ever emitted: only links that
-join components. Everything else is exact; shingles are told apart by 64-bit hashes.
+where pivots tell nothing, so what can't link is parted first, and nothing is lost by it:
+
+1. In order of hash value, all but a fourth of a set's shingles are also its partner's. So of the set's first
+   shingles (its head: a fourth and ``HEAD`` of it) a link shares most of ``HEAD``; a set whose head
+   others share less has no partner. Only heads are shuffled here (shared_shingles).
+2. What is left is fetched as whole sets, and counted again: a set links only if ``PERCENT`` of its shingles
+   are shared. A link must share one of each partner's rarest few shingles (prefix filter), so the
+   components of "holds the same rare shingle" are regions that no link leaves.
+3. A region larger than a task takes pivots. Points within the radius of one are linked with it. Every
+   point belongs to the Voronoi cell of its nearest pivot, or, beyond ``FAR`` of all, to the
+   rest; points that aren't in the region's main component by now are open, and are replicated to all cells where
+   the triangle inequality allows a partner. Cells without open points are done; small ones are joined;
+   others take pivots of their own, and so on. Where a cell has few open points, or pivots part
+   nothing any more, they are compared with all of the cell in blocks.
+4. A task joins its regions exactly: pivots with windows by the triangle inequality, then lists of rare
+   shingles. Within a component no further pairs are compared, and none are ever emitted: only links that
+   join components. A group of copies of any size thus costs a few passes.
+
+Equal sets are one point, told by 128 bits; shingles are told apart by 64-bit hashes, within pairs that are compared.
 
 Defined results: null and empty texts have no shingle, n_shingles 0, and are linked with
 nothing, so each is its own component; with one to four words the whole sequence is one
-shingle; rows with equal doc_id are rows of one document; an empty table gives an
-empty table; other columns aren't read.
+shingle; a text of any length is one set, in one task; rows with equal doc_id are rows of one document, and where all ids of a component are
+null, so is its component_id; an empty table gives an empty table; other columns aren't read.
 """
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,24 +37,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyforge.llm.common import over_batches, stored
+from tallyforge.llm import shared_shingles
+from tallyforge.llm.common import Scratch, over_batches, stored, unpacked, whole
 from tallyforge.llm.components import components
 
 WORDS = 5
 PERCENT = 75
 RADIUS = 1 - PERCENT / 100
-#: Shingles of a range, and of a region that one task joins.
-RANGE_SHINGLES = 500_000
+#: The part of a set's shingles that its head has beyond those that a partner may lack.
+HEAD = Fraction(1, 10)
+#: Shingles, and points, of a region that one task joins.
 REGION_SHINGLES = 4_000_000
+REGION_POINTS = 40_000
 #: Pivots of a large region, and pivots whose distances a task keeps.
 PIVOTS = 16
-#: Shingles after which a task passes its arrays on; words whose hash a worker keeps.
-BATCH_SHINGLES = 1_000_000
+#: Points that a task compares with a point at once.
+BLOCK = 128
+#: Distance from all pivots beyond which a point belongs to the rest.
+FAR = 0.5
+#: A cell that keeps more than this part of its region's open points isn't parted again by pivots.
+STUCK = 0.9
+#: Words whose hash a worker keeps.
 CACHED_WORDS = 300_000
-#: Points of a batch from which a shingle counts as frequent; its points then needn't meet in its range.
-FREQUENT = 64
-#: The largest frequency that is told apart; also the mark of a frequent shingle.
-MOST = 255
+LAST = (1 << 63) - 1
 _LOWER = bytes(range(256)).lower()
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _known: dict[bytes, int] = {}
@@ -60,6 +70,11 @@ def needed(n):
     return -(-PERCENT * n // 100)
 
 
+def told(n: int) -> int:
+    """How many common shingles the heads of two sets of n have at least."""
+    return 1 + n * HEAD.numerator // HEAD.denominator
+
+
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
@@ -81,171 +96,141 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(total)
 
 
-def set_key(hashes: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
+def head(s: np.ndarray) -> np.ndarray:
+    return s[: len(s) - needed(len(s)) + told(len(s))]
 
 
-def points(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, key (of the set) and n of every row."""
-
-    def fn(c):
-        sets = [shingles(t) for t in c["text"]]
-        return {"doc_id": c["doc_id"], "text_key": c["text_key"], "key": [set_key(s) for s in sets], "n": [len(s) for s in sets]}
-
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return over_batches(rows, {"doc_id": "bigint", "text_key": "bigint", "key": "bigint", "n": "bigint"}, fn)
-
-
-BLOCK = {"part": "int", "keys": "binary", "sizes": "binary", "counts": "binary", "shingles": "binary", "frequencies": "binary"}
-BLOCK_SCHEMA = pa.schema([(k, pa.int32() if v == "int" else pa.binary()) for k, v in BLOCK.items()])
-
-
-def _by_part(part: np.ndarray, key: np.ndarray, size: np.ndarray, flat: np.ndarray, frequency: np.ndarray) -> dict:
-    """Rows of BLOCK of shingles with their points, shingles of a point together."""
-    order = np.lexsort((flat, key, part))
-    part, key, size, flat, frequency = part[order], key[order], size[order], flat[order], frequency[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
-    head = np.flatnonzero(new)
-    count = np.diff(np.r_[head, len(key)]).astype(np.int32)
-    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else head
-    edge = np.r_[first, len(part)].tolist()
-    edge_head = np.searchsorted(head, edge).tolist()
-    out = {k: [] for k in BLOCK}
-    for p, a, b, i, j in zip(part[first].tolist(), edge, edge[1:], edge_head, edge_head[1:], strict=False):
-        own = head[i:j]
-        row = (p, key[own].tobytes(), size[own].astype(np.int32).tobytes(), count[i:j].tobytes(), flat[a:b].tobytes(), frequency[a:b].astype(np.uint8).tobytes())
-        for name, v in zip(BLOCK, row, strict=True):
-            out[name].append(v)
-    return out
+def set_key(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two longs."""
+    key = xxhash.xxh3_128_intdigest(hashes.tobytes())
+    return (key >> 64) - (1 << 63), (key & ((1 << 64) - 1)) - (1 << 63)
 
 
-def _part_of(key: np.ndarray, parts: int) -> np.ndarray:
-    return (key.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+POINT = {"doc_id": "bigint", "text_key": "bigint", "k1": "bigint", "k2": "bigint", "n": "bigint", "head": "binary"}
 
 
-def _dealt(docs: DataFrame, ranges: int, parts: int) -> DataFrame:
-    """Each task's shingles by range of value, with the points that hold them.
-
-    A shingle that many points of a batch hold is settled there: its points get the largest
-    frequency at once (behind the ranges), and its range only a mark, so a shingle that a third
-    of all documents hold reaches its range a few times a batch.
-    """
-
-    def blocks(sets):
-        if not sets:
-            return
-        size = np.fromiter(map(len, sets), np.int64, len(sets))
-        keys = np.fromiter(map(set_key, sets), np.int64, len(sets))
-        # copies within the batch go at once
-        _, one = np.unique(keys, return_index=True)
-        sets, size, keys = [sets[i] for i in one], size[one], keys[one]
-        flat, size, key = np.concatenate(sets), np.repeat(size, size), np.repeat(keys, size)
-        _, back, count = np.unique(flat, return_inverse=True, return_counts=True)
-        often = count[back] >= FREQUENT
-        part = (((flat >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int32)
-        if often.any():
-            yield _by_part(_part_of(key[often], parts) + ranges, key[often], size[often], flat[often], np.full(int(often.sum()), MOST))
-            mark = np.flatnonzero(often)
-            mark = mark[np.unique(flat[mark], return_index=True)[1]]
-            stay = np.r_[np.flatnonzero(~often), mark]
-            often = often[stay]
-            part, key, size, flat = part[stay], key[stay], size[stay], flat[stay]
-        yield _by_part(part, key, size, flat, np.where(often, MOST, 0))
+def points(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, set key, n and head of every row."""
 
     def fn(c):
-        held, n = [], 0
-        for t in c["text"]:
-            s = shingles(t)
-            if len(s):
-                held.append(s)
-                n += len(s)
-            if n > BATCH_SHINGLES:
-                yield from blocks(held)
-                held, n = [], 0
-        yield from blocks(held)
-
-    return over_batches(docs.select("text"), BLOCK, fn)
-
-
-def _arrays(table: pa.Table):
-    """keys, sizes of all points of a part, one row per shingle; its shingles and frequencies."""
-    get = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    counts = get("counts", np.int32)
-    return np.repeat(get("keys", np.int64), counts), np.repeat(get("sizes", np.int32), counts), get("shingles", np.uint64), get("frequencies", np.uint8)
-
-
-def _shared(blocks: DataFrame, ranges: int, parts: int) -> DataFrame:
-    """Of every range the shingles that two points hold or more, dealt by point."""
-
-    def fn(table: pa.Table) -> pa.Table:
-        if (part := table.column("part")[0].as_py()) >= ranges:  # settled already
-            return table.set_column(0, "part", pa.array([part - ranges] * len(table), pa.int32())).cast(BLOCK_SCHEMA)
-        key, size, flat, mark = _arrays(table)
-        order = np.argsort(flat)
-        key, size, flat, mark = key[order], size[order], flat[order], mark[order]
-        head = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-        length = np.diff(np.r_[head, len(flat)])
-        twice = np.repeat(length > 1, length)
-        key, size, flat, mark = key[twice], size[twice], flat[twice], mark[twice]
-        order = np.lexsort((mark, key, flat))
-        key, size, flat, mark = key[order], size[order], flat[order], mark[order]
-        new = np.ones(len(flat), bool)
-        new[1:] = (flat[1:] != flat[:-1]) | (key[1:] != key[:-1])  # copies of a point go
-        head = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
-        if len(head):
-            length = np.diff(np.r_[head, len(flat)])
-            count = np.minimum(np.maximum(np.add.reduceat(new.astype(np.int64), head), np.maximum.reduceat(mark.astype(np.int64), head)), MOST)
-            frequency = np.repeat(count, length)
-        else:
-            frequency = np.zeros(0, np.int64)
-        told = new & (frequency > 1) & (mark == 0)
-        key = key[told]
-        return pa.Table.from_pydict(_by_part(_part_of(key, parts), key, size[told], flat[told], frequency[told]), schema=BLOCK_SCHEMA)
-
-    return blocks.groupBy("part").applyInArrow(fn, ", ".join(f"{k} {v}" for k, v in BLOCK.items()))
-
-
-def _able(shared: DataFrame) -> DataFrame:
-    """The points that share enough to link: key, n, their shared shingles, and the rarest few, of which a link shares one."""
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("shingles", pa.binary()), ("rarest", pa.list_(pa.int64()))])
-
-    def fn(table: pa.Table) -> pa.Table:
-        key, size, flat, frequency = _arrays(table)
-        order = np.lexsort((flat, frequency, key))
-        key, size, flat = key[order], size[order], flat[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (flat[1:] != flat[:-1])  # told by two batches
-        key, size, flat = key[new], size[new], flat[new]
-        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        out = {k: [] for k in schema.names}
-        for a, b in zip(head.tolist(), [*head[1:].tolist(), len(key)], strict=True):
-            n, least = int(size[a]), int(needed(size[a]))
-            if b - a < least:
+        for i in range(0, len(c["text"]), 1024):
+            sets = [shingles(t) for t in c["text"][i : i + 1024]]
+            keys = [set_key(s) for s in sets]
+            yield {
+                "doc_id": c["doc_id"][i : i + 1024], "text_key": c["text_key"][i : i + 1024], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys],
+                "n": [len(s) for s in sets], "head": [head(s).tobytes() for s in sets],
+            }
+
+    return over_batches(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), POINT, fn)
+
+
+def _ranges(shingles_: int | None, size: int) -> int:
+    return max(8, -(-(shingles_ or 0) // size))
+
+
+def _may_link(each: DataFrame, range_shingles: int) -> DataFrame:
+    """One row (id, text_key) for each set of which enough of the head is shared. Copies count as others here, which only keeps more."""
+
+    def of(c):
+        seen = set()
+        for doc, *record, h in zip(*(c[k] for k in POINT), strict=True):
+            key = tuple(record[1:3])
+            if record[3] and key not in seen:
+                seen.add(key)
+                yield (LAST if doc is None else doc, *record), np.frombuffer(h, np.uint64)
+
+    fields = {k: POINT[k] for k in ("text_key", "k1", "k2")} | {"id": "bigint"}
+
+    def able(table: pa.Table) -> dict:
+        record, settled, answers = shared_shingles.directory(table, 5)
+        count = shared_shingles.counted(settled, len(record)) + shared_shingles.counted(answers, len(record))
+        # the smallest partner has needed(n) shingles
+        least = 1 + needed(record[:, 4]) * HEAD.numerator // HEAD.denominator
+        record = record[count >= least]
+        return {"id": record[:, 0], "text_key": record[:, 1], "k1": record[:, 2], "k2": record[:, 3]}
+
+    total = each.agg(F.sum(F.octet_length("head"))).first()[0] or 0
+    ranges = _ranges(total // 8, range_shingles)
+    cells = shared_shingles.dealt(each.select(*POINT), of, ranges)
+    left = shared_shingles.by_batch(shared_shingles.answered(cells, ranges, False), fields, able)
+    return left.groupBy("k1", "k2").agg(F.min(F.struct("id", "text_key")).alias("one")).select("one.*")
+
+
+ABLE = {"k1": "bigint", "k2": "bigint", "n": "bigint", "m": "bigint", "shingles": "binary", "rarest": "array<bigint>"}
+
+
+def _able(docs: DataFrame, may: DataFrame, each: DataFrame, kept: Scratch, range_shingles: int) -> DataFrame:
+    """The points that share enough to link: pid, key, n, their m shared shingles, and the rarest few, of which a link shares one."""
+    texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.xxhash64("text").alias("text_key"), "text")
+    texts = texts.join(may, ["id", "text_key"], "left_semi")
+
+    def of(c):
+        seen = set()
+        for text in c["text"]:
+            s = shingles(text)
+            if (key := set_key(s)) not in seen:
+                seen.add(key)
+                yield (*key, len(s)), s
+
+    def rare(table: pa.Table) -> dict:
+        record, settled, answers = shared_shingles.directory(table, 3)
+        owner, flat, frequency = shared_shingles.held(settled, answers)
+        order = np.lexsort((flat, frequency, owner))
+        owner, flat = owner[order], flat[order]
+        edge = np.searchsorted(owner, np.arange(len(record) + 1)).tolist()
+        out = {k: [] for k in ABLE}
+        for (k1, k2, n), a, b in zip(record.tolist(), edge, edge[1:], strict=False):
+            if b - a < needed(n):
                 continue
-            rarest = flat[a : a + (b - a) - least + 1]
-            for name, v in zip(schema.names, (int(key[a]), n, b - a, np.sort(flat[a:b]).tobytes(), rarest.view(np.int64)), strict=True):
+            row = (k1, k2, n, b - a, np.sort(flat[a:b]).tobytes(), flat[a : a + (b - a) - needed(n) + 1].view(np.int64))
+            for name, v in zip(ABLE, row, strict=True):
                 out[name].append(v)
-        return pa.Table.from_pydict(out, schema=schema)
+        return out
 
-    return shared.groupBy("part").applyInArrow(fn, "key bigint, n bigint, m bigint, shingles binary, rarest array<bigint>")
+    total = each.join(may, (F.coalesce(each["doc_id"], F.lit(LAST)) == may["id"]) & (each["text_key"] == may["text_key"]), "left_semi").agg(F.sum("n")).first()[0]
+    ranges = _ranges(total, range_shingles)
+    cells = shared_shingles.dealt(texts.select("text"), of, ranges)
+    rows = shared_shingles.by_batch(shared_shingles.answered(cells, ranges, True), ABLE, rare)
+    return kept.stored(rows.dropDuplicates(["k1", "k2"]).withColumn("pid", F.monotonically_increasing_id()))
 
 
 class Region:
-    """Points of a region as flat arrays; links found so far as a forest."""
+    """Points of a region as flat arrays; links found so far as labels."""
 
     def __init__(self, n: np.ndarray, sets: list[np.ndarray], label: np.ndarray | None = None):
-        self.n, self.label = n, np.arange(len(n)) if label is None else label.copy()
-        self.size = np.fromiter(map(len, sets), np.int64, len(sets))
+        g = len(n)
+        self.n, self.label = n, np.arange(g) if label is None else label.copy()
+        self.members = {x: np.flatnonzero(self.label == x) for x in np.unique(self.label).tolist()} if label is not None else {i: np.array([i]) for i in range(g)}
+        self.size = np.fromiter(map(len, sets), np.int64, g)
         self.edge = np.r_[0, np.cumsum(self.size)]
         self.flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        # each point's rarest shingles within the region, and who else has them so
+        _, value, count = np.unique(self.flat, return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(g), self.size)
+        shared = count[value] > 1
+        value, owner = value[shared], owner[shared]
+        order = np.lexsort((value, count[value], owner))
+        value, owner = value[order], owner[order]
+        size = np.bincount(owner, minlength=g)
+        place = np.arange(len(owner)) - np.r_[0, np.cumsum(size)][owner]
+        first = place < size[owner] - needed(n)[owner] + 1
+        value, owner = value[first], owner[first]
+        self.list_edge = np.searchsorted(owner, np.arange(g + 1))
+        order = np.argsort(value, kind="stable")
+        self.holder = owner[order]
+        new = shared_shingles.heads(value[order])
+        start = np.flatnonzero(new)
+        self.list_start, self.list_end = start, np.r_[start[1:], len(order)]
+        self.list = np.empty(len(order), np.int64)
+        self.list[order] = np.cumsum(new) - 1
+        self.closed = self.list_end - self.list_start < 2
 
     def set(self, i: int) -> np.ndarray:
         return self.flat[self.edge[i] : self.edge[i + 1]]
 
-    def common(self, pivot: np.ndarray, among: np.ndarray) -> np.ndarray:
-        """How many shingles of ``pivot`` each point of ``among`` has."""
-        if len(among) * 2 > len(self.n):
+    def common(self, pivot: np.ndarray, among: np.ndarray | None) -> np.ndarray:
+        """How many shingles of ``pivot`` each point has, or each of ``among``."""
+        if among is None:
             flat, sizes = self.flat, self.size
         else:
             flat, sizes = np.concatenate([self.set(i) for i in among.tolist()]), self.size[among]
@@ -253,39 +238,72 @@ class Region:
         hit = pivot[np.minimum(at, len(pivot) - 1)] == flat
         total = np.r_[0, np.cumsum(hit)]
         edge = np.r_[0, np.cumsum(sizes)]
-        counts = total[edge[1:]] - total[edge[:-1]]
-        return counts[among] if len(sizes) == len(self.n) and len(among) != len(sizes) else counts
-
-    def joined(self, first: int | None = None) -> list[tuple[int, int]]:
-        """Links that join components: of all pairs, or of those of the first ``first`` points with all."""
-        links, g = [], len(self.n)
-        distances: list[np.ndarray] = []
-        for q in range(g if first is None else first):
-            others = (self.label != self.label[q]) & (np.arange(g) > q)
+        return total[edge[1:]] - total[edge[:-1]]
+
+    def merge(self, a: int, b: int) -> None:
+        if len(self.members[a]) < len(self.members[b]):
+            a, b = b, a
+        own = self.members.pop(b)
+        self.label[own] = a
+        self.members[a] = np.r_[self.members[a], own]
+
+    def partners(self, q: int) -> np.ndarray:
+        """Points of other components in the lists of q's rarest shingles; lists within one component are closed for good."""
+        lists = self.list[self.list_edge[q] : self.list_edge[q + 1]]
+        lists = lists[~self.closed[lists]]
+        if not len(lists):
+            return lists
+        length = self.list_end[lists] - self.list_start[lists]
+        begin = np.r_[0, np.cumsum(length)[:-1]]
+        holders = self.holder[np.arange(int(length.sum())) + np.repeat(self.list_start[lists] - begin, length)]
+        other = self.label[holders] != self.label[q]
+        self.closed[lists[~np.logical_or.reduceat(other, begin)]] = True
+        return np.unique(holders[other])
+
+    def link(self, q: int, among: np.ndarray, both: np.ndarray, links: list) -> None:
+        for x in among[100 * both >= PERCENT * (self.n[among] + self.n[q] - both)].tolist():
+            if self.label[x] != self.label[q]:
+                links.append((q, x))
+                self.merge(int(self.label[q]), int(self.label[x]))
+
+    def joined(self, probes: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """Links that join components: of all pairs, or of those with one of ``probes``.
+
+        After some points the largest component is the main one, whose points needn't ask: those outside ask them.
+        """
+        links, distances, main = [], [], None
+        asked = np.zeros(len(self.n), bool)
+        for turn, q in enumerate(range(len(self.n)) if probes is None else probes.tolist()):
+            if turn == PIVOTS:
+                main = max(self.members.values(), key=len)[0]
+            if main is not None and self.label[q] == self.label[main]:
+                continue
+            asked[q] = True
+            among = self.partners(q)
+            among = among[~asked[among]]
             # sizes too far apart are too far apart, the distance to the empty set in the space of symmetric differences
-            others &= (100 * np.minimum(self.n, self.n[q]) >= PERCENT * np.maximum(self.n, self.n[q]))
+            among = among[100 * np.minimum(self.n[among], self.n[q]) >= PERCENT * np.maximum(self.n[among], self.n[q])]
             for d in distances:
-                others &= np.abs(d - d[q]) <= RADIUS + 1e-9
-            among = np.flatnonzero(others)
+                among = among[np.abs(d[among] - d[q]) <= RADIUS + 1e-9]
             if not len(among):
-                if (self.label == self.label[0]).all():
+                continue
+            if len(distances) < PIVOTS and 4 * len(among) > len(self.n):
+                both = self.common(self.set(q), None)
+                distances.append(1 - both / (self.n + self.n[q] - both))
+                self.link(q, among, both[among], links)
+                if len(self.members) == 1:
                     break
                 continue
-            full = len(distances) < PIVOTS
-            both = self.common(self.set(q), np.arange(g) if full else among)
-            if full:
-                distances.append(1 - both / np.maximum(self.n + self.n[q] - both, 1))
-                both = both[among]
-            near = among[100 * both >= PERCENT * (self.n[among] + self.n[q] - both)]
-            if len(near):
-                roots = np.unique(np.r_[self.label[near], self.label[q]])
-                heads = near[np.unique(self.label[near], return_index=True)[1]]
-                links += [(q, int(x)) for x in heads]
-                self.label[np.isin(self.label, roots)] = roots[0]
+            while len(among):  # once q has joined a component, no more of it are looked at
+                block = among[:BLOCK]
+                self.link(q, block, self.common(self.set(q), block), links)
+                among = among[BLOCK:]
+                among = among[self.label[among] != self.label[q]]
         return links
 
 
 LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+LINK = "u bigint, v bigint"
 
 
 def _sets(table: pa.Table) -> list[np.ndarray]:
@@ -293,92 +311,166 @@ def _sets(table: pa.Table) -> list[np.ndarray]:
 
 
 def _small(rows: DataFrame) -> DataFrame:
-    """Links of regions that fit one task; several regions share a bin."""
+    """Links of regions that fit one task, several to a bin: ``rows`` (bin, region, pid, n, shingles, label, open)."""
 
     def fn(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("region", "ascending"), ("key", "ascending")])
-        region, key, n = (table.column(c).to_numpy() for c in ("region", "key", "n"))
+        table = table.sort_by([("region", "ascending"), ("pid", "ascending")])
+        region, pid, n, label, opened = (table.column(c).to_numpy(zero_copy_only=False) for c in ("region", "pid", "n", "label", "open"))
         sets, u, v = _sets(table), [], []
-        head = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
+        head = np.flatnonzero(shared_shingles.heads(region))
         for a, b in zip(head.tolist(), [*head[1:].tolist(), len(region)], strict=True):
-            for x, y in Region(n[a:b], sets[a:b]).joined():
-                u.append(int(key[a + x]))
-                v.append(int(key[a + y]))
+            own = Region(n[a:b], sets[a:b], np.unique(label[a:b], return_inverse=True)[1])
+            for x, y in own.joined(np.flatnonzero(opened[a:b])):
+                u.append(int(pid[a + x]))
+                v.append(int(pid[a + y]))
         return pa.table({"u": u, "v": v}, schema=LINKS)
 
-    return rows.groupBy("bin").applyInArrow(fn, "u bigint, v bigint")
-
-
-def _large(rows: DataFrame, region_shingles: int) -> DataFrame:
-    """Links of regions of any size: ``rows`` (region, key, n, m, shingles), m the number of shared shingles."""
-    by_hash = Window.partitionBy("region").orderBy(F.xxhash64("key"), "key")
-    chosen = rows.select("region", "key").withColumn("i", F.row_number().over(by_hash)).where(F.col("i") <= PIVOTS)
-    # PIVOTS rows a region at most
-    pivots = rows.join(chosen, ["region", "key"], "left_semi").groupBy("region").agg(F.collect_list("key").alias("p_keys"), F.collect_list("n").alias("p_ns"), F.collect_list("shingles").alias("p_sets"))
-
-    def near(batches):
-        for b in batches:
-            u, v = [], []
-            for key, n, own, keys, ns, sets in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                own = np.frombuffer(own, np.uint64)
-                for k, pn, s in zip(keys, ns, sets, strict=True):
-                    both = len(np.intersect1d(own, np.frombuffer(s, np.uint64), assume_unique=True))
-                    if k != key and 100 * both >= PERCENT * (n + pn - both):
-                        u.append(key)
-                        v.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=LINKS)
-
-    first = stored(rows.join(pivots, "region").select("key", "n", "shingles", "p_keys", "p_ns", "p_sets").mapInArrow(near, "u bigint, v bigint"))
-    labels = components(first).withColumnRenamed("node", "key")
-    labelled = stored(rows.join(labels, "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root"))
-    sizes = labelled.groupBy("region", "label").agg(F.count(F.lit(1)).alias("c"))
-    main = sizes.groupBy("region").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    rest = labelled.join(main, "region").withColumn("open", F.col("label") != F.col("main"))
-    weights = rest.groupBy("region").agg(F.ceil(F.sum(F.when(F.col("open"), F.col("m"))) / region_shingles).alias("blocks"), F.ceil(F.sum("m") / region_shingles).alias("chunks"))
-    rest = rest.join(weights, "region").withColumn("h", F.xxhash64("key"))
-    left = rest.where("open").select("region", (F.pmod("h", F.col("blocks"))).alias("block"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), "key", "n", "shingles", "label", F.lit(True).alias("open"))
-    right = rest.select("region", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("h"), F.col("chunks")).alias("chunk"), "key", "n", "shingles", "label", F.lit(False).alias("open"))
+    return rows.groupBy("bin").applyInArrow(fn, LINK)
+
+
+PLACED = {"region": "bigint", "pid": "bigint", "n": "bigint", "m": "bigint", "shingles": "binary", "label": "bigint", "opened": "bigint", "cell": "int", "visits": "array<int>", "near": "array<bigint>"}
+
+
+def _around_pivots(rows: DataFrame, region_shingles: int) -> DataFrame:
+    """Rows of PLACED: each point's Voronoi cell, the further cells where it may have a partner, and the pivots it links with."""
+    weights = rows.groupBy("region").agg(F.ceil(F.sum("m") / region_shingles).alias("chunks"))
+    by_hash = Window.partitionBy("region").orderBy(F.desc("open"), F.xxhash64("pid"), "pid")
+    chosen = rows.select("region", "pid", "open").withColumn("i", F.row_number().over(by_hash)).where(F.col("i") <= PIVOTS).select("region", "pid")
+    chunked = rows.join(weights, "region")
+    pivots = chunked.join(chosen, ["region", "pid"], "left_semi").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+    chunked = chunked.withColumn("chunk", F.pmod(F.xxhash64("pid", F.lit(1)), F.col("chunks"))).withColumn("pivot", F.lit(False)).unionByName(pivots.withColumn("pivot", F.lit(True)))
+    schema = pa.schema([(k, {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}[v]) for k, v in PLACED.items()])
 
     def fn(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("open", "descending"), ("key", "ascending")])
-        key, n, label, opened = (table.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "label", "open"))
-        found = Region(n, _sets(table), np.unique(label, return_inverse=True)[1]).joined(int(opened.sum()))
-        return pa.table({"u": [int(key[x]) for x, _ in found], "v": [int(key[y]) for _, y in found]}, schema=LINKS)
+        is_pivot = table.column("pivot").to_numpy(zero_copy_only=False)
+        order = np.argsort(table.column("pid").to_numpy()[is_pivot])
+        pivots, own = table.filter(pa.array(is_pivot)).take(pa.array(order)), table.filter(pa.array(~is_pivot))
+        n, pid, p_n, p_pid = own.column("n").to_numpy(), own.column("pid").to_numpy(), pivots.column("n").to_numpy(), pivots.column("pid").to_numpy()
+        sets = _sets(own)
+        flat, edge = np.concatenate([np.zeros(0, np.uint64), *sets]), np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int64)
+        both = np.zeros((len(own), len(p_n)), np.int64)
+        for k, s in enumerate(_sets(pivots)):
+            hit = s[np.minimum(np.searchsorted(s, flat), len(s) - 1)] == flat
+            total = np.r_[0, np.cumsum(hit)]
+            both[:, k] = total[edge[1:]] - total[edge[:-1]]
+        union = n[:, None] + p_n[None, :] - both
+        d = 1 - both / union
+        least = d.min(axis=1)
+        rest = len(p_n)
+        cell = np.where(least < FAR, d.argmin(axis=1), rest)
+        # a partner whose nearest pivot is k lies nearer to k than FAR, and no further from it than from this point's own pivot
+        visit = (d < FAR + RADIUS + 1e-9) & (d <= least[:, None] + 2 * RADIUS + 1e-9)
+        visit = np.c_[visit, least >= FAR - RADIUS - 1e-9]
+        visit[np.arange(len(own)), cell] = False
+        near = (100 * both >= PERCENT * union) & (pid[:, None] != p_pid[None, :])
+        return pa.Table.from_pydict(
+            {k: own.column(k) for k in ("region", "pid", "n", "m", "shingles", "label", "opened")}
+            | {"cell": cell.astype(np.int32), "visits": [np.flatnonzero(v).astype(np.int32) for v in visit], "near": [p_pid[v] for v in near]},
+            schema=schema,
+        )
+
+    return chunked.groupBy("region", "chunk").applyInArrow(fn, ", ".join(f"{k} {v}" for k, v in PLACED.items()))
+
+
+def _in_blocks(rows: DataFrame, region_shingles: int) -> DataFrame:
+    """Links of the open points of each region with all of it."""
+    weights = rows.groupBy("region").agg(F.ceil(F.sum(F.when(F.col("open"), F.col("m"))) / region_shingles).alias("blocks"), F.ceil(F.sum("m") / region_shingles).alias("chunks"))
+    rest = rows.join(weights, "region")
+    columns = ["region", "block", "chunk", "pid", "n", "shingles", "label", "open"]
+    all_ = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    left = rest.where("open").withColumn("block", F.pmod(F.xxhash64("pid", F.lit(2)), "blocks")).withColumn("chunk", all_("chunks")).select(*columns)
+    right = rest.withColumn("chunk", F.pmod(F.xxhash64("pid", F.lit(3)), "chunks")).withColumn("block", all_("blocks")).withColumn("open", F.lit(False)).select(*columns)
 
-    second = left.unionByName(right).groupBy("region", "block", "chunk").applyInArrow(fn, "u bigint, v bigint")
-    return first.unionByName(stored(second))
+    def fn(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("open", "descending"), ("pid", "ascending")])
+        pid, n, label, opened = (table.column(c).to_numpy(zero_copy_only=False) for c in ("pid", "n", "label", "open"))
+        found = Region(n, _sets(table), np.unique(label, return_inverse=True)[1]).joined(np.flatnonzero(opened))
+        return pa.table({"u": [int(pid[x]) for x, _ in found], "v": [int(pid[y]) for _, y in found]}, schema=LINKS)
+
+    return left.unionByName(right).groupBy("region", "block", "chunk").applyInArrow(fn, LINK)
+
+
+class Limits:
+    """What one task joins."""
+
+    def __init__(self, shingles_: int, points_: int):
+        self.shingles, self.points = shingles_, points_
+
+    def fitting(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (region, m and more) with fits: whether their region fits a task."""
+        weights = rows.groupBy("region").agg(((F.sum("m") <= self.shingles) & (F.count(F.lit(1)) <= self.points)).alias("fits"))
+        return rows.join(weights, "region")
+
+    def binned(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (region, m, fits and more) that fit, with their bin."""
+        rows = rows.where("fits").drop("fits")
+        bins = max(1, -(-(rows.agg(F.sum("m")).first()[0] or 0) // self.shingles)) * 8
+        return rows.withColumn("bin", F.pmod(F.xxhash64("region"), F.lit(bins)))
+
+
+def _links(able: DataFrame, regions: DataFrame, limits: Limits, kept: Scratch) -> DataFrame:
+    """Links within ``regions`` (pid, region) of ``able`` points."""
+    where = kept.stored(limits.fitting(regions.join(able.select("pid", "m"), "pid")))
+    points_ = able.select("pid", "n", "shingles", F.col("pid").alias("label"), F.lit(True).alias("open"))
+    links = [kept.stored(_small(points_.join(limits.binned(where), "pid")))]
+    large = points_.join(where.where("NOT fits").drop("fits"), "pid").withColumn("opened", F.lit(LAST))
+    while not large.isEmpty():
+        large = kept.stored(large)
+        placed = kept.stored(_around_pivots(large, limits.shingles))
+        near = kept.stored(placed.select(F.col("pid").alias("u"), F.explode("near").alias("v")))
+        links.append(near)
+        # labels so far: those that came along, joined by the new links
+        told_ = near.unionByName(placed.where("pid <> label").select(F.col("pid").alias("u"), F.col("label").alias("v")))
+        labels = components(told_, kept).select(F.col("node").alias("pid"), "root")
+        placed = kept.stored(placed.drop("near").join(labels, "pid", "left").withColumn("label", F.coalesce("root", "pid")).drop("root"))
+        main = placed.groupBy("region", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("region").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+        placed = placed.join(main.where("labels > 1"), "region").withColumn("open", F.col("label") != F.col("main"))
+        to = F.explode(F.when(F.col("open"), F.concat(F.array("cell"), "visits")).otherwise(F.array("cell")))
+        placed = placed.withColumn("to", to).withColumn("region", F.xxhash64("region", "to")).select("region", "pid", "n", "m", "shingles", "label", "open", "opened")
+        placed = kept.stored(placed)
+        opens = placed.where("open").groupBy("region").agg(F.sum("m").alias("now"))
+        placed = kept.stored(limits.fitting(placed.join(opens, "region")))  # cells without open points are done
+        links.append(kept.stored(_small(limits.binned(placed.drop("now", "opened")))))
+        rest = placed.where("NOT fits").drop("fits")
+        done = (F.col("now") <= limits.shingles) | (F.col("now") > STUCK * F.col("opened"))
+        links.append(kept.stored(_in_blocks(rest.where(done), limits.shingles)))
+        large = rest.where(~done).withColumn("opened", F.col("now")).drop("now")
+    out = links[0]
+    for x in links[1:]:
+        out = out.unionByName(x)
+    return out
 
 
-def linked(docs: DataFrame, region_shingles: int = REGION_SHINGLES, range_shingles: int = RANGE_SHINGLES) -> DataFrame:
+def linked(docs: DataFrame, region_shingles: int = REGION_SHINGLES, range_shingles: int = shared_shingles.RANGE_SHINGLES, region_points: int = REGION_POINTS) -> DataFrame:
     """``docs`` (doc_id, text) as doc_id, text_key (xxhash64 of the text), n_shingles, component_id."""
-    each = stored(points(docs))
-    total = each.agg(F.sum("n")).first()[0] or 0
-    ranges = max(8, -(-total // range_shingles))
-    parts = max(8, ranges // 8)
-    able = stored(_able(_shared(_dealt(docs, ranges, parts), ranges, parts)))
-    rare = able.select("key", F.explode("rarest").alias("shingle"))
-    hubs = rare.groupBy("shingle").agg(F.min("key").alias("hub"), F.max("key").alias("other")).where("hub < other").select("shingle", "hub")
-    regions = components(rare.join(hubs, "shingle").select(F.col("key").alias("u"), F.col("hub").alias("v")))
-    placed = able.drop("rarest").join(regions.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("region", F.coalesce("root", "key")).drop("root")
-    weights = placed.groupBy("region").agg(F.sum("m").alias("weight"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    placed = stored(placed.join(weights, "region"))
-    bins = max(1, -(-(placed.agg(F.sum("m")).first()[0] or 0) // region_shingles)) * 4
-    small = placed.where(F.col("weight") <= region_shingles).withColumn("bin", F.pmod(F.xxhash64("region"), F.lit(bins)))
-    links = stored(_small(small.select("bin", "region", "key", "n", "shingles")))
-    large = placed.where(F.col("weight") > region_shingles)
-    if not large.isEmpty():
-        links = links.unionByName(_large(large.drop("weight"), region_shingles))
-    roots = components(links).select(F.col("node").alias("key"), "root")
-    labelled = each.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = labelled.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = labelled.join(least, "root", "left")
-    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    with Scratch(docs.sparkSession) as kept:
+        each = kept.stored(points(docs))
+        may = kept.stored(_may_link(each, range_shingles))
+        able = _able(docs, may, each, kept, range_shingles)
+        rare = able.select("pid", F.explode("rarest").alias("shingle"))
+        hubs = rare.groupBy("shingle").agg(F.min("pid").alias("hub"), F.max("pid").alias("other")).where("hub < other").select("shingle", "hub")
+        regions = components(rare.join(hubs, "shingle").select(F.col("pid").alias("u"), F.col("hub").alias("v")), kept)
+        regions = regions.select(F.col("node").alias("pid"), F.col("root").alias("region"))
+        regions = regions.unionByName(regions.select(F.col("region").alias("pid"), "region").distinct()).distinct()
+        roots = components(_links(able, regions, Limits(region_shingles, region_points), kept), kept)
+        roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).distinct()
+        roots = able.select("k1", "k2", F.col("pid").alias("node")).join(roots, "node").select("k1", "k2", "root")
+        # equal sets first, then linked ones
+        sets = each.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("own")).join(roots, ["k1", "k2"], "left")
+        least = sets.where("root IS NOT NULL").groupBy("root").agg(F.min("own").alias("least"))
+        sets = sets.join(least, "root", "left").select("k1", "k2", F.coalesce("least", "own").alias("component_id"))
+        out = each.drop("head").join(sets, ["k1", "k2"], "left")
+        component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+        return stored(out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, **sizes) -> DataFrame:
-    """``docs`` (doc_id, text and more) with the document of the smallest id of every component; rows of one document stay or go together."""
+    """``docs`` (doc_id, text and more) with the document of the smallest id of every component; rows of one document stay or go together.
+
+    Of copies that all have null ids, all stay.
+    """
     verdicts = linked(docs.select("doc_id", "text"), **sizes).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = verdicts.select(F.col("doc_id").alias("_id"), "text_key")
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("_key"), F.struct(*docs.columns).alias("_all"))
-    kept = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("text_key")), "left_semi")
-    return kept.select("_all.*")
+    stay = verdicts.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_stays"))
+    keyed = docs.select(docs["doc_id"].alias("_doc"), F.xxhash64(docs["text"]).alias("_key"), whole(docs).alias("_all"))
+    kept = keyed.join(stay, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_stays")), "left_semi")
+    return unpacked(kept, "_all", docs.columns, {})

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyforge.llm import bwt_merge, gif_media, jaccard_join, kd_sharding, repeated_bytes, url_filters
+from tallyforge.llm.common import Scratch
 from tallyforge.llm.components import components
 from tallyforge.llm.registry import RULES
 
@@ -208,7 +209,8 @@ def test_components(spark):
     for a, b in edges:
         x, y = sorted((root(a), root(b)))
         parent[y] = x
-    got = {x["node"]: x["root"] for x in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    with Scratch(spark) as kept:
+        got = {x["node"]: x["root"] for x in components(spark.createDataFrame(edges, "u long, v long"), kept).collect()}
     assert {k: v for k, v in got.items() if k != v} == {k: root(k) for k in parent if root(k) != k}
 
 
