@@ -160,9 +160,13 @@ ABLE = {"k1": "bigint", "k2": "bigint", "n": "bigint", "m": "bigint", "shingles"
 
 
 def _able(docs: DataFrame, may: DataFrame, each: DataFrame, kept: Scratch, range_shingles: int) -> DataFrame:
-    """The points that share enough to link: pid, key, n, their m shared shingles, and the rarest few, of which a link shares one."""
+    """The points that share enough to link: pid, key, n, their m shared shingles, and the rarest few, of which a link shares one.
+
+    A set that several batches hold, as rows that are equal in all do, is a point in each.
+    """
     texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.xxhash64("text").alias("text_key"), "text")
-    texts = texts.join(may, ["id", "text_key"], "left_semi")
+    # merged at any size, so that a small input is joined like a large one
+    texts = texts.join(may.hint("merge"), ["id", "text_key"], "left_semi")
 
     def of(c):
         seen = set()
@@ -191,7 +195,7 @@ def _able(docs: DataFrame, may: DataFrame, each: DataFrame, kept: Scratch, range
     ranges = _ranges(total, range_shingles)
     cells = shared_shingles.dealt(texts.select("text"), of, ranges)
     rows = shared_shingles.by_batch(shared_shingles.answered(cells, ranges, True), ABLE, rare)
-    return kept.stored(rows.dropDuplicates(["k1", "k2"]).withColumn("pid", F.monotonically_increasing_id()))
+    return kept.stored(rows.withColumn("pid", F.monotonically_increasing_id()))
 
 
 class Region:
@@ -404,7 +408,7 @@ class Limits:
     def binned(self, rows: DataFrame) -> DataFrame:
         """``rows`` (region, m, fits and more) that fit, with their bin."""
         rows = rows.where("fits").drop("fits")
-        bins = max(1, -(-(rows.agg(F.sum("m")).first()[0] or 0) // self.shingles)) * 8
+        bins = max(1, -(-(rows.agg(F.sum("m")).first()[0] or 0) // self.shingles)) * 32
         return rows.withColumn("bin", F.pmod(F.xxhash64("region"), F.lit(bins)))
 
 
@@ -454,7 +458,7 @@ def linked(docs: DataFrame, region_shingles: int = REGION_SHINGLES, range_shingl
         regions = regions.unionByName(regions.select(F.col("region").alias("pid"), "region").distinct()).distinct()
         roots = components(_links(able, regions, Limits(region_shingles, region_points), kept), kept)
         roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).distinct()
-        roots = able.select("k1", "k2", F.col("pid").alias("node")).join(roots, "node").select("k1", "k2", "root")
+        roots = able.select("k1", "k2", F.col("pid").alias("node")).join(roots, "node").select("k1", "k2", "root").distinct()
         # equal sets first, then linked ones
         sets = each.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("own")).join(roots, ["k1", "k2"], "left")
         least = sets.where("root IS NOT NULL").groupBy("root").agg(F.min("own").alias("least"))
