@@ -11,7 +11,8 @@ capacity are cut; repeated rows are packed each; an empty table gives an empty t
 columns aren't read.
 """
 
-import struct
+import string
+import unicodedata
 import zlib
 from collections import defaultdict
 from functools import lru_cache
@@ -24,8 +25,10 @@ from tallyforge.llm.common import over_batches, ranked, stored
 
 CAPACITY = 2048
 END_ID = 0
-#: Words whose ids a Python worker keeps.
-CACHED_WORDS = 600_000
+#: Words whose ids a Python worker keeps; texts looked up at once; words that go to the tokenizer in one row.
+CACHED_WORDS = 1_000_000
+BLOCK = 256
+ROW = 100
 
 
 def vocabulary(name: str) -> str:
@@ -35,43 +38,112 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    import os
+class Words:
+    """Ids of words, kept: the tokenizer drops white space and never merges across it.
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    Spaces and newlines part words here; other white space stays for the tokenizer. Two shortcuts
+    hold only for a tokenizer that folds case, and takes a run of letters, and the run of punctuation behind it,
+    apart; this is tried when it is loaded, on all that the shortcuts use. Else words go to it as they are.
+    """
 
-    return Tokenizer.from_file(path), {}
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        vocabulary_ = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary_.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary_.items() if t.endswith("</w>")]] = True
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = frozenset(c for c in map(chr, range(0x250)) if self._folds(c))
+        self.latin = all(self._ids(x + chr(i)) == self._ids((x + chr(i)).lower()) for i in range(256) for x in ("", "a", "1", "."))
+        self.stops = "".join(c for c in string.punctuation if self._apart(c))
+
+    def _ids(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def _folds(self, c: str) -> bool:
+        """A letter that stays one, alone or folded, with the same ids, one of which ends it."""
+        low = c.lower()
+        same = c.isalpha() and len(low) == 1 and low.isalpha() and unicodedata.normalize("NFC", c) == c and unicodedata.normalize("NFC", low) == low
+        return same and self._ids(c) == self._ids(low) and self._ids("a" + c) == self._ids("a" + low) and self._one(low) and self._one("a" + low)
+
+    def _one(self, word: str) -> bool:
+        ids = self._ids(word)
+        return bool(ids) and np.flatnonzero(self.ends[ids]).tolist() == [len(ids) - 1]
+
+    def _apart(self, c: str) -> bool:
+        return all(self._ids(x + c + d) == self._ids(x) + self._ids(c + d) for x in ("a", "b1", "ÿ") for d in ("", *string.punctuation))
+
+    def learn(self, words: set[str]) -> None:
+        known, letters, stops, new, ended = self.known, self.letters, self.stops, set(), []
+        for w in words:
+            base = w.rstrip(stops)
+            if len(base) == len(w) or not base or base[-1] not in letters:
+                new.add(w)
+            else:  # the punctuation behind a letter stands apart
+                end = w[len(base) :]
+                new.add(base)
+                new.add(end)
+                ended.append((w, base, end))
+        new = new.difference(known)
+        plain = list(filter(letters.issuperset, filter(None, new)))
+        rest = list(new.difference(plain))
+        # words of letters go in rows; each ends with the only id that can end a word
+        rows = [plain[i : i + ROW] for i in range(0, len(plain), ROW)]
+        for row, e in zip(rows, self.tokenizer.encode_batch_fast([" ".join(r) for r in rows], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            end = np.flatnonzero(self.ends[ids]) + 1
+            if len(end) != len(row):
+                rest += row
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, to in zip(row, (4 * end).tolist(), strict=True):
+                known[w] = raw[at:to]
+                at = to
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
+        for w, base, end in ended:
+            known[w] = known[base] + known[end]
+
+    def folded(self, text: str | None) -> str | None:
+        """The text with as few different words as give the same ids; None if it may hold a special token."""
+        text = text or ""
+        low = text.lower()
+        if any(x in low for x in self.special):
+            return None
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return low if self.latin else text
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        out, known = [], self.known
+        for i in range(0, len(texts), BLOCK):
+            if len(known) > CACHED_WORDS:
+                known.clear()
+            own = list(map(self.folded, texts[i : i + BLOCK]))
+            part = [[] if t is None else t.replace("\n", " ").split(" ") for t in own]
+            if fresh := set().union(*part).difference(known):
+                self.learn(fresh)
+            out += [self.whole(t) if f is None else b"".join(map(known.__getitem__, words)) for t, f, words in zip(texts[i : i + BLOCK], own, part, strict=True)]
+        return out
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self._ids(text), "<u4").tobytes()
 
 
-def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit numbers.
+@lru_cache(maxsize=2)
+def _words(path: str) -> Words:
+    return Words(path)
 
-    The tokenizer drops white space and never merges across it, so ids are made per word
-    and kept; spaces and newlines part words here, other white space stays for the tokenizer.
-    """
-    tokenizer, known = _tokenizer(path)
-    out, block = [], 64
-    for i in range(0, len(texts), block):
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        part = [(t or "").replace("\n", " ").split(" ") for t in texts[i : i + block]]
-        fresh = set().union(*part).difference(known)
-        stems = {w: _stem(w) for w in fresh}
-        new = list({x for s in stems.values() for x in s}.difference(known))
-        for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        for w, s in stems.items():
-            known[w] = known[s[0]] + known[s[1]]
-        out += [b"".join(map(known.__getitem__, words)) for words in part]
-    return out
-
-
-def _stem(word: str) -> tuple[str, str]:
-    """Two parts of a word with the same ids: the tokenizer folds case, and parts a letter from a final stop or comma."""
-    base, end = (word[:-1], word[-1]) if word[-1:] in (".", ",") and word[-2:-1].isalpha() else (word, "")
-    return base.lower() if base.isascii() or max(base) < "\u0300" else base, end
+
+def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit numbers."""
+    return _words(path).encode(texts)
 
 
 PIECE = {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint"}
