@@ -6,35 +6,38 @@ window has 31 substrings of 20 bytes; the one with the least hash is its anchor,
 the window's bytes alone, so equal windows have equal anchors and meet in one part.
 
 1. Equal texts become one, that of the smallest id; its copies are repeats as a whole.
-2. Anchors, one for some sixteen bytes, are dealt by hash with a hash of their context, the 80
+2. Anchors, one for some sixteen bytes, are sent without their owners, to find those that several
+   texts hold (shared_shingles); most occur once and end here.
+3. Shared anchors are dealt by hash with a hash of their context, the 80
    bytes that hold all windows of the anchor. Where a context stands in a smaller document, all its
    windows are repeats. An anchor with one context only has no others.
-3. For anchors with several contexts, the ends of repeats, each task transforms the contexts of its
+4. For anchors with several contexts, the ends of repeats, each task transforms the contexts of its
    texts, a shard for each range of anchors. A range merges its shards' transforms by interleave
    refinement and takes the intervals with 50 bytes or more in common (bwt_merge).
    Anchors with more than ``WIDE`` contexts, whose parts could outgrow a task, are parted further, by the
-   windows themselves, whose hashes are compared in the way of step 2.
-4. Each text is read with its answers, and the covered bytes go.
+   windows themselves, whose hashes are compared in the way of step 3.
+5. Each text is read with its answers, and the covered bytes go.
 
 Each task first settles what its own rows settle (the smallest document of each context stays), so a
 passage that a third of all documents hold reaches another task once per task, not per document.
 
 Defined results: null and empty texts, and those under 50 bytes, keep all; a null doc_id counts as
 larger than all others; rows with equal doc_id are one document and don't repeat each other;
-repeated rows get a row each; an empty table gives an empty table; other columns aren't read.
-In steps 1 and 2, and for wide anchors, strings are told apart by 64-bit hashes.
+repeated rows get a row each; a text of any length is one row's work; an empty table gives an empty table; other
+columns aren't read. In steps 1 and 3, and for wide anchors, strings are told apart by 128 bits, two independent hashes.
 """
 
 import hashlib
 import uuid
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bwt_merge
-from tallyforge.llm.common import over_batches, stored
+from tallyforge.llm import bwt_merge, shared_shingles
+from tallyforge.llm.common import Scratch, over_batches, stored, unpacked, whole
 
 LENGTH = 50
 GRAM = 20
@@ -51,6 +54,18 @@ LAST = (1 << 63) - 1
 _M = [np.uint64(m | 1) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
+_N = [np.uint64(m | 1) for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9)]
+
+
+def _doubled(x: np.ndarray, multipliers: list) -> list[np.ndarray]:
+    """Hashes of 1, 2, 4, 8 and 16 symbols from each place on."""
+    h, by = [x], 1
+    for m in multipliers[:4]:
+        h.append(h[-1][:-by] * m + h[-1][by:])
+        by *= 2
+    return h
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * _M[1]
     return h ^ (h >> np.uint64(29))
@@ -73,10 +88,7 @@ class Anchors:
         x = np.full(len(raw) + 2 * SPAN, 256, np.uint64)
         x[SPAN : SPAN + len(raw)] = np.frombuffer(raw, np.uint8)
         x += np.uint64(1)
-        h, by = [x], 1
-        for m in _M[:4]:
-            h.append(h[-1][:-by] * m + h[-1][by:])
-            by *= 2
+        self.symbols, h = x, _doubled(x, _M)
         self.h2, self.h16 = h[1], h[4]
         n = len(x) - GRAM + 1
         gram = _mixed(h[4][:n] * _M[4] + h[2][16 : 16 + n])[SPAN : SPAN + len(raw) - GRAM + 1]
@@ -86,10 +98,21 @@ class Anchors:
         self.at = np.flatnonzero(_slide(padded, SPAN + 1, np.maximum) == gram)
         self.gram = gram[self.at]
         self.deal = _mixed(self.gram * _M[0])  # least hashes crowd at the low end; these don't
-        c = self.h16[self.at]
+
+    @cached_property
+    def second(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of 2 and 16 symbols, independent of the first."""
+        h = _doubled(self.symbols, _N)
+        return h[1], h[4]
+
+    def contexts(self, which: np.ndarray | slice, h16: np.ndarray | None = None) -> np.ndarray:
+        """The first hash of the contexts of some anchors, or, by other ``h16``, the second."""
+        h16 = self.h16 if h16 is None else h16
+        at = self.at[which]
+        c = h16[at]
         for k in (16, 32, 48, 64):
-            c = c * _M[k // 16] + self.h16[self.at + k]
-        self.context = _mixed(c)
+            c = c * _M[k // 16] + h16[at + k]
+        return _mixed(c)
 
     def owners(self) -> np.ndarray:
         """Each window's anchor, the first of those with its least hash."""
@@ -98,12 +121,14 @@ class Anchors:
             own[wrong] += 1
         return own
 
-    def windows(self, starts: np.ndarray) -> np.ndarray:
+    def windows(self, starts: np.ndarray, h: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """The first hash of the windows that start there, or, by other hashes of 2 and 16 symbols, the second."""
+        h2, h16 = h or (self.h2, self.h16)
         i = starts + SPAN
-        return _mixed(((self.h16[i] * _M[0] + self.h16[i + 16]) * _M[2] + self.h16[i + 32]) * _M[3] + self.h2[i + 48])
+        return _mixed(((h16[i] * _M[0] + h16[i + 16]) * _M[2] + h16[i + 32]) * _M[3] + h2[i + 48])
 
 
-BLOCK = {"part": "int", "keys": "binary", "ids": "binary", "counts": "binary", "groups": "binary", "strings": "binary"}
+BLOCK = {"part": "int", "keys": "binary", "ids": "binary", "counts": "binary", "groups": "binary", "strings": "binary", "seconds": "binary"}
 ANSWER = {"part": "int", "keys": "binary", "repeated": "binary", "open": "binary", "wide": "binary", "hashes": "binary"}
 _DDL = lambda fields: ", ".join(f"{k} {v}" for k, v in fields.items())
 _SCHEMA = lambda fields: pa.schema([(k, {"int": pa.int32(), "bigint": pa.int64()}.get(v, pa.binary())) for k, v in fields.items()])
@@ -135,13 +160,17 @@ def _shared(x: np.ndarray) -> np.ndarray:
     return order[np.repeat((n := np.diff(np.r_[np.flatnonzero(new), len(x)])) > 1, n)]
 
 
-def _settled(group: np.ndarray, string: np.ndarray, doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
+def _settled(group: np.ndarray, string: np.ndarray, second: np.ndarray, doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
     """An order of the entries; in it, where strings begin, which entries stand in a larger document than their string's
     smallest, and which are left: once for each text of the smallest document."""
     order = np.lexsort((key, doc, string, group))
-    g, s, d, k = group[order], string[order], doc[order], key[order]
+    g, s, t, d, k = group[order], string[order], second[order], doc[order], key[order]
     first = np.ones(len(g), bool)
     first[1:] = (g[1:] != g[:-1]) | (s[1:] != s[:-1])
+    if (~first[1:] & (t[1:] != t[:-1])).any():  # one first hash of two strings
+        order = np.lexsort((key, doc, second, string, group))
+        g, s, t, d, k = group[order], string[order], second[order], doc[order], key[order]
+        first[1:] = (g[1:] != g[:-1]) | (s[1:] != s[:-1]) | (t[1:] != t[:-1])
     head = np.flatnonzero(first)
     repeated = d > np.repeat(d[head], np.diff(np.r_[head, len(d)]))
     again = np.zeros(len(g), bool)
@@ -150,7 +179,7 @@ def _settled(group: np.ndarray, string: np.ndarray, doc: np.ndarray, key: np.nda
 
 
 def _dealt(entries, ranges: int, parts: int):
-    """Rows of BLOCK from (key, id, groups, strings) of documents: firsts by range of group, settled repeats by document (behind the ranges).
+    """Rows of BLOCK from (key, id, groups, strings, their second hashes) of documents: firsts by range of group, settled repeats by document (behind the ranges).
 
     Within its range a group goes by 32 bits, which can only open a window to the exact comparison; groups that are
     the strings themselves aren't sent.
@@ -160,15 +189,15 @@ def _dealt(entries, ranges: int, parts: int):
         sizes = np.fromiter((len(x[2]) for x in held), np.int64, len(held))
         owner = np.repeat(np.arange(len(held)), sizes)
         alone = held[0][2] is held[0][3]
-        group, string = (np.concatenate([x[i] for x in held]) for i in (2, 3))
+        group, string, second = (np.concatenate([x[i] for x in held]) for i in (2, 3, 4))
         keys, ids = (np.array([x[i] for x in held], np.int64) for i in (0, 1))
         some = _shared(string)  # most strings occur once
-        order, _, repeated, left = _settled(group[some], string[some], ids[owner[some]], keys[owner[some]])
+        order, _, repeated, left = _settled(group[some], string[some], second[some], ids[owner[some]], keys[owner[some]])
         gone, stay = some[order[repeated]], np.ones(len(group), bool)
         stay[some[order[~left]]] = False
         done = _answers(keys[owner[gone]], np.zeros(len(gone), np.int8), string[gone], parts)
         n = len(done["part"])
-        yield {"part": [ranges + p for p in done["part"]], "keys": done["keys"], "ids": [b""] * n, "counts": done["repeated"], "groups": [b""] * n, "strings": done["hashes"]}
+        yield {"part": [ranges + p for p in done["part"]], "keys": done["keys"], "ids": [b""] * n, "counts": done["repeated"], "groups": [b""] * n, "strings": done["hashes"], "seconds": [b""] * n}
         stay = np.flatnonzero(stay)
         part = (((group[stay] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
         stay = stay[np.argsort(part, kind="stable")]
@@ -177,7 +206,7 @@ def _dealt(entries, ranges: int, parts: int):
         for r in np.flatnonzero(np.diff(edge)).tolist():
             own = stay[edge[r] : edge[r + 1]]
             who, counts = np.unique(owner[own], return_counts=True)
-            for name, v in zip(BLOCK, (r, keys[who].tobytes(), ids[who].tobytes(), counts.astype(np.int32).tobytes(), b"" if alone else group[own].astype(np.uint32).tobytes(), string[own].tobytes()), strict=True):
+            for name, v in zip(BLOCK, (r, keys[who].tobytes(), ids[who].tobytes(), counts.astype(np.int32).tobytes(), b"" if alone else group[own].astype(np.uint32).tobytes(), string[own].tobytes(), second[own].tobytes()), strict=True):
                 out[name].append(v)
         yield out
 
@@ -193,7 +222,7 @@ def _dealt(entries, ranges: int, parts: int):
         yield from flush(held)
 
 
-def _resolved(blocks: DataFrame, ranges: int, parts: int, wide: int) -> DataFrame:
+def _resolved(blocks: DataFrame, ranges: int, parts: int, wide: int, texts: "Texts") -> DataFrame:
     """Answers to blocks of hashes: repeated are strings that a smaller document has; open and wide those of groups with several strings, or very many."""
 
     def fn(table: pa.Table) -> pa.Table:
@@ -202,12 +231,12 @@ def _resolved(blocks: DataFrame, ranges: int, parts: int, wide: int) -> DataFram
             out = {k: table.column(c).to_pylist() for k, c in zip(("part", "keys", "repeated", "hashes"), ("part", "keys", "counts", "strings"), strict=True)}
             none = [bytes(len(x)) for x in out["repeated"]]
             return pa.Table.from_pydict(out | {"part": [p - ranges for p in out["part"]], "open": none, "wide": none}, schema=_SCHEMA(ANSWER))
-        group, string, counts = get("groups", np.uint32), get("strings", np.uint64), get("counts", np.int32)
+        group, string, second, counts = get("groups", np.uint32), get("strings", np.uint64), get("seconds", np.uint64), get("counts", np.int32)
         group = group if len(group) else string
         some = _shared(group)  # an anchor that occurs once has nothing to tell
         owner = np.repeat(np.arange(len(counts)), counts)[some]
-        key, doc, group, string = get("keys", np.int64)[owner], get("ids", np.int64)[owner], group[some], string[some]
-        order, first, repeated, left = _settled(group, string, doc, key)
+        key, doc, group, string, second = get("keys", np.int64)[owner], get("ids", np.int64)[owner], group[some], string[some], second[some]
+        order, first, repeated, left = _settled(group, string, second, doc, key)
         g = group[order]
         head = np.r_[True, g[1:] != g[:-1]] if len(g) else np.zeros(0, bool)
         runs = np.diff(np.r_[np.flatnonzero(head), len(g)])
@@ -219,10 +248,56 @@ def _resolved(blocks: DataFrame, ranges: int, parts: int, wide: int) -> DataFram
         own = order[told]
         return pa.Table.from_pydict(_answers(key[own], kind[told], string[own], parts), schema=_SCHEMA(ANSWER))
 
-    return _by_text(blocks.groupBy("part").applyInArrow(fn, _DDL(ANSWER)))
+    return _by_text(blocks.groupBy("part").applyInArrow(fn, _DDL(ANSWER)), texts)
+
+
+class Texts:
+    """The different texts in a table bucketed by their 128-bit key, so that what is told about them joins without moving them.
+
+    uid numbers them; first is the smallest id that a text has (``LAST`` for null).
+    """
+
+    KEY = ["key", "key2"]
+
+    def __init__(self, rows: DataFrame, kept: Scratch):
+        self.spark, self.kept, self.name = rows.sparkSession, kept, f"texts_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        distinct = rows.groupBy(*self.KEY).agg(F.min_by("text", "id").alias("text"), F.min("id").alias("first")).withColumn("uid", F.monotonically_increasing_id())
+        distinct.write.bucketBy(buckets, *self.KEY).saveAsTable(self.name, format="parquet", mode="overwrite", compression="zstd")
+        self.table = self.spark.table(self.name)
+        self.names = kept.stored(self.table.select("uid", *self.KEY))
+
+    def told(self, answers: DataFrame) -> DataFrame:
+        """``answers`` (uid and more), stored with the texts' keys."""
+        return self.kept.stored(answers.join(self.names, "uid").drop("uid"))
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
 
+def _shared_anchors(texts: Texts, total: int) -> DataFrame:
+    """Key and shared anchors (sorted hashes) of the texts that have any."""
 
-def _by_text(answers: DataFrame) -> DataFrame:
+    def of(c):
+        for uid, text in zip(c["uid"], c["text"], strict=True):
+            raw = text.encode("utf-8", "surrogatepass")
+            if len(raw) >= LENGTH:
+                yield (uid,), np.unique(Anchors(raw).deal)
+
+    def fn(table: pa.Table) -> dict:
+        record, settled, told = shared_shingles.directory(table, 1)
+        owner, flat, _ = shared_shingles.held(settled, told)
+        order = np.lexsort((flat, owner))
+        edge = np.searchsorted(owner[order], np.arange(len(record) + 1)).tolist()
+        some = [i for i in range(len(record)) if edge[i] < edge[i + 1]]
+        return {"uid": record[some, 0], "shared": [flat[order[edge[i] : edge[i + 1]]].tobytes() for i in some]}
+
+    ranges = max(8, -(-total // 16 // shared_shingles.RANGE_SHINGLES))
+    cells = shared_shingles.dealt(texts.table.select("uid", "text"), of, ranges)
+    return texts.told(shared_shingles.by_batch(shared_shingles.answered(cells, ranges, True), {"uid": "bigint", "shared": "binary"}, fn))
+
+
+def _by_text(answers: DataFrame, texts: Texts) -> DataFrame:
     """A row per text with answers: key and the values of each kind."""
     kinds = ("repeated", "open", "wide")
 
@@ -235,10 +310,10 @@ def _by_text(answers: DataFrame) -> DataFrame:
             own = told.setdefault(key, ([], [], []))
             for k in range(3):
                 own[k].append(values[edge[3 * i + k] : edge[3 * i + k + 1]].tobytes())
-        out = {"key": list(told)} | {name: [b"".join(x[k]) for x in told.values()] for k, name in enumerate(kinds)}
-        return pa.Table.from_pydict(out, schema=_SCHEMA({"key": "bigint"} | dict.fromkeys(kinds, "binary")))
+        out = {"uid": list(told)} | {name: [b"".join(x[k]) for x in told.values()] for k, name in enumerate(kinds)}
+        return pa.Table.from_pydict(out, schema=_SCHEMA({"uid": "bigint"} | dict.fromkeys(kinds, "binary")))
 
-    return stored(answers.groupBy("part").applyInArrow(fn, "key bigint, repeated binary, open binary, wide binary"))
+    return texts.told(answers.groupBy("part").applyInArrow(fn, "uid bigint, repeated binary, open binary, wide binary"))
 
 
 SHARD = {"part": "int", "keys": "binary", "ids": "binary", "starts": "binary", "transform": "binary"}
@@ -275,7 +350,7 @@ def _shards(entries, ranges: int):
         yield flush(held)
 
 
-def _merged(shards: DataFrame, parts: int) -> DataFrame:
+def _merged(shards: DataFrame, parts: int, texts: Texts) -> DataFrame:
     """Each range's transforms merged; per text the runs of windows that a smaller document has, as first start << 32 | how many."""
 
     def fn(table: pa.Table) -> pa.Table:
@@ -291,7 +366,7 @@ def _merged(shards: DataFrame, parts: int) -> DataFrame:
         run = (starts[of] + (place[head] & 0xFFFFF)) << 32 | np.diff(np.r_[head, len(place)])
         return pa.Table.from_pydict(_answers(keys[of], np.zeros(len(of), np.int8), run.astype(np.uint64), parts), schema=_SCHEMA(ANSWER))
 
-    return _by_text(shards.groupBy("part").applyInArrow(fn, _DDL(ANSWER)))
+    return _by_text(shards.groupBy("part").applyInArrow(fn, _DDL(ANSWER)), texts)
 
 
 def _covered(raw: bytes, repeated: bytes, wide: bytes, windows: bytes, runs: bytes) -> np.ndarray:
@@ -300,9 +375,10 @@ def _covered(raw: bytes, repeated: bytes, wide: bytes, windows: bytes, runs: byt
     if len(raw) >= LENGTH and (repeated or windows):
         a = Anchors(raw)
         own = a.owners()
-        gone = np.isin(a.context, np.frombuffer(repeated, np.uint64))[own]
+        context = a.contexts(slice(None))
+        gone = np.isin(context, np.frombuffer(repeated, np.uint64))[own]
         if windows:
-            starts = np.flatnonzero(np.isin(a.context, np.frombuffer(wide, np.uint64))[own] & ~gone)
+            starts = np.flatnonzero(np.isin(context, np.frombuffer(wide, np.uint64))[own] & ~gone)
             gone[starts] = np.isin(a.windows(starts), np.frombuffer(windows, np.uint64))
         starts = np.flatnonzero(gone)
         np.add.at(cover, starts, 1)
@@ -314,110 +390,121 @@ def _covered(raw: bytes, repeated: bytes, wide: bytes, windows: bytes, runs: byt
     return np.cumsum(cover[:-1]) > 0
 
 
-RESULT = {"key": "bigint", "first": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string", "kept": "string"}
+RESULT = {"key": "bigint", "key2": "bigint", "first": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string", "kept": "string"}
 
 
-def repeated_bytes(docs: DataFrame, texts: bool = False, wide: int = WIDE) -> DataFrame:
-    """A row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``texts``, also text_key and kept.
-
-    kept is the remaining bytes as text, without characters of which only a part is left.
-    """
-    spark = docs.sparkSession
-    each = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    rows = stored(each.select("doc_id", "id", "key", F.octet_length("text").cast("bigint").alias("n_bytes")))
-    total = rows.agg(F.sum("n_bytes")).first()[0] or 0
+def _removed(texts: Texts, total: int, wide: int, keep: bool) -> DataFrame:
+    """Rows of RESULT, one a text; kept only where bytes go, and with ``keep``."""
+    table, on = texts.table, Texts.KEY
     ranges = max(8, -(-total // 16 // RANGE_HASHES))
     parts = max(8, ranges // 4)
-    # one text of each kind, in buckets by key: the two joins below then move no text
-    name = f"texts_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    distinct = each.groupBy("key").agg(F.min_by("text", "id").alias("text"), F.min("id").alias("first"))
-    distinct.write.bucketBy(buckets, "key").saveAsTable(name, format="parquet", mode="overwrite", compression="zstd")
-    try:
-        table = spark.table(name)
-
-        def anchors(c):
-            def of():
-                for key, first, text in zip(c["key"], c["first"], c["text"], strict=True):
-                    raw = text.encode("utf-8", "surrogatepass")
-                    if len(raw) >= LENGTH:
-                        a = Anchors(raw)
-                        yield key, first, a.deal, a.context
-
-            return _dealt(of(), ranges, parts)
-
-        def contexts_of(c):
-            def of():
-                for key, first, text, opened in zip(c["key"], c["first"], c["text"], c["open"], strict=True):
-                    raw = text.encode("utf-8", "surrogatepass")
-                    a = Anchors(raw)
-                    own = np.flatnonzero(np.isin(a.context, np.frombuffer(opened, np.uint64)))
-                    # of a context only the anchor's own windows, a run as anchors take turns from the left
-                    of = a.owners()
-                    starts, ends = np.searchsorted(of, own), np.searchsorted(of, own, "right")
-                    own, starts, ends = own[ends > starts], starts[ends > starts], ends[ends > starts] + LENGTH - 1
-                    yield key, first, a.deal[own], starts, [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
-
-            return _shards(of(), merges)
-
-        def windows_of(c):
-            def of():
-                for key, first, text, opened in zip(c["key"], c["first"], c["text"], c["wide"], strict=True):
-                    a = Anchors(text.encode("utf-8", "surrogatepass"))
-                    own = np.isin(a.context, np.frombuffer(opened, np.uint64))[a.owners()]
-                    h = a.windows(np.flatnonzero(own))
-                    yield key, first, h, h
-
-            return _dealt(of(), ranges, parts)
-
-        def final(c):
-            for i in range(0, len(c["key"]), 256):
-                out = {k: [] for k in RESULT}
-                for key, first, text, *told in zip(*(c[n][i : i + 256] for n in ("key", "first", "text", "repeated", "wide", "windows", "runs")), strict=True):
-                    raw = text.encode("utf-8", "surrogatepass")
-                    gone = _covered(raw, *(x or b"" for x in told))
+
+    def anchors(c):
+        def of():
+            for uid, first, text, shared in zip(c["uid"], c["first"], c["text"], c["shared"], strict=True):
+                a = Anchors(text.encode("utf-8", "surrogatepass"))
+                own = np.flatnonzero(np.isin(a.deal, np.frombuffer(shared, np.uint64)))
+                yield uid, first, a.deal[own], a.contexts(own), a.contexts(own, a.second[1])
+
+        return _dealt(of(), ranges, parts)
+
+    def contexts_of(c):
+        def of():
+            for uid, first, text, opened in zip(c["uid"], c["first"], c["text"], c["open"], strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                a = Anchors(raw)
+                own = np.flatnonzero(np.isin(a.contexts(slice(None)), np.frombuffer(opened, np.uint64)))
+                # of a context only the anchor's own windows, a run as anchors take turns from the left
+                of = a.owners()
+                starts, ends = np.searchsorted(of, own), np.searchsorted(of, own, "right")
+                own, starts, ends = own[ends > starts], starts[ends > starts], ends[ends > starts] + LENGTH - 1
+                yield uid, first, a.deal[own], starts, [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+        return _shards(of(), merges)
+
+    def windows_of(c):
+        def of():
+            for uid, first, text, opened in zip(c["uid"], c["first"], c["text"], c["wide"], strict=True):
+                a = Anchors(text.encode("utf-8", "surrogatepass"))
+                own = np.flatnonzero(np.isin(a.contexts(slice(None)), np.frombuffer(opened, np.uint64))[a.owners()])
+                h = a.windows(own)
+                yield uid, first, h, h, a.windows(own, a.second)
+
+        return _dealt(of(), ranges, parts)
+
+    def final(c):
+        for i in range(0, len(c["key"]), 256):
+            out = {k: [] for k in RESULT}
+            for key, key2, first, text, *told in zip(*(c[n][i : i + 256] for n in ("key", "key2", "first", "text", "repeated", "wide", "windows", "runs")), strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                gone = _covered(raw, *(x or b"" for x in told))
+                n, kept = int(gone.sum()), raw
+                if n:
                     kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                    spans = int(np.count_nonzero(np.diff(np.r_[False, gone].astype(np.int8)) == 1))
-                    row = (key, first, len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if texts else None)
-                    for k, v in zip(RESULT, row, strict=True):
-                        out[k].append(v)
-                yield out
-
-        contexts = _resolved(over_batches(table.select("key", "first", "text"), BLOCK, anchors), ranges, parts, wide)
-        open_ = contexts.where(F.octet_length("open") > 0).select("key", "open")
-        bytes_ = (contexts.agg(F.sum(F.octet_length("open"))).first()[0] or 0) // 8 * (LENGTH + SPAN)
-        merges = max(8, -(-bytes_ // RANGE_BYTES))
-        runs = _merged(over_batches(table.join(open_, "key").select("key", "first", "text", "open"), SHARD, contexts_of), parts)
-        told = table.join(contexts.select("key", "repeated", "wide"), "key", "left").join(runs.select("key", F.col("repeated").alias("runs")), "key", "left")
-        many = contexts.where(F.octet_length("wide") > 0).select("key", "wide")
-        if many.isEmpty():
-            told = told.withColumn("windows", F.lit(None).cast("binary"))
-        else:
-            windows = _resolved(over_batches(table.join(many, "key").select("key", "first", "text", "wide"), BLOCK, windows_of), ranges, parts, wide)
-            told = told.join(windows.select("key", F.col("repeated").alias("windows")), "key", "left")
-        results = stored(over_batches(told.select("key", "first", "text", "repeated", "wide", "windows", "runs"), RESULT, final))
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-    # copies of a text with a larger id are repeats as a whole
-    out = rows.join(results.drop("n_bytes"), "key")
-    copy = (F.col("id") > F.col("first")) & (F.col("n_bytes") >= LENGTH)
-    out = out.select(
-        "doc_id",
-        "n_bytes",
-        F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
-        F.when(copy, 1).otherwise(F.col("n_spans")).cast("bigint").alias("n_spans"),
-        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
-        F.col("key").alias("text_key"),
-        F.when(copy, "").otherwise(F.col("kept")).alias("kept"),
-    )
-    return out if texts else out.drop("text_key", "kept")
+                spans = int(np.count_nonzero(np.diff(np.r_[False, gone].astype(np.int8)) == 1))
+                row = (key, key2, first, n, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep and n else None)
+                for k, v in zip(RESULT, row, strict=True):
+                    out[k].append(v)
+            yield out
+
+    shared = _shared_anchors(texts, total)
+    contexts = _resolved(over_batches(table.join(shared, on).select("uid", "first", "text", "shared"), BLOCK, anchors), ranges, parts, wide, texts)
+    open_ = contexts.where(F.octet_length("open") > 0).select(*on, "open")
+    bytes_ = (contexts.agg(F.sum(F.octet_length("open"))).first()[0] or 0) // 8 * (LENGTH + SPAN)
+    merges = max(8, -(-bytes_ // RANGE_BYTES))
+    runs = _merged(over_batches(table.join(open_, on).select("uid", "first", "text", "open"), SHARD, contexts_of), parts, texts)
+    told = table.join(contexts.select(*on, "repeated", "wide"), on, "left").join(runs.select(*on, F.col("repeated").alias("runs")), on, "left")
+    many = contexts.where(F.octet_length("wide") > 0).select(*on, "wide")
+    if many.isEmpty():
+        told = told.withColumn("windows", F.lit(None).cast("binary"))
+    else:
+        windows = _resolved(over_batches(table.join(many, on).select("uid", "first", "text", "wide"), BLOCK, windows_of), ranges, parts, wide, texts)
+        told = told.join(windows.select(*on, F.col("repeated").alias("windows")), on, "left")
+    return texts.kept.stored(over_batches(told.select(*on, "first", "text", "repeated", "wide", "windows", "runs"), RESULT, final))
+
+
+def repeated_bytes(docs: DataFrame, texts: bool = False, wide: int = WIDE) -> DataFrame:
+    """A row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``texts``, also the text's key and key2, and kept.
+
+    kept is the remaining bytes as text, without characters of which only a part is left; null where all remain.
+    """
+    with Scratch(docs.sparkSession) as kept:
+        each = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumns(keys("text"))
+        rows = kept.stored(each.select("doc_id", "id", *Texts.KEY, F.octet_length("text").cast("bigint").alias("n_bytes")))
+        total = rows.agg(F.sum("n_bytes")).first()[0] or 0
+        distinct = Texts(each, kept)
+        try:
+            results = _removed(distinct, total, wide, texts)
+        finally:
+            distinct.drop()
+        # copies of a text with a larger id are repeats as a whole
+        out = rows.join(results, Texts.KEY)
+        copy = (F.col("id") > F.col("first")) & (F.col("n_bytes") >= LENGTH)
+        out = out.select(
+            "doc_id",
+            "n_bytes",
+            F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
+            F.when(copy, 1).otherwise(F.col("n_spans")).cast("bigint").alias("n_spans"),
+            F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+            *Texts.KEY,
+            F.when(copy, "").otherwise(F.col("kept")).alias("kept"),
+        )
+        return stored(out if texts else out.drop(*Texts.KEY, "kept"))
+
+
+def keys(text: str) -> dict[str, Column]:
+    """128 bits of a text as two longs, from independent seeds."""
+    return {"key": F.xxhash64(text), "key2": F.xxhash64(F.lit(1), text)}
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text and more) without repeated bytes; texts without any, null ones among them, stay as they are."""
     changed = repeated_bytes(docs.select("doc_id", "text"), texts=True).where("n_removed > 0")
-    changed = changed.select(F.col("doc_id").alias("_id"), "text_key", "kept").dropDuplicates(["_id", "text_key"])
-    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"), F.col("text").alias("_text"), F.struct(*docs.columns).alias("_all"))
-    joined = keyed.join(changed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("text_key")), "left").withColumn("_new", F.coalesce("kept", "_text"))
+    changed = changed.select(F.col("doc_id").alias("_id"), *Texts.KEY, "kept").dropDuplicates(["_id", *Texts.KEY])
+    keyed = docs.select(docs["doc_id"].alias("_doc"), docs["text"].alias("_text"), whole(docs).alias("_all"))
+    keyed = keyed.withColumn("_filled", F.coalesce("_text", F.lit("")))
+    of = keys("_filled")
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (of["key"] == F.col("key")) & (of["key2"] == F.col("key2"))
+    joined = keyed.join(changed, same, "left").withColumn("_new", F.coalesce("kept", "_text"))
     fresh = {"text": F.col("_new"), "n_chars": F.length("_new").cast("bigint")}
-    return joined.select(*(fresh[c].alias(c) if c in fresh else F.col("_all").getField(c).alias(c) for c in docs.columns))
+    return unpacked(joined, "_all", docs.columns, fresh)
