@@ -1,7 +1,8 @@
 """Secret scans: credentials by pattern, and parts of credentials by their company.
 
 Three kinds are reported wherever they stand (assign, access, hex). Three weaker kinds, an
-identifier, a secret and an endpoint, are each too common to report alone; they are joined by
+identifier (a login, a key id, an e-mail address), a secret and an endpoint (a url, an address with a port, an IP
+address), are each too common to report alone; they are joined by
 position, and a weak part is reported only when its complement lies within ``scope`` code points:
 an identifier or an endpoint needs a secret, a secret needs an identifier or an endpoint.
 Strong finds count as complements: access as an identifier, assign and hex as secrets.
@@ -9,8 +10,8 @@ Strong finds count as complements: access as an identifier, assign and hex as se
 The join of intervals is a pass over each document's finds in order of place, which keeps the
 nearest complement before and after; no pairs are made, however many finds a text holds.
 
-Defined results: null and empty texts have no finds; ties in place are ordered by kind;
-repeated rows each get their row; an empty table gives an empty table; other columns aren't read.
+Defined results: null and empty texts have no finds; a text of any length is scanned whole, in one task, each pattern
+in time proportional to it; ties in place are ordered by kind; repeated rows each get their row; an empty table gives an empty table; other columns aren't read.
 """
 
 import hashlib
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyforge.llm.common import over_batches, stored
+from tallyforge.llm.common import over_batches, stored, unpacked, whole
 
 #: Code points between the starts of parts that belong together.
 SCOPE = 300
@@ -30,15 +31,32 @@ KINDS = ("assign", "access", "hex", "part_id", "part_secret", "part_endpoint")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-PART_ID = re.compile(r"""\b(?:(?:ASIA|AIDA|AROA|AKIA)[A-Z0-9]{8,}|(?:user(?:name)?|login|client_id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,})""", re.A)
-# '=' may stand before a secret (key=value), and a secret may have any length; a run is taken whole.
-PART_SECRET = re.compile(r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}+={0,2}(?![A-Za-z0-9+/=])", re.A)
-PART_ENDPOINT = re.compile(r"\b(?:https?|ftp|postgres|mysql|mongodb|redis|amqp)(?:ql|s)?(?:\+[A-Za-z0-9]+)*://[A-Za-z0-9_.:@/-]+", re.A)
+# An identifier: a key id, a named login, or an e-mail address. Runs are matched from their first symbol on, so each is read once.
+PART_ID = re.compile(
+    r"""\b(?:ASIA|AIDA|AROA|AKIA)[A-Z0-9]{8,}|\b(?:user(?:name)?|login|client_id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
+    r"""|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,}""",
+    re.A,
+)
+# A secret: a long run of mixed symbols, or what is given under a further name of one.
+# '=' may stand before a run (key=value), and it may have any length; a run is taken whole.
+PART_SECRET = re.compile(
+    r"""(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}+={0,2}(?![A-Za-z0-9+/=])"""
+    r"""|\b(?:pwd|passphrase|credentials?|(?:access|private|account)_?key)["']?\x20*[:=]\x20*["']?[^\s"',;]{6,}""",
+    re.A,
+)
+# An endpoint: a url, an address with its port, or an IP address.
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+PART_ENDPOINT = re.compile(
+    r"\b(?:https?|ftp|postgres|mysql|mongodb|redis|amqp)(?:ql|s)?(?:\+[A-Za-z0-9]+)*://[A-Za-z0-9_.:@/-]+"
+    rf"|(?<![A-Za-z0-9_.-])(?:{_OCTET}\.){{3}}{_OCTET}(?::[0-9]{{1,5}})?(?![A-Za-z0-9_-]|\.[0-9])"
+    r"|(?<![A-Za-z0-9_.-])[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,}:[0-9]{2,5}\b",
+    re.A,
+)
 WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
 
 def finds(text: str | None) -> list[tuple[int, int, int]]:
-    """(start, index of the kind, end) of the strong finds and of all weak parts outside them."""
+    """(start, index of the kind, end) of the strong finds and of the weak parts outside them; of a text without any secret, none."""
     text = text or ""
     out = []
     if ":" in text or "=" in text:
@@ -49,7 +67,11 @@ def finds(text: str | None) -> list[tuple[int, int, int]]:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     strong = sorted((s, e) for s, _, e in out)
-    weak = [(m.start(), k, m.end()) for k, p in ((3, PART_ID), (4, PART_SECRET), (5, PART_ENDPOINT)) if k != 5 or "://" in text for m in p.finditer(text)]
+    # a weak part counts only beside a complement, and none stands without one of these
+    secrets = [(m.start(), 4, m.end()) for m in PART_SECRET.finditer(text)]
+    weak = secrets
+    if secrets or strong:
+        weak = secrets + [(m.start(), k, m.end()) for k, p in ((3, PART_ID), (5, PART_ENDPOINT)) for m in p.finditer(text)]
     at, end = 0, -1
     for s, k, e in sorted(weak):
         while at < len(strong) and strong[at][0] < e:
@@ -111,8 +133,8 @@ def redacted(docs: DataFrame, scope: int = SCOPE, mask: str = MASK) -> DataFrame
         F.greatest(acc["at"], f["end"]).alias("at"),
     )
     done = lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, F.length("_text")))
-    keyed = docs.select(F.struct(*docs.columns).alias("_all"), F.col("text").alias("_text"), F.xxhash64("doc_id", "text").alias("_key")).join(found, "_key", "left")
+    keyed = docs.select(whole(docs).alias("_all"), docs["text"].alias("_text"), F.xxhash64(docs["doc_id"], docs["text"]).alias("_key")).join(found, "_key", "left")
     text = F.when(F.col("_found").isNull(), F.col("_text")).otherwise(F.aggregate("_found", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, done))
     keyed = keyed.withColumn("_new", text)
     fresh = {"text": F.col("_new"), "n_chars": F.length("_new").cast("bigint")}
-    return keyed.select(*(fresh[c].alias(c) if c in fresh else F.col("_all").getField(c).alias(c) for c in docs.columns))
+    return unpacked(keyed, "_all", docs.columns, fresh)
