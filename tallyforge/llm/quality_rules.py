@@ -7,7 +7,7 @@ than ``max_removed_percent`` of its words is depleted and rejected.
 
 Defined results: null or empty text has no words and fails the base rules; a null host is a
 host of its own; copies of one text count as one document, so copying alone never removes a
-line; repeated rows each get their verdict; an empty table gives an empty table; further
+line; a text of any length is one row's work; repeated rows each get their verdict; an empty table gives an empty table; further
 columns of the input, whatever their names, aren't read.
 """
 
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import over_batches, stored
+from tallyforge.llm.common import over_batches, stored, unpacked, whole
 
 MAX_DOCUMENTS = 20
 MAX_REMOVED_PERCENT = 70
@@ -117,10 +117,10 @@ def cleaned(docs: DataFrame, **limits) -> DataFrame:
     of = docs.select("doc_id", F.col("source").alias("host"), "text")
     verdicts = quality_rules(of, **limits).where("kept").select(F.col("doc_id").alias("_id"), "host", "text_key", "removed_lines")
     verdicts = verdicts.dropDuplicates(["_id", "host", "text_key"])
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("host")) & (F.xxhash64("text") == F.col("text_key"))
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("removed_lines"), i)), "\n")
-    text = F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(left)
-    plain = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_all"))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_source").eqNullSafe(F.col("host")) & (F.xxhash64("_whole") == F.col("text_key"))
+    left = F.array_join(F.filter(F.split("_whole", "\n", -1), lambda x, i: ~F.array_contains(F.col("removed_lines"), i)), "\n")
+    text = F.when(F.col("removed_lines").isNull(), F.col("_whole")).otherwise(left)
+    plain = docs.select(docs["doc_id"].alias("_doc"), docs["source"].alias("_source"), docs["text"].alias("_whole"), whole(docs).alias("_all"))
     joined = plain.join(verdicts, same).withColumn("_text", text)
     fresh = {"text": F.col("_text"), "n_chars": F.length("_text").cast("bigint")}
-    return joined.select(*(fresh[c].alias(c) if c in fresh else F.col("_all").getField(c).alias(c) for c in docs.columns))
+    return unpacked(joined, "_all", docs.columns, fresh)
