@@ -4,9 +4,12 @@
 frame as ``ROWS``, and as many timed frames as that takes. ``decode_gif`` reads any GIF: global
 and local palettes, interlacing, transparent colours and all disposals.
 
-Defined results: a null or empty text is one row of zero bytes; a stream that breaks off gives
-the samples it had and zeros after them; bytes that aren't a GIF have no frames; repeated rows
-get a row each and equal texts equal values; an empty table gives an empty table; other columns
+Defined results: a null or empty text is one row of zero bytes; a text of any length is stored whole, in as many frames as it
+takes; a stream that breaks off gives
+the samples it had and zeros after them; bytes that aren't a GIF have no frames, and one that is broken between frames (cut
+short, a code size out of 2 to 8, an unknown block) has those before; a canvas or image of more than
+``MAX_PIXELS`` is refused by ``TooLarge``, which ``frames`` reports as the gif's only row and ``digests`` in its own; repeated rows
+get a row each and equal texts equal values, so there are no ties; an empty table gives an empty table; other columns
 aren't read.
 """
 
@@ -23,7 +26,11 @@ ROW = 64
 ROWS = 1024
 #: Hundredths of a second that a frame is shown.
 DELAY = 4
+#: Bins of each colour's histogram.
 BINS = 16
+COLOURS = ("red", "green", "blue")
+#: The largest canvas or image that is decoded, four bytes a pixel.
+MAX_PIXELS = 1 << 26
 #: Bytes of texts after which a batch of gifs is passed on.
 BATCH_BYTES = 4 << 20
 _FULL = 4096
@@ -150,6 +157,15 @@ def encode_bytes(payload: bytes, delay: int = DELAY) -> bytes:
     return b"".join([*out, b"\x3b"])
 
 
+class TooLarge(ValueError):
+    """A canvas or image of more than MAX_PIXELS."""
+
+
+def _bounded(width: int, height: int) -> None:
+    if width * height > MAX_PIXELS:
+        raise TooLarge(f"{width} x {height} pixels")
+
+
 def decode_gif(data: bytes):
     """Yields (samples, red-green-blue-alpha canvas as shown, delay in hundredths of a second, disposal) of each frame."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
@@ -173,6 +189,7 @@ def decode_gif(data: bytes):
 
     if flags & 0x80:
         palette, at = colours(flags, at)
+    _bounded(width, height)
     canvas = np.zeros((height, width, 4), np.uint8)
     disposal = delay = 0
     clear = None
@@ -189,7 +206,10 @@ def decode_gif(data: bytes):
         left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
         at += 10
         own, at = colours(flags, at) if flags & 0x80 else (palette, at)
-        bits = data[at]
+        bits = data[at] if at < len(data) else 0
+        if not 2 <= bits <= 8:
+            return
+        _bounded(w, h)
         stream, at = blocks(at + 1)
         samples = lzw_decode(stream, bits, w * h).ljust(w * h, b"\0")
         image = np.frombuffer(samples, np.uint8).reshape(h, w)
@@ -214,24 +234,28 @@ def decode_gif(data: bytes):
 
 
 def histogram(canvas: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """Counts of visible pixels by brightness."""
+    """Counts of visible pixels by their red, green and blue, a row each."""
     flat = canvas.reshape(-1, 4)
     seen = flat if (flat[:, 3] > 0).all() else flat[flat[:, 3] > 0]
-    red, green, blue = (seen[:, i].astype(np.uint32) for i in range(3))
-    return np.bincount((299 * red + 587 * green + 114 * blue) * bins // 256_000, minlength=bins)
+    if bins == 16:
+        return np.stack([np.bincount(seen[:, i] >> 4, minlength=bins) for i in range(3)])
+    return np.stack([np.bincount(seen[:, i].astype(np.int64) * bins >> 8, minlength=bins) for i in range(3)])
 
 
-FRAMES = {"id": "bigint", "frame": "int", "delay_cs": "int", "disposal": "int", "width": "int", "height": "int", "rgba": "binary", "histogram": "array<bigint>"}
+FRAMES = {"id": "bigint", "frame": "int", "delay_cs": "int", "disposal": "int", "width": "int", "height": "int", "rgba": "binary", **dict.fromkeys(COLOURS, "array<bigint>"), "error": "string"}
 
 
 def frames(media: DataFrame) -> DataFrame:
-    """Every frame as shown of ``media`` (id, gif), with its time, disposal and colour histogram; null gives no frame."""
+    """Every frame as shown of ``media`` (id, gif), with its time, disposal and colour histograms; null gives no frame."""
 
     def fn(c):
         for i, gif in zip(c["id"], c["gif"], strict=True):
-            for k, (_, canvas, delay, disposal) in enumerate(decode_gif(gif or b"")):
-                row = (i, k, delay, disposal, canvas.shape[1], canvas.shape[0], canvas.tobytes(), histogram(canvas).tolist())
-                yield {n: [v] for n, v in zip(FRAMES, row, strict=True)}
+            try:
+                for k, (_, canvas, delay, disposal) in enumerate(decode_gif(gif or b"")):
+                    row = (i, k, delay, disposal, canvas.shape[1], canvas.shape[0], canvas.tobytes(), *histogram(canvas).tolist(), None)
+                    yield {n: [v] for n, v in zip(FRAMES, row, strict=True)}
+            except TooLarge as e:
+                yield {n: [None] for n in FRAMES} | {"id": [i], "error": [str(e)]}
 
     return over_batches(media.select("id", "gif"), FRAMES, fn)
 
@@ -261,24 +285,30 @@ def texts_as_gifs(docs: DataFrame) -> DataFrame:
 
 DIGEST = {
     "doc_id": "bigint", "n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint",
-    "media_bytes": "bigint", "media_sha256": "string", "feature": "string", "n_frames": "int",
+    "media_bytes": "bigint", "media_sha256": "string", "feature": "string", "n_frames": "int", "duration_cs": "bigint", "error": "string",
 }
 
 
 def digests(gifs: DataFrame) -> DataFrame:
-    """What the stored gifs hold, read back: the samples' digests, and the sums of the frames' histograms as feature."""
+    """What the stored gifs hold, read back: the samples' digests, how long their frames show, and the sums of the frames' colour histograms as feature."""
 
     def fn(c):
         rows = []
         for doc, n, gif in zip(c["doc_id"], c["n_bytes"], c["gif"], strict=True):
-            sha, tail, size, bins, k = hashlib.sha256(), b"", 0, np.zeros(BINS, np.int64), 0
-            for samples, canvas, _, _ in decode_gif(gif):
-                sha.update(samples)
-                tail = (tail + samples)[-64:]
-                size += len(samples)
-                bins += histogram(canvas)
-                k += 1
-            rows.append((doc, n, size, sha.hexdigest(), zlib.crc32(tail), len(gif), hashlib.sha256(gif).hexdigest(), ",".join(map(str, bins.tolist())), k))
+            gif, error = gif or b"", None
+            sha, tail, size, bins, k, time = hashlib.sha256(), b"", 0, np.zeros((3, BINS), np.int64), 0, 0
+            try:
+                for samples, canvas, delay, _ in decode_gif(gif):
+                    sha.update(samples)
+                    tail = (tail + samples)[-64:]
+                    size += len(samples)
+                    bins += histogram(canvas)
+                    k += 1
+                    time += delay
+            except TooLarge as e:
+                error = str(e)
+            feature = ";".join(",".join(map(str, own)) for own in bins.tolist())
+            rows.append((doc, n, size, sha.hexdigest(), zlib.crc32(tail), len(gif), hashlib.sha256(gif).hexdigest(), feature, k, time, error))
         return {name: [r[i] for r in rows] for i, name in enumerate(DIGEST)}
 
     return over_batches(gifs.select("doc_id", "n_bytes", "gif"), DIGEST, fn)

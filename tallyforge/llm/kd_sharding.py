@@ -7,21 +7,20 @@ either side (k // 2 parts of k for other numbers of shards), until the leaves ar
 asked for, or hold no more than the target bytes. A coordinate's low bits are a hash of the
 text, so ties in size or language can be split anywhere.
 
-Split points are found in rounds: bytes are summed into bins of the interval that holds the
-wanted point, all nodes of a level in one job, and the bin that holds it is the next interval. Only the
-bins' sums come to the driver, ``BINS`` a node. The tree then is a column expression.
+Split points are found in rounds, all nodes of a level at once: bytes are summed into bins of the interval that
+holds the wanted point, and the bin that holds it is the next interval. The tree is a table of nodes, which
+the groups are joined with, level by level; the driver learns only whether anything is left to do.
 
 Defined results: a null text is a group of its own (size 1, crc 0); null lang or source count
 as values; a group larger than a shard's part fills a shard alone, so sizes can't be equal then;
 repeated rows each get their slot; an empty table gives an empty table; other columns aren't read.
 """
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tallyforge.llm.common import ranked, stored
+from tallyforge.llm.common import Scratch, ranked, stored
 
 BINS = 1024
 #: Bits of a coordinate: the metadata's, then the text hash's.
@@ -41,82 +40,79 @@ def _coordinates(groups: DataFrame) -> DataFrame:
     return groups.select("key", "weight", *((F.floor(unit[d] * (1 << HIGH)).cast("bigint") * (1 << LOW) + low).alias(f"x_{d}") for d in DIMENSIONS))
 
 
-class _Node:
-    def __init__(self, shards: int):
-        self.shards, self.dim, self.at, self.left, self.right, self.weight = shards, None, None, None, None, 0
-
-    def leaves(self) -> list["_Node"]:
-        return [self] if self.dim is None else self.left.leaves() + self.right.leaves()
-
-    def column(self, number: dict) -> Column:
-        """The number of the leaf that a row falls into."""
-        if self.dim is None:
-            return F.lit(number[id(self)])
-        return F.when(F.col(f"x_{self.dim}") <= self.at, self.left.column(number)).otherwise(self.right.column(number))
-
-
-def _split(groups: DataFrame, root: _Node, nodes: list[_Node]) -> None:
-    """Splits the leaves ``nodes`` of ``root``, all at once."""
-    number = {id(x): i for i, x in enumerate(nodes)} | {id(x): -1 for x in root.leaves() if x not in nodes}
-    rows = groups.withColumn("node", root.column(number)).where("node >= 0")
-    ends = [f(F.col(f"x_{d}")).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))]
-    found = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("weight").alias("weight"), *ends).collect()}  # a row a node
-    state = {}
-    for i, node in enumerate(nodes):
-        if i in found:
-            r = found[i]
-            node.weight = r["weight"]
-            dim = max(DIMENSIONS, key=lambda d: (r[f"hi_{d}"] >> LOW) - (r[f"lo_{d}"] >> LOW))
-            state[i] = [dim, r[f"lo_{dim}"], r[f"hi_{dim}"], r["weight"] * (node.shards // 2) / node.shards, 0]  # the wanted bytes; those below lo
-    while state:
-        pick = lambda k: F.coalesce(*(F.when(F.col("node") == i, F.lit(s[k]).cast("bigint")) for i, s in state.items()))  # noqa: B023, E731
-        x = F.coalesce(*(F.when(F.col("node") == i, F.col(f"x_{s[0]}")) for i, s in state.items()))
-        steps = {i: max(1, -(-(s[2] - s[1] + 1) // BINS)) for i, s in state.items()}
-        step = F.coalesce(*(F.when(F.col("node") == i, F.lit(n).cast("bigint")) for i, n in steps.items()))
-        inside = rows.where(F.col("node").isin(*state)).withColumn("x", x).where((F.col("x") >= pick(1)) & (F.col("x") <= pick(2)))
-        binned = inside.groupBy("node", F.floor((F.col("x") - pick(1)) / step).cast("bigint").alias("bin")).agg(F.sum("weight").alias("weight"), F.max("x").alias("top"))
-        bins: dict[int, list] = {}
-        for r in binned.collect():  # BINS rows a node at most
-            bins.setdefault(r["node"], []).append((r["bin"], r["weight"], r["top"]))
-        for i, own in bins.items():
-            dim, lo, _, want, below = state[i]
-            own.sort()
-            for j, (_, weight, top) in enumerate(own):
-                if below + weight >= want or j == len(own) - 1:
-                    break
-                below += weight
-            done = steps[i] == 1 or weight <= nodes[i].weight * PRECISION
-            if not done:
-                first = lo + own[j][0] * steps[i]
-                state[i] = [dim, first, first + steps[i] - 1, want, below]
-                continue
-            # the bin falls to the side that leaves the halves closer
-            before = own[j - 1][2] if j else lo - 1
-            nodes[i].dim, nodes[i].at = dim, top if below + weight - want <= want - below else before
-            nodes[i].left, nodes[i].right = _Node(nodes[i].shards // 2), _Node(nodes[i].shards - nodes[i].shards // 2)
-            del state[i]
-
-
-def shard(docs: DataFrame, shards: int | None = 8, target_bytes: int | None = None) -> DataFrame:
+def _of(dim: Column) -> Column:
+    """A group's coordinate along its node's dimension."""
+    return F.coalesce(*(F.when(dim == d, F.col(f"x_{d}")) for d in DIMENSIONS))
+
+
+def _open_nodes(groups: DataFrame, target: int | None) -> DataFrame:
+    """The nodes to split: node, parts, dim, lo and hi of its coordinate, weight, want (the bytes of the left side), below (bytes left of lo)."""
+    spread = [F.struct((F.shiftright(F.max(f"x_{d}"), LOW) - F.shiftright(F.min(f"x_{d}"), LOW)).alias("wide"), F.lit(-i).alias("i"), F.lit(d).alias("dim"), F.min(f"x_{d}").alias("lo"), F.max(f"x_{d}").alias("hi")) for i, d in enumerate(DIMENSIONS)]
+    nodes = groups.groupBy("node").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"), F.max("parts").alias("parts"), F.greatest(*spread).alias("on"))
+    if target:
+        nodes = nodes.withColumn("parts", F.when(F.col("n") > 1, F.ceil(F.col("weight") / target)).otherwise(1).cast("bigint"))
+    want = F.col("weight") * F.floor(F.col("parts") / 2) / F.col("parts")
+    return nodes.where("parts > 1").select("node", "parts", "on.dim", "on.lo", "on.hi", "weight", want.alias("want"), F.lit(0).cast("bigint").alias("below"))
+
+
+def _round(groups: DataFrame, state: DataFrame, precision: float) -> DataFrame:
+    """The state of each node after one more round; at is set where its split is found."""
+    step = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / BINS)).cast("bigint")
+    inside = groups.drop("parts").join(state.withColumnRenamed("weight", "all").withColumn("step", step), "node").withColumn("x", _of(F.col("dim"))).where("x >= lo AND x <= hi")
+    bins = inside.groupBy("node", F.expr("(x - lo) div step").alias("bin")).agg(F.sum("weight").alias("w"), F.max("x").alias("top"), *(F.first(c).alias(c) for c in ("parts", "dim", "lo", "step", "all", "want", "below")))
+    by_bin = Window.partitionBy("node").orderBy("bin")  # at most BINS rows
+    bins = bins.withColumn("upto", F.col("below") + F.sum("w").over(by_bin)).withColumn("before", F.lag("top").over(by_bin))
+    holds = F.struct((F.col("upto") < F.col("want")).alias("short"), F.when(F.col("upto") < F.col("want"), -F.col("bin")).otherwise(F.col("bin")).alias("bin"))
+    held = bins.groupBy("node").agg(F.min_by(F.struct(*bins.columns), holds).alias("b")).select("b.*")
+    done = (F.col("step") == 1) | (F.col("w") <= F.col("all") * precision)
+    less = F.col("upto") - F.col("w")
+    # the bin falls to the side that leaves the halves closer
+    at = F.when(F.col("upto") - F.col("want") <= F.col("want") - less, F.col("top")).otherwise(F.coalesce("before", F.col("lo") - 1))
+    lo = F.col("lo") + F.col("bin") * F.col("step")
+    return held.select("node", "parts", "dim", lo.alias("lo"), (lo + F.col("step") - 1).alias("hi"), F.col("all").alias("weight"), "want", less.alias("below"), F.when(done, at).alias("at"))
+
+
+def _tree(groups: DataFrame, shards: int, target: int | None, precision: float, kept: Scratch) -> DataFrame:
+    """``groups`` with node, the path to its leaf as a number, and base, the first of the shards that the leaf stands for."""
+    groups = groups.withColumns({"node": F.lit(1).cast("bigint"), "parts": F.lit(shards).cast("bigint"), "base": F.lit(0).cast("bigint")})
+    while True:
+        state = kept.stored(_open_nodes(groups, target))
+        if state.isEmpty():
+            return groups
+        found = []
+        while not state.isEmpty():
+            after = kept.stored(_round(groups, state, precision))
+            found.append(after.where("at IS NOT NULL").select("node", F.col("parts").alias("of"), "dim", "at"))
+            state = after.where("at IS NULL").drop("at")
+        splits = found[0]
+        for x in found[1:]:
+            splits = splits.unionByName(x)
+        joined = groups.join(splits, "node", "left")
+        right, left_parts = _of(F.col("dim")) > F.col("at"), F.floor(F.col("of") / 2).cast("bigint")
+        split = lambda name, is_left, is_right: F.when(F.col("at").isNull(), F.col(name)).when(right, is_right).otherwise(is_left).alias(name)
+        groups = kept.stored(joined.select(
+            "key", "weight", *(f"x_{d}" for d in DIMENSIONS),
+            split("node", 2 * F.col("node"), 2 * F.col("node") + 1),
+            split("parts", left_parts, F.col("of") - left_parts),
+            split("base", F.col("base"), F.col("base") + left_parts),
+        ))
+
+
+def shard(docs: DataFrame, shards: int | None = 8, target_bytes: int | None = None, precision: float = PRECISION) -> DataFrame:
     """``docs`` (doc_id, text, lang, source) as doc_id, size, text_crc32, shard and slot (gapless from 0 in its shard).
 
-    Either ``shards``, or ``target_bytes`` that no leaf shall exceed (a single group may).
+    Either ``shards``, or ``target_bytes``, which no leaf exceeds that holds more than a single group.
     """
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint")
     crc = F.coalesce(F.crc32("text"), F.lit(0)).cast("bigint")
     key = F.xxhash64("text", F.col("text").isNull())
-    rows = stored(docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), key.alias("key"), "lang", "source"))
-    grouped = rows.groupBy("key").agg(F.sum("size").alias("weight"), F.min("size").alias("size"), F.min("lang").alias("lang"), F.min("source").alias("source"))
-    groups = stored(_coordinates(grouped))
-    if target_bytes:
-        shards = max(1, math.ceil((groups.agg(F.sum("weight")).first()[0] or 0) / target_bytes))
-    root = _Node(shards)
-    while open_ := [x for x in root.leaves() if x.shards > 1]:
-        _split(groups, root, open_)
-        for x in open_:
-            if x.dim is None:  # no rows
-                x.shards = 1
-    number = {id(x): i for i, x in enumerate(root.leaves())}
-    placed = groups.select("key", root.column(number).cast("int").alias("shard"))
-    out = stored(rows.select("doc_id", "size", "text_crc32", "key").join(placed, "key").drop("key"))
-    return ranked(out, ["shard"], ["doc_id", "text_crc32"], "slot")
+    with Scratch(docs.sparkSession) as kept:
+        rows = kept.stored(docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), key.alias("key"), "lang", "source"))
+        grouped = rows.groupBy("key").agg(F.sum("size").alias("weight"), F.min("size").alias("size"), F.min("lang").alias("lang"), F.min("source").alias("source"))
+        groups = _tree(kept.stored(_coordinates(grouped)), shards or 1, target_bytes, precision, kept)
+        if target_bytes:
+            leaves = groups.select("node").distinct()
+            groups = groups.drop("base").join(ranked(kept.stored(leaves), [], ["node"], "base"), "node")
+        placed = groups.select("key", F.col("base").cast("int").alias("shard"))
+        out = kept.stored(rows.select("doc_id", "size", "text_crc32", "key").join(placed, "key").drop("key"))
+        return stored(ranked(out, ["shard"], ["doc_id", "text_crc32"], "slot"))

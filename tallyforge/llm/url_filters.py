@@ -13,7 +13,7 @@ of the pages costs no more than its number of shapes. Column expressions and SQL
 
 Defined results: a null url, or one without ``://``, has empty host and path and is allowed unless
 its template is rejected; pages without labels take their host's rate; repeated rows each get a
-verdict; an empty table gives an empty table; other columns aren't read.
+verdict; of rules of one length the first in order wins; a url of any length is one row; an empty table gives an empty table; other columns aren't read.
 """
 
 import string
@@ -21,7 +21,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import stored
+from tallyforge.llm.common import Scratch, stored
 
 MAX_DEPTH = 6
 MAX_CHILDREN = 20
@@ -31,8 +31,9 @@ Z = 1.96
 #: Pages that the prior of a rate counts as.
 SMOOTHING = 10.0
 LIMIT = 0.5
-#: A longer list of rules belongs in a table.
+#: Rules that become one column expression; a longer list is joined as a table.
 MAX_RULES = 1000
+RULE = "rule string, verdict string"
 
 
 def host_of(url: Column) -> Column:
@@ -47,8 +48,6 @@ def path_of(url: Column) -> Column:
 
 def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
     """The longest rule (``host/path``, verdict) that fits the host or a parent domain and the path; and its verdict."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     cases = []
     for rule, verdict in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
         domain, slash, rest = rule.partition("/")
@@ -60,6 +59,22 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> t
     return found["rule"], found["verdict"]
 
 
+def ruled(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rows`` (host, path and more) with rule and fixed (its verdict): ``rules`` (rule, verdict) as a table, joined by domain with the different hosts.
+
+    A host carries the rules of its own and its parent domains on, the longest first, of which the path takes the first that fits.
+    """
+    parts = F.split("host", "[.]")
+    domains = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    hosts = rows.select("host").distinct().withColumn("domain", F.explode(domains))
+    slash = F.instr("rule", "/")
+    cut = rules.where(slash > 0).select("rule", F.col("verdict").alias("fixed"), F.substring("rule", F.lit(1), slash - 1).alias("domain"), F.substring("rule", slash, F.length("rule")).alias("prefix"))
+    order = F.struct((-F.length("rule")).alias("order"), "rule", "prefix", "fixed")
+    of = hosts.join(cut, "domain").groupBy("host").agg(F.sort_array(F.collect_list(order)).alias("rules"))
+    first = F.get(F.filter("rules", lambda r: F.col("path").startswith(r["prefix"])), F.lit(0))
+    return rows.join(of, "host", "left").withColumn("_first", first).select(*rows.columns, F.col("_first.rule").alias("rule"), F.col("_first.fixed").alias("fixed"))
+
+
 def _shape(path: Column) -> Column:
     """The path's segments with # for digits."""
     return F.filter(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/"), lambda s: s != "")
@@ -77,7 +92,12 @@ def _mixed(tree: DataFrame, level: int) -> tuple[DataFrame, int | None]:
 def templates(pages: DataFrame) -> DataFrame:
     """The tree of ``pages`` (host, shape, bad): host, shape, template, pages, labelled, bad, rate."""
     tree = pages.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("pages"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
-    tree = stored(tree.withColumn("template", F.lit("")))
+    with Scratch(pages.sparkSession) as kept:
+        return stored(_rated(_merged(kept.stored(tree.withColumn("template", F.lit(""))), kept)))
+
+
+def _merged(tree: DataFrame, kept: Scratch) -> DataFrame:
+    """``tree`` with each shape's template."""
     level = 0
     while True:
         below, nodes = level >= MAX_DEPTH, tree
@@ -106,8 +126,13 @@ def templates(pages: DataFrame) -> DataFrame:
         named = both.select("host", "template", "segment", wild.otherwise(F.col("segment")).alias("name"))
         tree = tree.withColumn("segment", segment).join(named, ["host", "template", "segment"], "left")
         tree = tree.withColumn("template", F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))).drop("segment", "name")
-        tree = stored(tree)  # the next level reads it twice
+        tree = kept.stored(tree)  # the next level reads it twice
         level += 1
+    return tree
+
+
+def _rated(tree: DataFrame) -> DataFrame:
+    """``tree`` with the smoothed bad rates of its templates."""
     total = tree.agg(F.sum("bad").alias("b"), F.sum("labelled").alias("n")).select((F.coalesce("b", F.lit(0.0)) / F.greatest(F.coalesce("n", F.lit(0)), F.lit(1))).alias("prior"))
     hosts = tree.groupBy("host").agg(F.sum("bad").alias("h_bad"), F.sum("labelled").alias("h_labelled")).join(F.broadcast(total))  # one row
     hosts = hosts.select("host", ((F.col("h_bad") + SMOOTHING * F.col("prior")) / (F.col("h_labelled") + SMOOTHING)).alias("h_rate"))
@@ -116,14 +141,23 @@ def templates(pages: DataFrame) -> DataFrame:
     return tree.join(of, ["host", "template"])
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], limit: float = LIMIT) -> DataFrame:
-    """``pages`` (page_id, url, bad: 1, 0 or null) as page_id, host, path, rule, verdict, template, rate."""
+def judge(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, limit: float = LIMIT) -> DataFrame:
+    """``pages`` (page_id, url, bad: 1, 0 or null) as page_id, host, path, rule, verdict, template, rate.
+
+    ``rules`` (``host/path``, verdict): a list, or a table with columns rule and verdict.
+    """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), _shape(path).alias("shape"), "bad")
     tree = templates(rows.select("host", "shape", "bad")).select("host", "shape", "template", "rate")
-    rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
+    if isinstance(rules, list) and len(rules) > MAX_RULES:
+        rules = pages.sparkSession.createDataFrame(rules, RULE)
+    if isinstance(rules, list):
+        rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
+        rows = rows.withColumns({"rule": rule, "fixed": verdict})
+    else:
+        rows = ruled(rows, rules)
     own = F.when(F.col("rate") >= limit, "block").otherwise("allow")
-    return rows.join(tree, ["host", "shape"]).select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "template", "rate")
+    return rows.join(tree, ["host", "shape"]).select("page_id", "host", "path", "rule", F.coalesce("fixed", own).alias("verdict"), "template", "rate")
 
 
 def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
