@@ -1,5 +1,7 @@
 """Shared helpers: the shared scratch folder, Arrow batches in and out, ranks without one task."""
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -51,8 +53,29 @@ def scratch(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read again: later jobs neither recompute it nor lose it with an executor."""
-    return _written(df, f"{scratch(df.sparkSession)}/stored-{uuid.uuid4().hex}")
+    """``df`` written once to the shared folder and read again: later jobs neither recompute it nor lose it with an executor.
+
+    For results; it stays until the program ends. What is only needed on the way goes to ``Scratch``.
+    """
+    path = f"{scratch(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    out = _written(df, path)
+    _results.append((df.sparkSession, path))
+    return out
+
+
+_results: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, path in _results:
+        with contextlib.suppress(Exception):  # the session may be gone
+            _delete(spark, path)
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
@@ -79,8 +102,7 @@ class Scratch:
         return _written(df, f"{self.path}/{self.count}")
 
     def __exit__(self, *_) -> None:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(self.spark, self.path)
 
 
 def over_batches(df: DataFrame, fields: dict[str, str], fn) -> DataFrame:

@@ -7,7 +7,8 @@ smaller pieces, the largest first, go where the least room is left that holds th
 lists runs of like placements; each piece finds its own by its rank among the pieces of its length.
 
 Defined results: a null or empty text is the single id 0; only documents longer than the
-capacity are cut; repeated rows are packed each; an empty table gives an empty table; other
+capacity are cut, whatever their length; pieces of one length are alike, so ties go by doc_id, piece and ids, and equal rows in any
+order; repeated rows are packed each; an empty table gives an empty table; other
 columns aren't read.
 """
 
@@ -21,12 +22,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import over_batches, ranked, stored
+from tallyforge.llm.common import Scratch, over_batches, ranked, stored
 
 CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a Python worker keeps; texts looked up at once; words that go to the tokenizer in one row.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
 BLOCK = 256
 ROW = 100
 
@@ -223,7 +224,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """All pieces with their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = stored(pieces(docs, path or vocabulary("word_bpe_49k.json"), capacity, end_id))
+    with Scratch(docs.sparkSession) as kept:
+        return stored(_placed(kept.stored(pieces(docs, path or vocabulary("word_bpe_49k.json"), capacity, end_id)), capacity))
+
+
+def _placed(cut: DataFrame, capacity: int) -> DataFrame:
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most as many rows as the capacity
     runs = sorted(plan(counts, capacity))
     shift = 44

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import over_batches, stored, unpacked, whole
+from tallyforge.llm.common import Scratch, over_batches, stored, unpacked, whole
 
 MAX_DOCUMENTS = 20
 MAX_REMOVED_PERCENT = 70
@@ -79,7 +79,7 @@ def statistics(text: str | None) -> tuple:
 
 
 def _measured(docs: DataFrame) -> DataFrame:
-    """One row per document with its statistics and its lines' hashes, stored."""
+    """One row per document with its statistics and its lines' hashes."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "host", F.xxhash64("text").alias("text_key"), "text")
 
     def fn(c):
@@ -87,7 +87,7 @@ def _measured(docs: DataFrame) -> DataFrame:
         stats = dict(zip(list(FIELDS)[4:], zip(*got, strict=True), strict=True)) if got else {k: [] for k in list(FIELDS)[4:]}
         return {**c, **stats}
 
-    return stored(over_batches(rows, FIELDS, fn))
+    return over_batches(rows, FIELDS, fn)
 
 
 def quality_rules(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_removed_percent: int = MAX_REMOVED_PERCENT) -> DataFrame:
@@ -96,7 +96,11 @@ def quality_rules(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_remov
     Columns: doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, removed_words, removed_lines (line numbers from 0), depleted, kept, text_key.
     """
-    rows = _measured(docs)
+    with Scratch(docs.sparkSession) as kept:
+        return stored(_judged(kept.stored(_measured(docs)), max_documents, max_removed_percent))
+
+
+def _judged(rows: DataFrame, max_documents: int, max_removed_percent: int) -> DataFrame:
     lines = rows.select("row", "doc_id", "host", "text_key", F.posexplode(F.arrays_zip("line_keys", "line_words")).alias("line", "of")).where("of.line_words > 0")
     lines = lines.select("row", "doc_id", "host", "text_key", "line", F.col("of.line_keys").alias("key"), F.col("of.line_words").alias("words"))
     # distinct texts first, then hosts: both counted map-side before they are shuffled

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyforge.llm.common import over_batches, stored, unpacked, whole
+from tallyforge.llm.common import Scratch, over_batches, stored, unpacked, whole
 
 #: Code points between the starts of parts that belong together.
 SCOPE = 300
@@ -96,12 +96,16 @@ def _scanned(docs: DataFrame) -> DataFrame:
             **{n: [[x[i] for x in g] for g in got] for i, n in enumerate(("starts", "kinds", "ends"))},
         }
 
-    return stored(over_batches(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), FIELDS, fn))
+    return over_batches(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), FIELDS, fn)
 
 
 def secret_scans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, n_assign, n_access, n_hex, base_sha256, found (array of start, kind, end), spans."""
-    rows = _scanned(docs)
+    with Scratch(docs.sparkSession) as kept:
+        return stored(_linked(kept.stored(_scanned(docs)), scope))
+
+
+def _linked(rows: DataFrame, scope: int) -> DataFrame:
     each = rows.where(F.exists("kinds", lambda k: k >= 3)).select("row", F.explode(F.arrays_zip("starts", "kinds", "ends")).alias("f"))
     each = each.select("row", F.col("f.starts").alias("start"), F.col("f.kinds").alias("kind"), F.col("f.ends").alias("end"))
     role = F.when(F.col("kind").isin(1, 3), "i").when(F.col("kind") == 5, "e").otherwise("s")

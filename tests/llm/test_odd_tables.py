@@ -1,0 +1,76 @@
+"""Empty tables, columns of any name, megabyte texts and leftovers, for every operator and stage."""
+
+import os
+
+import pytest
+
+import corpus_pipeline
+from tallyforge.llm import common, gif_media, jaccard_join, kd_sharding, language_id, packing, quality_rules, repeated_bytes, secret_scans, sentencepiece_bpe, url_filters
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, `_all` int, `it's` string"
+PAGES = "page_id long, url string, bad int, `a.b` string, rate double, host string"
+
+
+def of_documents(spark, docs):
+    return {
+        "kd": kd_sharding.shard(docs),
+        "pack": packing.pack(docs),
+        "gif": gif_media.digests(gif_media.texts_as_gifs(docs)),
+        "frames": gif_media.frames(gif_media.texts_as_gifs(docs).withColumnRenamed("doc_id", "id")),
+        "language": language_id.identify(docs),
+        "quality": quality_rules.quality_rules(docs.withColumnRenamed("source", "host")),
+        "sentencepiece": sentencepiece_bpe.digests(docs),
+        "secrets": secret_scans.secret_scans(docs),
+        "jaccard": jaccard_join.linked(docs),
+        "repeats": repeated_bytes.repeated_bytes(docs),
+    }
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    assert {k: v.count() for k, v in of_documents(spark, docs).items()} == dict.fromkeys(of_documents(spark, docs), 0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, "").count() == 0
+    assert url_filters.judge(spark.createDataFrame([], PAGES), [("net/", "block")]).count() == 0
+
+
+def test_long_texts_null_columns_and_odd_names(spark):
+    words = " ".join(f"w{i % 7919}x{i % 104729}" for i in range(120_000))
+    assert len(words) > 1_000_000
+    rows = [(1, words, None, None, None, "x", 1, "y"), (2, words + " end", "en", "s", 1, None, None, None), (3, "x" * 1_500_000, "en", "s", 1, None, None, None), (None, None, None, None, None, None, None, None), (4, "line\n" * 250_000, "en", "s", 1, None, 2, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = {k: v.collect() for k, v in of_documents(spark, docs).items()}
+    assert {k: len(v) for k, v in out.items() if k not in ("pack", "frames")} == {k: 5 for k in out if k not in ("pack", "frames")}
+    assert {r["doc_id"]: r["component_id"] for r in out["jaccard"]}[2] == 1
+    assert {r["doc_id"]: r["n_removed"] for r in out["repeats"]}[2] == len(words)
+    assert {r["doc_id"]: r["n_frames"] for r in out["gif"]}[3] == 23
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, docs, "")
+        assert left.columns == docs.columns and left.count() <= 5, name
+
+
+@pytest.mark.parametrize("n", [0, 3])
+def test_pages_with_odd_columns(spark, n):
+    pages = spark.createDataFrame([(i, f"http://h.com/{'a/' * 50_000}{i}", i % 2, "x", 1.0, "y") for i in range(n)], PAGES)
+    assert url_filters.judge(pages, []).count() == n
+
+
+def test_scratch_goes(spark, docs):
+    base = common.scratch(spark).removeprefix("file://").removeprefix("file:")
+    before = set(os.listdir(base))
+    jaccard_join.linked(docs).count()
+    repeated_bytes.repeated_bytes(docs).count()
+    left = set(os.listdir(base)) - before
+    assert len(left) == 2 and all(x.startswith("stored-") for x in left)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf(dict):
+        def get(self, key, default=None):
+            return {"spark.master": "yarn"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.scratch(Session())
