@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm import jaccard_join, packing, quality_rules, repeated_bytes, secret_scans
+from tallyforge.llm.common import Scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +39,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written and read again."""
-    from tallyforge.llm.common import stored
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scratch(spark) as kept:
+        for _, stage in STAGES[:-1]:
+            docs = kept.stored(stage(spark, docs, sf_dir))
+        return STAGES[-1][1](spark, docs, sf_dir)  # stored by itself
