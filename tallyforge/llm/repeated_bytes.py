@@ -29,7 +29,6 @@ columns aren't read. In steps 1 and 3, and for wide anchors, strings are told ap
 
 import hashlib
 import uuid
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -84,12 +83,9 @@ class Anchors:
     """The windows of a text of at least 50 bytes, their anchors and contexts."""
 
     def __init__(self, raw: bytes):
-        # sentinels stand for what lies outside the text, so a context at its end is like none elsewhere
-        x = np.full(len(raw) + 2 * SPAN, 256, np.uint64)
-        x[SPAN : SPAN + len(raw)] = np.frombuffer(raw, np.uint8)
-        x += np.uint64(1)
+        x = _symbols(raw)
         self.symbols, h = x, _doubled(x, _M)
-        self.h2, self.h16 = h[1], h[4]
+        self.h16 = h[4]
         n = len(x) - GRAM + 1
         gram = _mixed(h[4][:n] * _M[4] + h[2][16 : 16 + n])[SPAN : SPAN + len(raw) - GRAM + 1]
         self.least = _slide(gram, SPAN + 1, np.minimum)  # by window
@@ -99,12 +95,6 @@ class Anchors:
         self.gram = gram[self.at]
         self.deal = _mixed(self.gram * _M[0])  # least hashes crowd at the low end; these don't
 
-    @cached_property
-    def second(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of 2 and 16 symbols, independent of the first."""
-        h = _doubled(self.symbols, _N)
-        return h[1], h[4]
-
     def contexts(self, which: np.ndarray | slice, h16: np.ndarray | None = None) -> np.ndarray:
         """The first hash of the contexts of some anchors, or, by other ``h16``, the second."""
         h16 = self.h16 if h16 is None else h16
@@ -121,19 +111,33 @@ class Anchors:
             own[wrong] += 1
         return own
 
-    def windows(self, starts: np.ndarray, h: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-        """The first hash of the windows that start there, or, by other hashes of 2 and 16 symbols, the second."""
-        h2, h16 = h or (self.h2, self.h16)
-        i = starts + SPAN
-        return _mixed(((h16[i] * _M[0] + h16[i + 16]) * _M[2] + h16[i + 32]) * _M[3] + h2[i + 48])
 
+def _symbols(raw: bytes) -> np.ndarray:
+    """The bytes as numbers; sentinels stand for what lies outside the text, so a context at its end is like none elsewhere."""
+    x = np.full(len(raw) + 2 * SPAN, 256, np.uint64)
+    x[SPAN : SPAN + len(raw)] = np.frombuffer(raw, np.uint8)
+    x += np.uint64(1)
+    return x
+
+
+def _windows(starts: np.ndarray, h2: np.ndarray, h16: np.ndarray) -> np.ndarray:
+    """Hashes of the windows that start there, from those of 2 and 16 symbols."""
+    i = starts + SPAN
+    return _mixed(((h16[i] * _M[0] + h16[i + 16]) * _M[2] + h16[i + 32]) * _M[3] + h2[i + 48])
 
-BLOCK = {"part": "int", "keys": "binary", "ids": "binary", "counts": "binary", "groups": "binary", "strings": "binary", "seconds": "binary"}
-ANSWER = {"part": "int", "keys": "binary", "repeated": "binary", "open": "binary", "wide": "binary", "hashes": "binary"}
+
+BLOCK = {"part": "int", "keys": "binary", "ids": "binary", "counts": "binary", "groups": "binary", "strings": "binary", "seconds": "binary", "starts": "binary", "lengths": "binary"}
+ANSWER = {"part": "int", "keys": "binary", "repeated": "binary", "open": "binary", "wide": "binary", "runs": "binary"}
 _DDL = lambda fields: ", ".join(f"{k} {v}" for k, v in fields.items())
 _SCHEMA = lambda fields: pa.schema([(k, {"int": pa.int32(), "bigint": pa.int64()}.get(v, pa.binary())) for k, v in fields.items()])
 
 
+def _runs(starts: np.ndarray, lengths: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """Runs of windows as numbers: the first start, 27 bits of their anchor, and how many (``SPAN`` + 1 at most) where an anchor is given."""
+    run = starts.astype(np.uint64) << np.uint64(32) | lengths.astype(np.uint64)
+    return run if group is None else run | (group.astype(np.uint64) & np.uint64(0xFFFFFFE0))
+
+
 def _answers(key: np.ndarray, kind: np.ndarray, values: np.ndarray, parts: int) -> dict:
     """Rows of ANSWER, dealt by document: the documents, how many values of each kind they have (repeated, open, wide), and the values in that order."""
     part = (key.view(np.uint64) % np.uint64(parts)).astype(np.int64)
@@ -160,26 +164,23 @@ def _shared(x: np.ndarray) -> np.ndarray:
     return order[np.repeat((n := np.diff(np.r_[np.flatnonzero(new), len(x)])) > 1, n)]
 
 
-def _settled(group: np.ndarray, string: np.ndarray, second: np.ndarray, doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
-    """An order of the entries; in it, where strings begin, which entries stand in a larger document than their string's
-    smallest, and which are left: once for each text of the smallest document."""
-    order = np.lexsort((key, doc, string, group))
-    g, s, t, d, k = group[order], string[order], second[order], doc[order], key[order]
+def _settled(group: np.ndarray, string: np.ndarray, second: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """An order of the entries; in it, where strings begin, and which entries stand in a larger document than their string's smallest."""
+    order = np.lexsort((doc, string, group))
+    g, s, t, d = group[order], string[order], second[order], doc[order]
     first = np.ones(len(g), bool)
     first[1:] = (g[1:] != g[:-1]) | (s[1:] != s[:-1])
     if (~first[1:] & (t[1:] != t[:-1])).any():  # one first hash of two strings
-        order = np.lexsort((key, doc, second, string, group))
-        g, s, t, d, k = group[order], string[order], second[order], doc[order], key[order]
+        order = np.lexsort((doc, second, string, group))
+        g, s, t, d = group[order], string[order], second[order], doc[order]
         first[1:] = (g[1:] != g[:-1]) | (s[1:] != s[:-1]) | (t[1:] != t[:-1])
     head = np.flatnonzero(first)
     repeated = d > np.repeat(d[head], np.diff(np.r_[head, len(d)]))
-    again = np.zeros(len(g), bool)
-    again[1:] = ~first[1:] & (k[1:] == k[:-1])
-    return order, first, repeated, ~repeated & ~again
+    return order, first, repeated
 
 
 def _dealt(entries, ranges: int, parts: int):
-    """Rows of BLOCK from (key, id, groups, strings, their second hashes) of documents: firsts by range of group, settled repeats by document (behind the ranges).
+    """Rows of BLOCK from (key, id, groups, strings, their second hashes, starts and lengths of their runs of windows) of documents: firsts by range of group, settled repeats by document (behind the ranges).
 
     Within its range a group goes by 32 bits, which can only open a window to the exact comparison; groups that are
     the strings themselves aren't sent.
@@ -189,15 +190,15 @@ def _dealt(entries, ranges: int, parts: int):
         sizes = np.fromiter((len(x[2]) for x in held), np.int64, len(held))
         owner = np.repeat(np.arange(len(held)), sizes)
         alone = held[0][2] is held[0][3]
-        group, string, second = (np.concatenate([x[i] for x in held]) for i in (2, 3, 4))
+        group, string, second, start, length = (np.concatenate([x[i] for x in held]) for i in range(2, 7))
         keys, ids = (np.array([x[i] for x in held], np.int64) for i in (0, 1))
         some = _shared(string)  # most strings occur once
-        order, _, repeated, left = _settled(group[some], string[some], second[some], ids[owner[some]], keys[owner[some]])
+        order, _, repeated = _settled(group[some], string[some], second[some], ids[owner[some]])
         gone, stay = some[order[repeated]], np.ones(len(group), bool)
-        stay[some[order[~left]]] = False
-        done = _answers(keys[owner[gone]], np.zeros(len(gone), np.int8), string[gone], parts)
+        stay[gone] = False
+        done = _answers(keys[owner[gone]], np.zeros(len(gone), np.int8), _runs(start[gone], length[gone]), parts)
         n = len(done["part"])
-        yield {"part": [ranges + p for p in done["part"]], "keys": done["keys"], "ids": [b""] * n, "counts": done["repeated"], "groups": [b""] * n, "strings": done["hashes"], "seconds": [b""] * n}
+        yield {k: [b""] * n for k in BLOCK} | {"part": [ranges + p for p in done["part"]], "keys": done["keys"], "counts": done["repeated"], "strings": done["runs"]}
         stay = np.flatnonzero(stay)
         part = (((group[stay] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
         stay = stay[np.argsort(part, kind="stable")]
@@ -206,7 +207,7 @@ def _dealt(entries, ranges: int, parts: int):
         for r in np.flatnonzero(np.diff(edge)).tolist():
             own = stay[edge[r] : edge[r + 1]]
             who, counts = np.unique(owner[own], return_counts=True)
-            for name, v in zip(BLOCK, (r, keys[who].tobytes(), ids[who].tobytes(), counts.astype(np.int32).tobytes(), b"" if alone else group[own].astype(np.uint32).tobytes(), string[own].tobytes(), second[own].tobytes()), strict=True):
+            for name, v in zip(BLOCK, (r, keys[who].tobytes(), ids[who].tobytes(), counts.astype(np.int32).tobytes(), b"" if alone else group[own].astype(np.uint32).tobytes(), string[own].tobytes(), second[own].tobytes(), start[own].astype(np.uint32).tobytes(), length[own].astype(np.uint8).tobytes()), strict=True):
                 out[name].append(v)
         yield out
 
@@ -228,25 +229,29 @@ def _resolved(blocks: DataFrame, ranges: int, parts: int, wide: int, texts: "Tex
     def fn(table: pa.Table) -> pa.Table:
         get = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
         if table.column("part")[0].as_py() >= ranges:
-            out = {k: table.column(c).to_pylist() for k, c in zip(("part", "keys", "repeated", "hashes"), ("part", "keys", "counts", "strings"), strict=True)}
+            out = {k: table.column(c).to_pylist() for k, c in zip(("part", "keys", "repeated", "runs"), ("part", "keys", "counts", "strings"), strict=True)}
             none = [bytes(len(x)) for x in out["repeated"]]
             return pa.Table.from_pydict(out | {"part": [p - ranges for p in out["part"]], "open": none, "wide": none}, schema=_SCHEMA(ANSWER))
         group, string, second, counts = get("groups", np.uint32), get("strings", np.uint64), get("seconds", np.uint64), get("counts", np.int32)
-        group = group if len(group) else string
+        grouped = len(group) > 0
+        group = group if grouped else string
         some = _shared(group)  # an anchor that occurs once has nothing to tell
         owner = np.repeat(np.arange(len(counts)), counts)[some]
         key, doc, group, string, second = get("keys", np.int64)[owner], get("ids", np.int64)[owner], group[some], string[some], second[some]
-        order, first, repeated, left = _settled(group, string, second, doc, key)
+        order, first, repeated = _settled(group, string, second, doc)
         g = group[order]
         head = np.r_[True, g[1:] != g[:-1]] if len(g) else np.zeros(0, bool)
         runs = np.diff(np.r_[np.flatnonzero(head), len(g)])
         at, d = np.flatnonzero(head), doc[order]
         strings = np.repeat(np.add.reduceat(first.astype(np.int64), at), runs) if len(g) else runs
         shared = np.repeat(np.minimum.reduceat(d, at) < np.maximum.reduceat(d, at), runs) if len(g) else head
-        told = repeated | (left & (strings > 1) & shared)
+        told = repeated | ((strings > 1) & shared)
         kind = np.where(repeated, 0, np.where(strings > wide, 2, 1)).astype(np.int8)
         own = order[told]
-        return pa.Table.from_pydict(_answers(key[own], kind[told], string[own], parts), schema=_SCHEMA(ANSWER))
+        run = _runs(get("starts", np.uint32)[some][own], get("lengths", np.uint8)[some][own], group[own] if grouped else None)
+        # only open runs need their anchor
+        run = np.where(kind[told] == 1, run, run & np.uint64(0xFFFFFFFF0000001F))
+        return pa.Table.from_pydict(_answers(key[own], kind[told], run, parts), schema=_SCHEMA(ANSWER))
 
     return _by_text(blocks.groupBy("part").applyInArrow(fn, _DDL(ANSWER)), texts)
 
@@ -303,7 +308,7 @@ def _by_text(answers: DataFrame, texts: Texts) -> DataFrame:
 
     def fn(table: pa.Table) -> pa.Table:
         get = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-        keys, values = get("keys", np.int64), get("hashes", np.uint64)
+        keys, values = get("keys", np.int64), get("runs", np.uint64)
         edge = np.r_[0, np.cumsum(np.stack([get(k, np.int32) for k in kinds], 1).astype(np.int64))].tolist()
         told: dict[int, tuple[list, ...]] = {}
         for i, key in enumerate(keys.tolist()):
@@ -320,14 +325,14 @@ SHARD = {"part": "int", "keys": "binary", "ids": "binary", "starts": "binary", "
 
 
 def _shards(entries, ranges: int):
-    """Rows of SHARD from (key, id, grams, starts, contexts) of documents: a batch's contexts by range of their anchors, transformed."""
+    """Rows of SHARD from (key, id, bits of the anchors, starts, contexts) of documents: a batch's contexts by range of their anchors, transformed."""
 
     def flush(held):
         owner = np.repeat(np.arange(len(held)), [len(x[2]) for x in held])
         keys, ids = (np.array([x[i] for x in held], np.int64)[owner] for i in (0, 1))
         grams, starts = (np.concatenate([x[i] for x in held]) for i in (2, 3))
         strings = [s for x in held for s in x[4]]
-        part = (((grams >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+        part = (_mixed(grams * _M[0]) % np.uint64(ranges)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         edge = np.searchsorted(part[order], np.arange(ranges + 1))
         out = {k: [] for k in SHARD}
@@ -363,28 +368,17 @@ def _merged(shards: DataFrame, parts: int, texts: Texts) -> DataFrame:
         place = np.sort(string[gone].astype(np.int64) << 20 | offset[gone])
         head = np.flatnonzero(np.r_[True, np.diff(place) > 1]) if len(place) else np.zeros(0, np.int64)
         of = place[head] >> 20
-        run = (starts[of] + (place[head] & 0xFFFFF)) << 32 | np.diff(np.r_[head, len(place)])
-        return pa.Table.from_pydict(_answers(keys[of], np.zeros(len(of), np.int8), run.astype(np.uint64), parts), schema=_SCHEMA(ANSWER))
+        run = _runs(starts[of] + (place[head] & 0xFFFFF), np.diff(np.r_[head, len(place)]))
+        return pa.Table.from_pydict(_answers(keys[of], np.zeros(len(of), np.int8), run, parts), schema=_SCHEMA(ANSWER))
 
     return _by_text(shards.groupBy("part").applyInArrow(fn, _DDL(ANSWER)), texts)
 
 
-def _covered(raw: bytes, repeated: bytes, wide: bytes, windows: bytes, runs: bytes) -> np.ndarray:
-    """Which bytes of a text go."""
-    cover = np.zeros(len(raw) + 1, np.int64)
-    if len(raw) >= LENGTH and (repeated or windows):
-        a = Anchors(raw)
-        own = a.owners()
-        context = a.contexts(slice(None))
-        gone = np.isin(context, np.frombuffer(repeated, np.uint64))[own]
-        if windows:
-            starts = np.flatnonzero(np.isin(context, np.frombuffer(wide, np.uint64))[own] & ~gone)
-            gone[starts] = np.isin(a.windows(starts), np.frombuffer(windows, np.uint64))
-        starts = np.flatnonzero(gone)
-        np.add.at(cover, starts, 1)
-        np.add.at(cover, starts + LENGTH, -1)
-    if runs:
-        run = np.frombuffer(runs, np.int64)
+def _covered(size: int, *runs: bytes | None) -> np.ndarray:
+    """Which bytes of a text of that size go."""
+    cover = np.zeros(size + 1, np.int64)
+    run = np.frombuffer(b"".join(x or b"" for x in runs), np.int64)
+    if len(run):
         np.add.at(cover, run >> 32, 1)
         np.add.at(cover, (run >> 32) + (run & 0xFFFFFFFF) - 1 + LENGTH, -1)
     return np.cumsum(cover[:-1]) > 0
@@ -404,40 +398,43 @@ def _removed(texts: Texts, total: int, wide: int, keep: bool) -> DataFrame:
             for uid, first, text, shared in zip(c["uid"], c["first"], c["text"], c["shared"], strict=True):
                 a = Anchors(text.encode("utf-8", "surrogatepass"))
                 own = np.flatnonzero(np.isin(a.deal, np.frombuffer(shared, np.uint64)))
-                yield uid, first, a.deal[own], a.contexts(own), a.contexts(own, a.second[1])
+                # an anchor's own windows are a run, as anchors take turns from the left
+                of = a.owners()
+                starts, ends = np.searchsorted(of, own), np.searchsorted(of, own, "right")
+                own, starts, ends = own[ends > starts], starts[ends > starts], ends[ends > starts]
+                yield uid, first, a.deal[own], a.contexts(own), a.contexts(own, _doubled(a.symbols, _N)[4]), starts, ends - starts
 
         return _dealt(of(), ranges, parts)
 
     def contexts_of(c):
         def of():
             for uid, first, text, opened in zip(c["uid"], c["first"], c["text"], c["open"], strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                a = Anchors(raw)
-                own = np.flatnonzero(np.isin(a.contexts(slice(None)), np.frombuffer(opened, np.uint64)))
-                # of a context only the anchor's own windows, a run as anchors take turns from the left
-                of = a.owners()
-                starts, ends = np.searchsorted(of, own), np.searchsorted(of, own, "right")
-                own, starts, ends = own[ends > starts], starts[ends > starts], ends[ends > starts] + LENGTH - 1
-                yield uid, first, a.deal[own], starts, [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+                raw, run = text.encode("utf-8", "surrogatepass"), np.frombuffer(opened, np.uint64)
+                starts = (run >> np.uint64(32)).astype(np.int64)
+                ends = starts + (run & np.uint64(31)).astype(np.int64) + LENGTH - 1
+                yield uid, first, run & np.uint64(0xFFFFFFE0), starts, [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
 
         return _shards(of(), merges)
 
     def windows_of(c):
         def of():
             for uid, first, text, opened in zip(c["uid"], c["first"], c["text"], c["wide"], strict=True):
-                a = Anchors(text.encode("utf-8", "surrogatepass"))
-                own = np.flatnonzero(np.isin(a.contexts(slice(None)), np.frombuffer(opened, np.uint64))[a.owners()])
-                h = a.windows(own)
-                yield uid, first, h, h, a.windows(own, a.second)
+                run = np.frombuffer(opened, np.int64)
+                n = run & 31
+                starts = np.repeat((run >> 32) - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
+                x = _symbols(text.encode("utf-8", "surrogatepass"))
+                (_, h2, _, _, h16), (_, s2, _, _, s16) = _doubled(x, _M), _doubled(x, _N)
+                h = _windows(starts, h2, h16)
+                yield uid, first, h, h, _windows(starts, s2, s16), starts, np.ones(len(starts), np.int64)
 
         return _dealt(of(), ranges, parts)
 
     def final(c):
         for i in range(0, len(c["key"]), 256):
             out = {k: [] for k in RESULT}
-            for key, key2, first, text, *told in zip(*(c[n][i : i + 256] for n in ("key", "key2", "first", "text", "repeated", "wide", "windows", "runs")), strict=True):
+            for key, key2, first, text, *told in zip(*(c[n][i : i + 256] for n in ("key", "key2", "first", "text", "repeated", "windows", "runs")), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                gone = _covered(raw, *(x or b"" for x in told))
+                gone = _covered(len(raw), *told)
                 n, kept = int(gone.sum()), raw
                 if n:
                     kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
@@ -453,14 +450,14 @@ def _removed(texts: Texts, total: int, wide: int, keep: bool) -> DataFrame:
     bytes_ = (contexts.agg(F.sum(F.octet_length("open"))).first()[0] or 0) // 8 * (LENGTH + SPAN)
     merges = max(8, -(-bytes_ // RANGE_BYTES))
     runs = _merged(over_batches(table.join(open_, on).select("uid", "first", "text", "open"), SHARD, contexts_of), parts, texts)
-    told = table.join(contexts.select(*on, "repeated", "wide"), on, "left").join(runs.select(*on, F.col("repeated").alias("runs")), on, "left")
+    told = table.join(contexts.select(*on, "repeated"), on, "left").join(runs.select(*on, F.col("repeated").alias("runs")), on, "left")
     many = contexts.where(F.octet_length("wide") > 0).select(*on, "wide")
     if many.isEmpty():
         told = told.withColumn("windows", F.lit(None).cast("binary"))
     else:
         windows = _resolved(over_batches(table.join(many, on).select("uid", "first", "text", "wide"), BLOCK, windows_of), ranges, parts, wide, texts)
         told = told.join(windows.select(*on, F.col("repeated").alias("windows")), on, "left")
-    return texts.kept.stored(over_batches(told.select(*on, "first", "text", "repeated", "wide", "windows", "runs"), RESULT, final))
+    return texts.kept.stored(over_batches(told.select(*on, "first", "text", "repeated", "windows", "runs"), RESULT, final))
 
 
 def repeated_bytes(docs: DataFrame, texts: bool = False, wide: int = WIDE) -> DataFrame:
