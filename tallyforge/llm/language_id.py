@@ -9,7 +9,7 @@ training texts of that centroid do is marked as rejected; the nearest language s
 The classifier is fitted on at most ``PER_LANGUAGE`` labelled texts a language, chosen by a hash
 of id and text, equal rows counting once; the document frequencies come from all training texts. Whole texts are predicted. Defined results: null texts and texts without a letter are
 ``und`` with score 0; so are all where nothing was learned; ties go to the language first in
-order; rows with null lang teach nothing; an empty table gives an empty table; other columns
+order; a text of any length is counted whole, in one task; rows with null lang teach nothing; an empty table gives an empty table; other columns
 aren't read.
 """
 
@@ -24,6 +24,7 @@ from tallyforge.llm.common import over_batches
 
 #: Bound of the labelled texts of a language that the classifier is fitted on.
 PER_LANGUAGE = 400
+BUCKETS = 64
 BITS = 12
 DIMENSIONS = 1 << BITS
 CENTROIDS = 4
@@ -88,12 +89,16 @@ def clustered(x: np.ndarray, k: int = CENTROIDS) -> np.ndarray:
 
 
 def sampled(known: DataFrame, per_language: int) -> DataFrame:
-    """lang and text of at most ``per_language`` different rows of ``known`` (doc_id, text, lang) a language."""
+    """lang and text of at most ``per_language`` different rows of ``known`` (doc_id, text, lang) a language.
+
+    The least keys of each bucket of a language first, then the least of those, so that no task reads more than a bound.
+    """
     keyed = known.select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
-    order = Window.partitionBy("lang").orderBy("key")
-    # keys first, so that only chosen rows carry their text on; the limit is applied before the shuffle
-    chosen = keyed.select("lang", "key").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).drop("n")
-    return keyed.join(F.broadcast(chosen), ["lang", "key"], "left_semi").groupBy("lang", "key").agg(F.first("text").alias("text")).drop("key")
+    chosen = keyed.select("lang", "key").distinct().withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
+    for parts in (["lang", "bucket"], ["lang"]):
+        chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy(*parts).orderBy("key"))).where(F.col("n") <= per_language).drop("n")
+    # per_language rows a language
+    return keyed.join(F.broadcast(chosen.drop("bucket")), ["lang", "key"], "left_semi").groupBy("lang", "key").agg(F.first("text").alias("text")).drop("key")
 
 
 def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:

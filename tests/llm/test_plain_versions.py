@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyforge.llm import gif_media, kd_sharding, packing, secret_scans, url_filters
+from tallyforge.llm import gif_media, kd_sharding, language_id, packing, secret_scans, url_filters
 from tallyforge.llm.common import ranked, stored
 from test_set_operators import gif, plain_url
 
@@ -204,3 +204,34 @@ def library():
 def test_ranks_without_keys(spark):
     df = stored(spark.range(500).selectExpr("id"))
     assert sorted(x["n"] for x in ranked(df, [], ["id"], "n", rows_per_bucket=50).collect()) == list(range(500))
+
+
+def plain_language(text, model):
+    """The nearest centroid, n-gram by n-gram."""
+    letters = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text or "")
+    if not letters.strip():
+        return "und", 0.0
+    codes, mask = [ord(c) for c in " " + " ".join(letters.split()) + " "], (1 << 64) - 1
+    counts = defaultdict(int)
+    for i in range(len(codes)):
+        h = 0
+        for k, m in zip(range(3), (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x9E3779B97F4A7C15), strict=True):
+            if i + k < len(codes):
+                h = (h + codes[i + k]) * m & mask
+                counts[h >> 64 - language_id.BITS] += 1
+    vector = {s: np.log1p(n) * model["idf"][s] for s, n in counts.items()}
+    norm = sum(v * v for v in vector.values()) ** 0.5
+    cosines = [sum(v * c[s] for s, v in vector.items()) / norm for c in model["centroids"]]
+    best = int(np.argmax(cosines))
+    return model["langs"][model["of"][best]], cosines[best]
+
+
+def test_languages_are_those_of_the_plain_centroids(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").where("length(text) < 3000")
+    model = language_id.fit(docs, F.lit(True), 30)
+    rows = docs.select("doc_id", "text").limit(60).collect()
+    own = spark.createDataFrame([(r["doc_id"], False, r["text"]) for r in rows] + [(-1, False, "Ünï 漢字 ﬁ-x\n\ty1"), (-2, False, "12 .")], "doc_id long, held_out boolean, text string")
+    texts = {r["doc_id"]: r["text"] for r in own.collect()}
+    for r in language_id.predict(own, model).collect():
+        lang, score = plain_language(texts[r["doc_id"]], model)
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-4
