@@ -14,7 +14,7 @@ def with_starting_multiple(businesses: DataFrame, multiples: DataFrame, broadcas
 
     A trade that isn't listed, or null, gets a null multiple. A trade listed twice takes its
     smallest multiple, so no business is ever doubled. The lookup is broadcast only after a
-    bounded count shows that it is small.
+    count of at most ``broadcast_rows`` + 1 rows, a small job run while the plan is made, shows that it is small.
     """
     lookup = multiples.groupBy("trade").agg(F.min("multiple").alias("multiple"))
     small = multiples.limit(broadcast_rows + 1).count() <= broadcast_rows

@@ -1,4 +1,4 @@
-"""The valuation over a stream of business inputs."""
+"""The valuation over a stream of business inputs: an addition, outside what the reference describes."""
 
 from pyspark.sql import DataFrame, SparkSession
 
