@@ -22,8 +22,8 @@ def components(edges: DataFrame, kept: Scratch) -> DataFrame:
         # large star: a node's larger neighbours move to its least neighbour, or to itself
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        e = kept.stored(e.select(F.col("v").alias("u"), F.col("u").alias("v")).join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(
-            e.join(m, "u").select("u", F.col("m").alias("v")).where("u > v")).distinct())
+        up = e.select(F.col("v").alias("u"), F.col("u").alias("v")).join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+        e = up.unionByName(e.join(m, "u").select("u", F.col("m").alias("v")).where("u > v")).distinct()
         # small star: a node and its smaller neighbours move to the least of them
         m = _least(e)
         e = kept.stored(e.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(m.select("u", F.col("m").alias("v"))).distinct())
