@@ -105,6 +105,17 @@ class Scratch:
         _delete(self.spark, self.path)
 
 
+_worker: dict = {"owner": None, "cache": {}}
+
+
+def worker_cache(owner: tuple) -> dict:
+    """A dict that a Python worker keeps from task to task, for one operator at a time: another's takes its place, so they don't add up."""
+    if _worker["owner"] != owner:
+        _worker["cache"].clear()
+        _worker.update(owner=owner, cache={})
+    return _worker["cache"]
+
+
 def over_batches(df: DataFrame, fields: dict[str, str], fn) -> DataFrame:
     """``fn`` over Arrow batches, Spark dealing out the rows.
 

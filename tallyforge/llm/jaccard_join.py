@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyforge.llm import shared_shingles
-from tallyforge.llm.common import Scratch, over_batches, stored, unpacked, whole
+from tallyforge.llm.common import Scratch, over_batches, stored, unpacked, whole, worker_cache
 from tallyforge.llm.components import components
 
 WORDS = 5
@@ -62,7 +62,6 @@ CACHED_WORDS = 300_000
 LAST = (1 << 63) - 1
 _LOWER = bytes(range(256)).lower()
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_known: dict[bytes, int] = {}
 
 
 def needed(n):
@@ -80,11 +79,12 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not tokens:
         return np.zeros(0, np.uint64)
-    if len(_known) > CACHED_WORDS:
-        _known.clear()
-    for w in set(tokens).difference(_known):
-        _known[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_known.__getitem__, tokens), np.uint64, len(tokens))
+    known = worker_cache(("shingles",))
+    if len(known) > CACHED_WORDS:
+        known.clear()
+    for w in set(tokens).difference(known):
+        known[w] = xxhash.xxh3_64_intdigest(w)
+    h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
     k = min(words, len(h))
     n = len(h) - k + 1
     total = np.full(n, k, np.uint64)

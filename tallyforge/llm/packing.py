@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import Scratch, over_batches, ranked, stored
+from tallyforge.llm.common import Scratch, over_batches, ranked, stored, worker_cache
 
 CAPACITY = 2048
 END_ID = 0
@@ -53,7 +53,7 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.path, self.tokenizer, self.known = path, Tokenizer.from_file(path), {}
         vocabulary_ = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary_.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary_.items() if t.endswith("</w>")]] = True
@@ -122,7 +122,8 @@ class Words:
         return low if self.latin else text
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out, known = [], self.known
+        out, known = [], worker_cache(("words", self.path))
+        self.known = known
         for i in range(0, len(texts), BLOCK):
             if len(known) > CACHED_WORDS:
                 known.clear()

@@ -19,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tallyforge.llm.common import over_batches
+from tallyforge.llm.common import over_batches, worker_cache
 from tallyforge.llm.packing import vocabulary
 
 MARK = "▁"
@@ -99,8 +99,8 @@ class Model:
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> tuple[Model, dict]:
-    return Model(path), {}
+def load(path: str) -> Model:
+    return Model(path)
 
 
 def merge(model: Model, units: list[str]) -> list[str]:
@@ -190,7 +190,7 @@ def units_of(model: Model, text: str) -> list[str]:
 
 def encoded(texts: list[str | None], path: str):
     """Each text's ids, joined by commas."""
-    model, known = load(path)
+    model, known = load(path), worker_cache(("units", path))
     for i in range(0, len(texts), 256):
         if len(known) > CACHED_UNITS:
             known.clear()
@@ -208,7 +208,7 @@ def encode(texts: list[str | None], path: str) -> list[list[int]]:
 
 def decode(ids: str, path: str) -> str:
     """The text of ids joined by commas: their bytes, without the mark that every text begins with."""
-    raw = b"".join(map(load(path)[0].content.__getitem__, ids.split(","))) if ids else b""
+    raw = b"".join(map(load(path).content.__getitem__, ids.split(","))) if ids else b""
     return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
