@@ -1,5 +1,6 @@
 """DuckDB SQL of the queries that SQL can express over whole tables."""
 
+from tallyforge.llm.line_dedup import MIN_CHARS, MIN_DOCUMENTS
 from tallyforge.llm.quality_rules import MAX_DOCUMENTS, MAX_REMOVED_PERCENT
 
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -53,4 +54,13 @@ SELECT node AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, min(target)
 FROM reach LEFT JOIN sizes ON sizes.doc_id = node GROUP BY node, n
 """
 
-ORACLE_SQL = {"op6_quality_rules": OP6, "op9_jaccard_join": OP9}
+OP11 = f"""
+WITH raw_lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+lines AS (SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM raw_lines),
+shared AS (SELECT key, max(doc_id) AS last FROM lines WHERE length(key) >= {MIN_CHARS} GROUP BY key HAVING count(DISTINCT doc_id) >= {MIN_DOCUMENTS})
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE last > doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE last IS NULL OR last <= doc_id), '')) AS kept_sha256
+FROM lines LEFT JOIN shared USING (key) GROUP BY doc_id
+"""
+
+ORACLE_SQL = {"op6_quality_rules": OP6, "op9_jaccard_join": OP9, "op11_line_dedup": OP11}

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyforge.llm import gif_media, jaccard_join, kd_sharding, language_id, packing, quality_rules, repeated_bytes, secret_scans, sentencepiece_bpe, url_filters
+from tallyforge.llm import alignment, gif_media, jaccard_join, kd_sharding, language_id, line_dedup, packing, periodic_runs, quality_rules, repeated_bytes, secret_scans, sentencepiece_bpe, url_filters
 from tallyforge.llm.common import documents
 from tallyforge.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -56,5 +56,16 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return repeated_bytes.repeated_bytes(documents(spark, sf_dir, "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_kd_sharding, op3_best_fit_packing, op4_gif_media, op5_language_id, op6_quality_rules, op7_sentencepiece, op8_secret_scans, op9_jaccard_join, op10_suffix_array_dedup)}
+def op11_line_dedup(spark, sf_dir):
+    return line_dedup.digests(documents(spark, sf_dir, "doc_id", "text"))
 
+
+def op12_alignment(spark, sf_dir):
+    return alignment.align(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    return periodic_runs.digests(documents(spark, sf_dir, "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_kd_sharding, op3_best_fit_packing, op4_gif_media, op5_language_id, op6_quality_rules, op7_sentencepiece, op8_secret_scans, op9_jaccard_join, op10_suffix_array_dedup, op11_line_dedup, op12_alignment, op13_periodic_runs)}

@@ -5,7 +5,7 @@ import os
 import pytest
 
 import corpus_pipeline
-from tallyforge.llm import common, gif_media, jaccard_join, kd_sharding, language_id, packing, quality_rules, repeated_bytes, secret_scans, sentencepiece_bpe, url_filters
+from tallyforge.llm import alignment, common, gif_media, jaccard_join, kd_sharding, language_id, line_dedup, packing, periodic_runs, quality_rules, repeated_bytes, secret_scans, sentencepiece_bpe, url_filters
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, `_all` int, `it's` string"
 PAGES = "page_id long, url string, bad int, `a.b` string, rate double, host string"
@@ -23,12 +23,16 @@ def of_documents(spark, docs):
         "secrets": secret_scans.secret_scans(docs),
         "jaccard": jaccard_join.linked(docs),
         "repeats": repeated_bytes.repeated_bytes(docs),
+        "lines": line_dedup.digests(docs),
+        "alignment": alignment.align(docs),
+        "runs": periodic_runs.digests(docs),
     }
 
 
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], SCHEMA)
-    assert {k: v.count() for k, v in of_documents(spark, docs).items()} == dict.fromkeys(of_documents(spark, docs), 0)
+    out = {k: v.count() for k, v in of_documents(spark, docs).items()}
+    assert out == dict.fromkeys(out, 0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, "").count() == 0
     assert url_filters.judge(spark.createDataFrame([], PAGES), [("net/", "block")]).count() == 0
@@ -44,6 +48,9 @@ def test_long_texts_null_columns_and_odd_names(spark):
     assert {r["doc_id"]: r["component_id"] for r in out["jaccard"]}[2] == 1
     assert {r["doc_id"]: r["n_removed"] for r in out["repeats"]}[2] == len(words)
     assert {r["doc_id"]: r["n_frames"] for r in out["gif"]}[3] == 23
+    assert {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in out["lines"]}[4] == (250_001, 0)
+    assert {r["doc_id"]: (r["n_a"], r["n_groups"]) for r in out["alignment"]}[3] == (187_502, 187_502)
+    assert {r["doc_id"]: (r["n_runs"], r["start"], r["length"], r["period"]) for r in out["runs"]}[4] == (1, 0, 250_000, 1)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         left = stage(spark, docs, "")
         assert left.columns == docs.columns and left.count() <= 5, name
