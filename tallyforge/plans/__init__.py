@@ -126,3 +126,10 @@ ORACLE_SQL = {
     "a7_ebitda_margin": _BASE + f"SELECT id, {_MARGIN} AS ebitda_margin FROM v",
     "valuation": _BASE + f"SELECT id, ebitda, adjusted_ebitda, multiple, {_AT % '0'} AS value_mid, {_AT % '-0.5'} AS value_low, {_AT % '0.5'} AS value_high, {_MARGIN} AS ebitda_margin FROM v",
 }
+
+# general operators beside the reference's, in modules of their own
+from tallyforge.plans import joins  # noqa: E402
+
+for _module in (joins,):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
