@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators.asof_join import asof_join
 from tallyforge.operators.interval_join import overlap_join, range_join
 from tallyforge.operators.skew_join import skew_join
+from tallyforge.operators.theta_join import theta_join
 from tallyforge.sources import table
 
 HOT_USER, USERS = 7, 150
@@ -60,7 +61,14 @@ def skewed(spark, sf_dir):
     return skew_join(e, per_user, ["user"], "left").select("event_id", "user", "value", "n_orders", "last_order")
 
 
-QUERIES = {"join_asof": asof, "join_range": ranged, "join_overlap": overlapping, "join_skewed": skewed}
+def theta(spark, sf_dir):
+    """Pairs of parts of which the smaller one is dearer by more than 95, prices in cents."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.round(F.col("p_retailprice") * 100).cast("long").alias("cents"))
+    other = p.select(F.col("p_partkey").alias("other"), F.col("p_size").alias("other_size"), (F.col("cents") + 9500).alias("floor"))
+    return theta_join(p, other, ("p_size", "<", "other_size"), ("cents", ">", "floor")).select("p_partkey", "other")
+
+
+QUERIES = {"join_asof": asof, "join_range": ranged, "join_overlap": overlapping, "join_skewed": skewed, "join_theta": theta}
 
 _SQL = f"""
 WITH e AS (
@@ -82,6 +90,8 @@ FROM e LEFT JOIN o ON e.user_ = o.user_ AND ts BETWEEN s AND t GROUP BY event_id
     "join_overlap": _SQL
     + f"""SELECT a.o_orderkey, count(*) AS n_others, min(b.o_orderkey) AS least_other
 FROM o a JOIN o b ON a.user_ = b.user_ AND a.s <= b.t AND b.s <= a.t AND a.o_orderkey <> b.o_orderkey WHERE a.user_ <> {HOT_USER} GROUP BY a.o_orderkey""",
+    "join_theta": """SELECT a.p_partkey, b.p_partkey AS other FROM part a JOIN part b
+ON a.p_size < b.p_size AND CAST(round(a.p_retailprice * 100) AS BIGINT) > CAST(round(b.p_retailprice * 100) AS BIGINT) + 9500""",
     "join_skewed": _SQL
     + """SELECT event_id, e.user_ AS "user", value, n_orders, last_order
 FROM e LEFT JOIN (SELECT user_, count(*) AS n_orders, max(o_orderkey) AS last_order FROM o GROUP BY user_) p ON e.user_ = p.user_""",
