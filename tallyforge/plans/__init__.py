@@ -128,8 +128,8 @@ ORACLE_SQL = {
 }
 
 # general operators beside the reference's, in modules of their own
-from tallyforge.plans import joins, streams  # noqa: E402
+from tallyforge.plans import joins, sketches, streams  # noqa: E402
 
-for _module in (joins, streams):
+for _module in (joins, streams, sketches):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
