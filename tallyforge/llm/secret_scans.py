@@ -17,7 +17,7 @@ in time proportional to it; ties in place are ordered by kind; repeated rows eac
 import hashlib
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -81,7 +81,7 @@ def finds(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-FIELDS = {"row": "bigint", "doc_id": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "starts": "array<int>", "kinds": "array<int>", "ends": "array<int>"}
+FIELDS = {"row": "bigint", "doc_id": "bigint", "h1": "bigint", "h2": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "starts": "array<int>", "kinds": "array<int>", "ends": "array<int>"}
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
@@ -91,18 +91,25 @@ def _scanned(docs: DataFrame) -> DataFrame:
         return {
             "row": c["row"],
             "doc_id": c["doc_id"],
+            "h1": c["h1"],
+            "h2": c["h2"],
             **{f"n_{KINDS[k]}": [sum(x[1] == k for x in b) for b in base] for k in range(3)},
             "base_sha256": [hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in b).encode()).hexdigest() for b in base],
             **{n: [[x[i] for x in g] for g in got] for i, n in enumerate(("starts", "kinds", "ends"))},
         }
 
-    return over_batches(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), FIELDS, fn)
+    return over_batches(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", *(h.alias(n) for n, h in _hashes(F.col("text")).items()), "text"), FIELDS, fn)
+
+
+def _hashes(text: Column) -> dict[str, Column]:
+    """128 bits of a text, by which rows of one id are told apart."""
+    return {"h1": F.xxhash64(text), "h2": F.xxhash64(F.lit("second"), text)}
 
 
 def secret_scans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, n_assign, n_access, n_hex, base_sha256, found (array of start, kind, end), spans."""
     with Scratch(docs.sparkSession) as kept:
-        return stored(_linked(kept.stored(_scanned(docs)), scope))
+        return stored(_linked(kept.stored(_scanned(docs)), scope).drop("h1", "h2"))
 
 
 def _linked(rows: DataFrame, scope: int) -> DataFrame:
@@ -121,7 +128,7 @@ def _linked(rows: DataFrame, scope: int) -> DataFrame:
     names = F.array(*map(F.lit, KINDS))
     out = out.withColumn("found", F.transform(found, lambda f: F.struct(f["start"].alias("start"), F.get(names, f["kind"]).alias("kind"), f["end"].alias("end"))))
     spans = F.array_join(F.transform("found", lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "found", spans.alias("spans"))
+    return out.select("doc_id", "h1", "h2", "n_assign", "n_access", "n_hex", "base_sha256", "found", spans.alias("spans"))
 
 
 MASK = "[secret]"
@@ -129,15 +136,17 @@ MASK = "[secret]"
 
 def redacted(docs: DataFrame, scope: int = SCOPE, mask: str = MASK) -> DataFrame:
     """``docs`` with every found span replaced by ``mask``; overlapping spans give one mask. Columns as they were."""
-    found = secret_scans(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), scope).where(F.size("found") > 0)
-    found = found.select(F.col("doc_id").alias("_key"), F.col("found").alias("_found")).dropDuplicates(["_key"])
+    with Scratch(docs.sparkSession) as kept:
+        found = stored(_linked(kept.stored(_scanned(docs)), scope).where(F.size("found") > 0).select("doc_id", "h1", "h2", F.col("found").alias("_found")))
+    found = found.dropDuplicates(["doc_id", "h1", "h2"]).withColumnsRenamed({"doc_id": "_id", "h1": "_h1", "h2": "_h2"})
     # spans in order of start; each contributes what stands between the furthest end so far and its start
     step = lambda acc, f: F.struct(
         F.when(f["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, f["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"]).alias("out"),
         F.greatest(acc["at"], f["end"]).alias("at"),
     )
     done = lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, F.length("_text")))
-    keyed = docs.select(whole(docs).alias("_all"), docs["text"].alias("_text"), F.xxhash64(docs["doc_id"], docs["text"]).alias("_key")).join(found, "_key", "left")
+    keyed = docs.select(whole(docs).alias("_all"), docs["doc_id"].alias("_doc"), docs["text"].alias("_text"), *(h.alias(f"_own_{n}") for n, h in _hashes(docs["text"]).items()))
+    keyed = keyed.join(found, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_own_h1") == F.col("_h1")) & (F.col("_own_h2") == F.col("_h2")), "left")
     text = F.when(F.col("_found").isNull(), F.col("_text")).otherwise(F.aggregate("_found", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, done))
     keyed = keyed.withColumn("_new", text)
     fresh = {"text": F.col("_new"), "n_chars": F.length("_new").cast("bigint")}

@@ -47,9 +47,13 @@ def path_of(url: Column) -> Column:
 
 
 def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
-    """The longest rule (``host/path``, verdict) that fits the host or a parent domain and the path; and its verdict."""
+    """The longest rule (``host/path``, verdict) that fits the host or a parent domain and the path; and its verdict.
+
+    A rule without a slash is for all paths of its domain, an empty one for the empty host; null rules fit nothing; of rules
+    given twice with different verdicts the alphabetically first counts.
+    """
     cases = []
-    for rule, verdict in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
+    for rule, verdict in sorted((r for r in rules if r[0] is not None), key=lambda r: (-len(r[0]), *r)):
         domain, slash, rest = rule.partition("/")
         fits = ((host == domain) | host.endswith("." + domain)) & path.startswith(slash + rest)
         cases.append(F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))))
@@ -62,13 +66,16 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> t
 def ruled(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """``rows`` (host, path and more) with rule and fixed (its verdict): ``rules`` (rule, verdict) as a table, joined by domain with the different hosts.
 
-    A host carries the rules of its own and its parent domains on, the longest first, of which the path takes the first that fits.
+    A host carries the rules of its own and its parent domains on, the longest first, of which the path takes the first that fits; the
+    same rules fit as in ``matching_rule``.
     """
     parts = F.split("host", "[.]")
     domains = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     hosts = rows.select("host").distinct().withColumn("domain", F.explode(domains))
     slash = F.instr("rule", "/")
-    cut = rules.where(slash > 0).select("rule", F.col("verdict").alias("fixed"), F.substring("rule", F.lit(1), slash - 1).alias("domain"), F.substring("rule", slash, F.length("rule")).alias("prefix"))
+    domain = F.when(slash > 0, F.substring("rule", F.lit(1), slash - 1)).otherwise(F.col("rule"))
+    prefix = F.when(slash > 0, F.substring("rule", slash, F.length("rule"))).otherwise("")
+    cut = rules.where("rule IS NOT NULL").select("rule", F.col("verdict").alias("fixed"), domain.alias("domain"), prefix.alias("prefix"))
     order = F.struct((-F.length("rule")).alias("order"), "rule", "prefix", "fixed")
     of = hosts.join(cut, "domain").groupBy("host").agg(F.sort_array(F.collect_list(order)).alias("rules"))
     first = F.get(F.filter("rules", lambda r: F.col("path").startswith(r["prefix"])), F.lit(0))

@@ -75,12 +75,14 @@ def test_rules_as_a_table_are_those_of_a_list(spark):
     rules = [(x, r.choice(("allow", "block"))) for x in rules]
     urls = [None, "", *(f"http://{r.choice([*domains, 'z.c.b.a.com', 'org', ''])}/{r.choice(('', 'p', 'p/', 'p/q/r', 'q'))}" for _ in range(120))]
     pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, bad int")
-    table = spark.createDataFrame([*rules, ("norule", "block"), (None, "block")], url_filters.RULE)
+    # without a slash, empty, null, and twice with different verdicts
+    rules += [("b.a.com", "block"), ("xa", "block"), ("", "allow"), (None, "block"), ("net/p", "block"), ("net/p", "allow")]
+    table = spark.createDataFrame(rules, url_filters.RULE)
     got = {x["page_id"]: tuple(x) for x in url_filters.judge(pages, table).collect()}
     assert got == {x["page_id"]: tuple(x) for x in url_filters.judge(pages, rules).collect()} and len(got) == len(urls)
     for i, url in enumerate(urls):
         host, path = plain_url(url)
-        fits = [(-len(x), x) for x, _ in rules for d, _, p in [x.partition("/")] if (host == d or host.endswith("." + d)) and path.startswith("/" + p)]
+        fits = [(-len(x), x) for x, _ in rules if x is not None for d, s, p in [x.partition("/")] if (host == d or host.endswith("." + d)) and path.startswith(s + p)]
         assert got[i][3] == (min(fits)[1] if fits else None)
 
 

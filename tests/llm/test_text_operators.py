@@ -118,6 +118,14 @@ def test_linked_secrets_in_usual_forms(spark, text, parts):
     assert secret not in secret_scans.redacted(docs).first()["text"]
 
 
+def test_texts_of_equal_hashes_keep_their_own_masks(spark, monkeypatch):
+    """Where all 64-bit hashes of texts are the same, the id still tells rows apart."""
+    monkeypatch.setattr(secret_scans, "_hashes", lambda text: {"h1": F.lit(1).cast("long"), "h2": F.lit(2).cast("long")})
+    rows = [(1, "x password=abcdef1"), (2, "password=abcdef1 longer"), (None, "secret=qwertz9"), (3, "none")]
+    out = {r["doc_id"]: r["text"] for r in secret_scans.redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: "x [secret]", 2: "[secret] longer", None: "[secret]", 3: "none"}
+
+
 def test_redacted(docs):
     out = {r["doc_id"]: r["text"] for r in secret_scans.redacted(docs).collect()}
     assert out[21] == '[secret]" [secret]' and out[0] is None and secret_scans.redacted(docs).columns == docs.columns
