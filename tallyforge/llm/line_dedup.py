@@ -37,25 +37,25 @@ def key(line: Column) -> Column:
     return F.translate(F.trim(line, F.lit(SPACE)), UPPER, LOWER)
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, text_hash, position, h1, h2) of the lines that count."""
+def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, text_hash, position, h1, h2) of the lines of ``docs`` (doc_id, text) that count."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(split_lines(F.col("text"))).alias("position", "line"))
     rows = rows.where(F.length("line") >= min_chars).withColumn("line", key(F.col("line"))).where(F.length("line") >= min_chars)
     return rows.select("doc_id", "text_hash", "position", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
 
 
-def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """(h1, h2, lines, documents, last): the hashes that at least ``min_documents`` documents hold, and the largest id of those."""
+def shared_lines(lines: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """Of hashed lines (h1, h2, lines, documents, last): the hashes that at least ``min_documents`` documents hold, and the largest id of those."""
     one = F.struct(F.col("doc_id"))  # a null id inside is a value that counts
-    out = _lines(docs, min_chars).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("lines"), F.countDistinct(one).alias("documents"), F.max("doc_id").alias("last"))
+    out = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("lines"), F.countDistinct(one).alias("documents"), F.max("doc_id").alias("last"))
     return out.where(F.col("documents") >= min_documents)
 
 
-def _dropped(docs: DataFrame, shared: DataFrame, min_chars: int, hot_share: int) -> DataFrame:
-    """(doc_id, text_hash, position) of the lines that go; ``shared`` is stored."""
+def dropped_lines(lines: DataFrame, shared: DataFrame, hot_share: int = HOT_SHARE) -> DataFrame:
+    """(doc_id, text_hash, position) of the hashed lines that go; both tables are stored."""
     total = shared.agg(F.sum("lines")).first()[0] or 0
     is_hot = F.col("lines") * hot_share > F.lit(total)
-    lines, verdict = _lines(docs, min_chars), shared.select("h1", "h2", "last", is_hot.alias("hot"))
+    verdict = shared.select("h1", "h2", "last", is_hot.alias("hot"))
     hot = F.broadcast(verdict.where("hot").select("h1", "h2", "last"))
     goes = F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last"))
     by_broadcast = lines.join(hot, ["h1", "h2"])
@@ -68,8 +68,9 @@ def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
     """``docs`` (doc_id, text) as doc_id, n_lines, n_dropped and the text that is left, null only where no line is left."""
     docs = docs.select("doc_id", "text")
     with Scratch(docs.sparkSession) as kept:
-        shared = kept.stored(shared_lines(docs, min_chars, min_documents))
-        dropped = _dropped(docs, shared, min_chars, hot_share)
+        lines = kept.stored(hashed_lines(docs, min_chars))  # so texts are exploded once
+        shared = kept.stored(shared_lines(lines, min_documents))
+        dropped = dropped_lines(lines, shared, hot_share)
         # equal rows have equal positions
         positions = dropped.groupBy("doc_id", "text_hash").agg(F.collect_set("position").alias("dropped"))
         d, p = docs.withColumn("text_hash", F.xxhash64("text")).alias("d"), positions.alias("p")

@@ -62,11 +62,12 @@ def test_lines_equal_sql(spark, duck):
 def test_a_hot_line_reaches_many_tasks(spark):
     """A third of all lines are the same; without adaptive splitting no task of the joins makes most of the verdicts."""
     docs = spark.range(30_000, numPartitions=8).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'this line is in a third of all' ELSE concat('one of many other lines ', id % 5000) END AS text")
-    shared = line_dedup.shared_lines(docs)
+    lines = line_dedup.hashed_lines(docs)
+    shared = line_dedup.shared_lines(lines)
     shared = spark.createDataFrame(shared.collect(), shared.schema)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        tasks = line_dedup._dropped(docs, shared, 20, 1000).groupBy(F.spark_partition_id()).count().collect()
+        tasks = line_dedup.dropped_lines(lines, shared).groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sum(r[1] for r in tasks) == 30_000 - 1 - 5000 and max(r[1] for r in tasks) < 0.15 * 30_000
