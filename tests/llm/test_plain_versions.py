@@ -116,7 +116,7 @@ def test_shards_are_the_plain_ones(spark, shards, target):
     grouped = docs.groupBy(key.alias("key")).agg(F.sum(size).alias("weight"), F.min(size).alias("size"), F.min("lang").alias("lang"), F.min("source").alias("source"))
     plain = plain_tree([tuple(x) for x in kd_sharding._coordinates(grouped).collect()], shards or 1, 1 if target else 0, target)
     got = defaultdict(set)
-    for x in kd_sharding.shard(docs.select("doc_id", "text", "lang", "source"), shards, target, precision=0).join(docs.select("doc_id", key.alias("key")), "doc_id").collect():
+    for x in kd_sharding.shard(docs.select("doc_id", "text", "lang", "source"), shards, target).join(docs.select("doc_id", key.alias("key")), "doc_id").collect():
         got[x["shard"]].add(x["key"])
     want = defaultdict(set)
     for k, v in plain.items():
@@ -237,3 +237,21 @@ def test_languages_are_those_of_the_plain_centroids(spark):
     for r in language_id.predict(own, model).collect():
         lang, score = plain_language(texts[r["doc_id"]], model)
         assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-4
+
+
+@pytest.mark.parametrize("langs", [("en", "fr"), ("fr", "en")])
+def test_a_heavy_first_group_is_parted_from_the_rest(spark, langs):
+    docs = spark.createDataFrame([(1, "w " * 4500, langs[0], "s"), (2, "short", langs[1], "s"), (3, "short", langs[1], "s")], "doc_id long, text string, lang string, source string")
+    shards = {x["doc_id"]: x["shard"] for x in kd_sharding.shard(docs, None, 1950).collect()}
+    assert shards[1] != shards[2] == shards[3]
+
+
+def test_sharding_runs_few_jobs(spark):
+    docs = spark.createDataFrame([(i, f"text {i}" * (i % 7), "en", f"s{i % 3}") for i in range(200)], "doc_id long, text string, lang string, source string")
+    spark.sparkContext.setJobGroup("shards", "shards")
+    try:
+        out = kd_sharding.shard(docs, 8)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("shards"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert out.count() == 200 and jobs < 60
