@@ -7,14 +7,14 @@ either side (k // 2 parts of k for other numbers of shards), until the leaves ar
 asked for, or hold no more than the target bytes. A coordinate's low bits are a hash of the
 text, so ties in size or language can be split anywhere.
 
-Split points are found in three rounds, all nodes of a level at once and in one job: bytes are summed into bins of the interval
+Split points are found in four rounds, all nodes of a level at once and in one job: bytes are summed into bins of the interval
 that holds the wanted point, and the bin that holds it is the next interval, down to a single value. The tree is a table of
 nodes; the groups find their leaf by joining its levels, and are written anew only every ``REWRITE`` levels. The nodes of level
 l are at most 2 ** l, so those of the first levels are broadcast; later ones, each a small part of the bytes, are joined by shuffle.
 
 Defined results: a null text is a group of its own (size 1, crc 0); null lang or source count
 as values; a group larger than a shard's part fills a shard alone, so sizes can't be equal then; texts of any length count by their size
-alone; groups with one value in all coordinates (ties of 40 bits of a hash) stay together; repeated rows each get their slot; an empty table gives an empty table; other columns aren't read.
+alone; groups with one value in all coordinates (ties of 32 bits of a hash) stay together; repeated rows each get their slot; an empty table gives an empty table; other columns aren't read.
 """
 
 from itertools import count
@@ -26,9 +26,9 @@ from pyspark.sql.window import Window
 from tallyforge.llm.common import Scratch, ranked, stored
 
 #: Bits of a coordinate: the metadata's, then the text hash's.
-HIGH, LOW = 20, 40
+HIGH, LOW = 16, 32
 #: Rounds a level, and the bins of a round that together tell all values of a coordinate apart.
-ROUNDS, BINS = 3, 1 << 20
+ROUNDS, BINS = 4, 1 << 12
 #: Levels whose nodes, at most 2 ** level, are broadcast.
 BROADCAST_LEVELS = 14
 #: Levels after which the groups are written with their nodes.
