@@ -128,8 +128,8 @@ ORACLE_SQL = {
 }
 
 # general operators beside the reference's, in modules of their own
-from tallyforge.plans import joins, shredded, sketches, streams  # noqa: E402
+from tallyforge.plans import joins, shredded, sketches, streams, topk  # noqa: E402
 
-for _module in (joins, streams, sketches, shredded):
+for _module in (joins, streams, sketches, shredded, topk):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
