@@ -168,6 +168,12 @@ def _bounded(width: int, height: int) -> None:
 
 def decode_gif(data: bytes):
     """Yields (samples, red-green-blue-alpha canvas as shown, delay in hundredths of a second, disposal) of each frame."""
+    for samples, canvas, delay, disposal, _ in _decoded(data):
+        yield samples, canvas.copy(), delay, disposal
+
+
+def _decoded(data: bytes):
+    """The frames of ``decode_gif`` with their histograms; the canvas is the next frame's too. Opaque frames of the whole canvas are counted by palette index."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         return
     width, height, flags = struct.unpack_from("<HHB", data, 6)
@@ -224,7 +230,11 @@ def decode_gif(data: bytes):
             area[:] = colour
         else:
             area[image != clear] = colour[image != clear]
-        yield samples, canvas.copy(), delay, disposal
+        if clear is None and image.shape == canvas.shape[:2] and not (left or top):
+            bins = _by_palette(image, own if own is not None else _GREY)
+        else:
+            bins = histogram(canvas)
+        yield samples, canvas, delay, disposal, bins
         if disposal == 2:
             canvas[top : top + h, left : left + w] = 0
         elif disposal == 3:
@@ -242,6 +252,16 @@ def histogram(canvas: np.ndarray, bins: int = BINS) -> np.ndarray:
     return np.stack([np.bincount(seen[:, i].astype(np.int64) * bins >> 8, minlength=bins) for i in range(3)])
 
 
+def _by_palette(image: np.ndarray, palette: np.ndarray) -> np.ndarray:
+    """``histogram`` of an opaque image of palette indices: indices are counted once, colours by index."""
+    uses = np.bincount(image.reshape(-1), minlength=256)
+    return np.stack([np.bincount(palette[:, i] >> 4, weights=uses, minlength=BINS) for i in range(3)]).astype(np.int64)
+
+
+def _named(bins: np.ndarray) -> str:
+    return ";".join(",".join(map(str, own)) for own in bins.tolist())
+
+
 FRAMES = {"id": "bigint", "frame": "int", "delay_cs": "int", "disposal": "int", "width": "int", "height": "int", "rgba": "binary", **dict.fromkeys(COLOURS, "array<bigint>"), "error": "string"}
 
 
@@ -251,8 +271,8 @@ def frames(media: DataFrame) -> DataFrame:
     def fn(c):
         for i, gif in zip(c["id"], c["gif"], strict=True):
             try:
-                for k, (_, canvas, delay, disposal) in enumerate(decode_gif(gif or b"")):
-                    row = (i, k, delay, disposal, canvas.shape[1], canvas.shape[0], canvas.tobytes(), *histogram(canvas).tolist(), None)
+                for k, (_, canvas, delay, disposal, bins) in enumerate(_decoded(gif or b"")):
+                    row = (i, k, delay, disposal, canvas.shape[1], canvas.shape[0], canvas.tobytes(), *bins.tolist(), None)
                     yield {n: [v] for n, v in zip(FRAMES, row, strict=True)}
             except TooLarge as e:
                 yield {n: [None] for n in FRAMES} | {"id": [i], "error": [str(e)]}
@@ -285,30 +305,33 @@ def texts_as_gifs(docs: DataFrame) -> DataFrame:
 
 DIGEST = {
     "doc_id": "bigint", "n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint",
-    "media_bytes": "bigint", "media_sha256": "string", "feature": "string", "n_frames": "int", "duration_cs": "bigint", "error": "string",
+    "media_bytes": "bigint", "media_sha256": "string", "feature": "string", "n_frames": "int", "duration_cs": "bigint",
+    "frame_features": "string", "error": "string",
 }
 
 
 def digests(gifs: DataFrame) -> DataFrame:
-    """What the stored gifs hold, read back: the samples' digests, how long their frames show, and the sums of the frames' colour histograms as feature."""
+    """What the stored gifs hold, read back: the samples' digests, how long their frames show, and the sums of the frames' colour histograms as feature.
+
+    ``frame_features`` has each frame's time and histogram, ``delay:red;green;blue`` joined by ``|``, in order of the frames.
+    """
 
     def fn(c):
         rows = []
         for doc, n, gif in zip(c["doc_id"], c["n_bytes"], c["gif"], strict=True):
             gif, error = gif or b"", None
-            sha, tail, size, bins, k, time = hashlib.sha256(), b"", 0, np.zeros((3, BINS), np.int64), 0, 0
+            sha, tail, size, bins, shown, time = hashlib.sha256(), b"", 0, np.zeros((3, BINS), np.int64), [], 0
             try:
-                for samples, canvas, delay, _ in decode_gif(gif):
+                for samples, _, delay, _, own in _decoded(gif):
                     sha.update(samples)
                     tail = (tail + samples)[-64:]
                     size += len(samples)
-                    bins += histogram(canvas)
-                    k += 1
+                    bins += own
+                    shown.append(f"{delay}:{_named(own)}")
                     time += delay
             except TooLarge as e:
                 error = str(e)
-            feature = ";".join(",".join(map(str, own)) for own in bins.tolist())
-            rows.append((doc, n, size, sha.hexdigest(), zlib.crc32(tail), len(gif), hashlib.sha256(gif).hexdigest(), feature, k, time, error))
+            rows.append((doc, n, size, sha.hexdigest(), zlib.crc32(tail), len(gif), hashlib.sha256(gif).hexdigest(), _named(bins), len(shown), time, "|".join(shown), error))
         return {name: [r[i] for r in rows] for i, name in enumerate(DIGEST)}
 
     return over_batches(gifs.select("doc_id", "n_bytes", "gif"), DIGEST, fn)
