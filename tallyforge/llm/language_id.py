@@ -7,7 +7,8 @@ the centroid with the largest cosine. One that lies further from its centroid th
 training texts of that centroid do is marked as rejected; the nearest language stays.
 
 The classifier is fitted on at most ``PER_LANGUAGE`` labelled texts a language, chosen by a hash
-of id and text, equal rows counting once; the document frequencies come from all training texts. Whole texts are predicted. Defined results: null texts and texts without a letter are
+of id and text, equal rows counting once, and on at most ``SAMPLE`` texts of the ``LANGUAGES`` most frequent languages (ties: first
+in order), each with an equal part of them; the document frequencies come from all their training texts. Whole texts are predicted. Defined results: null texts and texts without a letter are
 ``und`` with score 0; so are all where nothing was learned; ties go to the language first in
 order; a text of any length is counted whole, in one task; rows with null lang teach nothing; an empty table gives an empty table; other columns
 aren't read.
@@ -24,6 +25,9 @@ from tallyforge.llm.common import over_batches
 
 #: Bound of the labelled texts of a language that the classifier is fitted on.
 PER_LANGUAGE = 400
+#: Bounds of the languages that are learned, and of the labelled texts of all of them; both are of use only where the labels are dirty.
+LANGUAGES = 500
+SAMPLE = 10_000
 BUCKETS = 64
 BITS = 12
 DIMENSIONS = 1 << BITS
@@ -97,7 +101,7 @@ def sampled(known: DataFrame, per_language: int) -> DataFrame:
     chosen = keyed.select("lang", "key").distinct().withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
     for parts in (["lang", "bucket"], ["lang"]):
         chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy(*parts).orderBy("key"))).where(F.col("n") <= per_language).drop("n")
-    # per_language rows a language
+    # per_language rows a language, SAMPLE in all
     return keyed.join(F.broadcast(chosen.drop("bucket")), ["lang", "key"], "left_semi").groupBy("lang", "key").agg(F.first("text").alias("text")).drop("key")
 
 
@@ -120,10 +124,17 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     return int(out[DIMENSIONS]), out[:DIMENSIONS]
 
 
+def learned(known: DataFrame, languages: int) -> tuple[DataFrame, int]:
+    """The rows of ``known`` (lang and more) of its ``languages`` most frequent languages, and how many languages these are."""
+    most = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    return (known.where(F.col("lang").isin([r["lang"] for r in most])) if len(most) == languages else known), len(most)
+
+
 def fit(docs: DataFrame, training: Column, per_language: int = PER_LANGUAGE) -> dict:
     """A classifier from the rows of ``docs`` (doc_id, text, lang) for which ``training`` holds."""
     known = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = sampled(known, per_language)
+    known, languages = learned(known, LANGUAGES)
+    sample = sampled(known, min(per_language, SAMPLE // max(1, languages)))
 
     def fn(c):
         for lang, text in zip(c["lang"], c["text"], strict=True):
@@ -132,11 +143,12 @@ def fit(docs: DataFrame, training: Column, per_language: int = PER_LANGUAGE) ->
                 at = np.flatnonzero(n)
                 yield {"lang": [lang], "slots": [at.astype(np.int32).tobytes()], "counts": [n[at].tobytes()]}
 
-    rows = over_batches(sample.select("lang", "text"), {"lang": "string", "slots": "binary", "counts": "binary"}, fn).collect()  # bounded by per_language
+    rows = over_batches(sample.select("lang", "text"), {"lang": "string", "slots": "binary", "counts": "binary"}, fn).collect()  # bounded by SAMPLE
     langs = sorted({r["lang"] for r in rows})
+    number = {lang: j for j, lang in enumerate(langs)}
     if not rows:
         return {"langs": [], "of": [], "idf": None, "centroids": None, "radius": None}
-    x, y = np.zeros((len(rows), DIMENSIONS), np.float32), np.array([langs.index(r["lang"]) for r in rows])
+    x, y = np.zeros((len(rows), DIMENSIONS), np.float32), np.array([number[r["lang"]] for r in rows])
     order = sorted(range(len(rows)), key=lambda i: (rows[i]["lang"], bytes(rows[i]["slots"]), bytes(rows[i]["counts"])))
     for k, i in enumerate(order):
         x[k, np.frombuffer(rows[i]["slots"], np.int32)] = np.frombuffer(rows[i]["counts"], np.float32)
