@@ -147,6 +147,26 @@ def unpacked(df: DataFrame, struct: str, columns: list[str], fresh: dict[str, Co
     return df.select(*(fresh[c].alias(c) if c in fresh else F.col(struct).getField(c).alias(c) for c in columns))
 
 
+def joined_with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, how: str = "inner", parts: int = 256) -> DataFrame:
+    """``rows`` with the other columns of ``groups``, which has a row a key and in ``weight`` how many of ``rows`` have it; how: inner or left.
+
+    A key with more than one row in ``parts`` is hot. There are fewer than ``parts`` of them, so they are broadcast, and their
+    rows go past the shuffle by keys with a salt from all of a row's values; so no task has more of a key than that, whatever
+    the planner does. ``groups`` should be stored: it is read three times. Keys aren't null; empty tables are allowed.
+    """
+    total = groups.agg(F.sum(weight)).first()[0] or 0
+    is_hot = F.col(weight) * parts > F.lit(total)
+    values = [c for c in groups.columns if c != weight and c not in keys]
+    hot = groups.where(is_hot).select(*keys, F.struct(*values).alias("_hot"))
+    none = F.least(F.col(weight), F.lit(0)).cast("int")  # 0, but no literal, which the optimizer would take out of the join's keys
+    rest = groups.where(~is_hot).select(*keys, none.alias("_salt"), F.struct(*values).alias("_rest"))
+    salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(parts)) + 1).cast("int")
+    out = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).join(rest, [*keys, "_salt"], "left").withColumn("_value", F.coalesce("_hot", "_rest"))
+    if how == "inner":
+        out = out.where(F.col("_value").isNotNull())
+    return out.select(*rows.columns, "_value.*")
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str | Column], name: str, rows_per_bucket: int = 10_000) -> DataFrame:
     """Adds ``name``: gapless numbers from 0 within each key, whatever the size of a key.
 

@@ -9,7 +9,8 @@ standard errors are merged into ``*``; one that differs stays apart. Of a node w
 towards the rate of all pages; a template is rejected when the smoothed rate reaches ``LIMIT``.
 
 All steps after the first aggregate work on distinct (host, shape) pairs, so a host with a third
-of the pages costs no more than its number of shapes. Column expressions and SQL aggregates only.
+of the pages costs no more than its number of shapes; pages get their shape's verdict, and their label, by joins that spread
+the keys of many pages. Column expressions and SQL aggregates only.
 
 Defined results: a null url, or one without ``://``, has empty host and path and is allowed unless
 its template is rejected; pages without labels take their host's rate; repeated rows each get a
@@ -21,7 +22,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import Scratch, stored
+from tallyforge.llm.common import Scratch, joined_with_groups, stored
 
 MAX_DEPTH = 6
 MAX_CHILDREN = 20
@@ -155,7 +156,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, limit: flo
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), _shape(path).alias("shape"), "bad")
-    tree = templates(rows.select("host", "shape", "bad")).select("host", "shape", "template", "rate")
+    tree = templates(rows.select("host", "shape", "bad")).select("host", "shape", "pages", "template", "rate")
     if isinstance(rules, list) and len(rules) > MAX_RULES:
         rules = pages.sparkSession.createDataFrame(rules, RULE)
     if isinstance(rules, list):
@@ -164,12 +165,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, limit: flo
     else:
         rows = ruled(rows, rules)
     own = F.when(F.col("rate") >= limit, "block").otherwise("allow")
-    return rows.join(tree, ["host", "shape"]).select("page_id", "host", "path", "rule", F.coalesce("fixed", own).alias("verdict"), "template", "rate")
+    return joined_with_groups(rows, tree, ["host", "shape"], "pages").select("page_id", "host", "path", "rule", F.coalesce("fixed", own).alias("verdict"), "template", "rate")
 
 
 def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """``pages`` (page_id, url) with ``bad`` from ``labels`` (doc_id, quality, toxic), by the document number in the path."""
     bad = labels.groupBy("doc_id").agg(F.max(((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")).alias("bad"))
     number = F.expr("try_cast(regexp_extract(_path, '/([0-9]+)', 1) AS bigint)")
-    rows = pages.select("page_id", "url", path_of(F.col("url")).alias("_path")).withColumn("doc_id", number)
-    return rows.join(bad, "doc_id", "left").select("page_id", "url", "bad")
+    unnumbered = -1 - F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 40))  # no document's number: they are spread, and find no label
+    rows = pages.select("page_id", "url", path_of(F.col("url")).alias("_path")).select("page_id", "url", F.coalesce(number, unnumbered).alias("doc_id"))
+    numbers = rows.where("doc_id >= 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages")).join(bad, "doc_id", "left")
+    return joined_with_groups(rows, stored(numbers), ["doc_id"], "pages", "left").select("page_id", "url", "bad")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyforge.llm import bwt_merge, gif_media, jaccard_join, kd_sharding, repeated_bytes, url_filters
-from tallyforge.llm.common import Scratch
+from tallyforge.llm.common import Scratch, joined_with_groups
 from tallyforge.llm.components import components
 from tallyforge.llm.registry import RULES
 
@@ -140,6 +140,51 @@ def test_gif_interlaced_and_broken():
     assert next(gif_media.decode_gif(whole[:-30]))[0][:8] == bytes(range(8))
 
 
+def test_histograms_by_palette_are_those_of_the_canvas():
+    r = random.Random(4)
+    palette = bytes(r.randrange(256) for _ in range(12))
+    some = lambda n: [r.randrange(4) for _ in range(n)]
+    shown = [(0, 0, 3, 3, d, None, 0, some(9)) for d in (0, 2, 3)] + [(0, 0, 3, 3, 1, 2, 0, some(9)), (1, 0, 2, 3, 2, None, 0, some(6)), (0, 0, 2, 2, 3, None, 0, some(4)), (0, 0, 3, 3, 1, None, 0, some(9))]
+    data = gif(shown, palette, (3, 3))
+    got = [bins.tolist() for *_, bins in gif_media._decoded(data)]
+    assert got == [gif_media.histogram(f[1]).tolist() for f in gif_media.decode_gif(data)] and len(got) == 7
+
+
+def test_gif_frames_in_the_digests(spark):
+    text = "ab" * 50_000
+    out = gif_media.digests(gif_media.texts_as_gifs(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"))).collect()
+    one, two = sorted(out, key=lambda x: x["doc_id"])
+    frames = [f.split(":") for f in one["frame_features"].split("|")]
+    bins = np.array([[[int(v) for v in c.split(",")] for c in f.split(";")] for _, f in frames])
+    assert one["n_frames"] == 2 and [f[0] for f in frames] == ["4", "4"] and bins.sum((1, 2)).tolist() == [3 * 65536] * 2  # a frame as shown is the whole canvas
+    assert [",".join(map(str, c)) for c in bins.sum(0).tolist()] == one["feature"].split(";") and two["frame_features"].startswith("4:64,0,")
+
+
+def test_keys_of_many_rows_are_spread(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.createDataFrame([(0 if i % 3 == 0 else i, i) for i in range(6000)], "k long, v long").repartition(4)
+        groups = rows.where("k % 7 != 1").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("m"))
+        for how in ("inner", "left"):
+            out = joined_with_groups(rows, groups, ["k"], "n", how, 64)
+            got = out.withColumn("part", F.spark_partition_id()).collect()
+            want = {(x["k"], x["v"], x["m"]) for x in rows.join(groups.drop("n"), "k", how).collect()}
+            assert {(x["k"], x["v"], x["m"]) for x in got} == want and len(got) == len(want)
+            assert len({x["part"] for x in got if x["k"] == 0}) == 8
+        assert joined_with_groups(rows.limit(0), groups.limit(0), ["k"], "n").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_labels_by_the_number_in_the_path(spark):
+    urls = [None, "x", *(f"http://a.net/{p}" for p in ("", "p", "2024/7", "2024/8", "7/x", "8-z", "p/8", "99999999999999999999/1"))] + ["http://a.net/2024/"] * 40
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(7, 0, 0), (8, 1, 1), (8, 1, 0), (9, 1, 0), (-5, 0, 1), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    got = {x["page_id"]: x["bad"] for x in url_filters.labelled_pages(pages, labels).collect()}
+    number = [re.search("/([0-9]+)", re.sub(r"^.*?://[^/]*", "", u or "") if "://" in (u or "") else "") for u in urls]
+    assert got == {i: {"7": 1, "8": 1, "9": 0}.get(m and m[1]) for i, m in enumerate(number)}
+
+
 def test_gif_documents(docs, texts):
     out = gif_media.digests(gif_media.texts_as_gifs(docs)).collect()
     assert len(out) == len(texts) + 2

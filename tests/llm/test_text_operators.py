@@ -210,6 +210,21 @@ def test_language_sample_is_bounded_and_frequencies_are_whole(spark):
     assert language_id.sampled(docs, 400).count() == 31
 
 
+def test_dirty_languages_are_bounded(spark, monkeypatch):
+    rows = [(i, f"the words of text number {chr(97 + i % 26)}", "en") for i in range(60)] + [(100 + i, f"les mots du texte {chr(97 + i % 26)}", "fr") for i in range(50)]
+    rows += [(1000 + i, f"noise {i}", f"lang{i:05}") for i in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    known, n = language_id.learned(docs, language_id.LANGUAGES)
+    assert n == 500 and known.count() == 60 + 50 + 498 and known.agg(F.max("lang")).first()[0] == "lang00497"
+    model = language_id.fit(docs, F.lit(True))
+    assert model["langs"][:3] == ["en", "fr", "lang00000"] and len(model["langs"]) == 500 and len(model["of"]) <= 4 * 500
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    monkeypatch.setattr(language_id, "SAMPLE", 20)
+    out = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs).collect()}
+    assert set(out.values()) == {"en", "fr"} and len(out) == len(rows)
+    assert all(out[i] == "en" for i in range(60)) and all(out[100 + i] == "fr" for i in range(50))
+
+
 def test_language_edges(docs, texts):
     out = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
     assert len(out) == len(texts) + 1
