@@ -127,7 +127,8 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
 
     a = dealt(left, "__cell_l", "__cell_r", "_lc", "_rc")
     b = dealt(right, "__cell_r", "__cell_l", "_rc", "_lc")
-    out = a.join(b, [*on, "__cell_l", "__cell_r"], {"semi": "left_semi", "anti": "left_anti"}.get(how, how))
+    # never broadcast by itself: the estimate is that of the rows before they are copied, and the driver would hold them all
+    out = a.join(b.hint("merge"), [*on, "__cell_l", "__cell_r"], {"semi": "left_semi", "anti": "left_anti"}.get(how, how))
     if how in ("left", "full"):  # __cell_r_copied is null where no right row was found
         out = out.where(~(F.coalesce("__cell_l_copied", F.lit(False)) & F.col("__cell_r_copied").isNull()))
     if how in ("right", "full"):

@@ -1,6 +1,7 @@
 """Skew-split, as-of and interval joins against plain versions and SQL."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -68,6 +69,16 @@ def test_skew_join_is_the_join(sides, how):
         skew_join(left, right, ["k"], "cross")
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "anti"])
+def test_no_side_is_broadcast(spark, how):
+    """However small a side looks while the query runs, packed as it is: the driver must not hold it."""
+    a, b = spark.range(90).selectExpr("id AS k", "id AS l"), spark.range(90).selectExpr("id AS k", "id AS r")
+    joined = skew_join(a, b, ["k"], how)
+    joined.collect()
+    plan = joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert re.search(r"SortMergeJoin[^\[]*\[[^]]*__cell_l", plan) and not re.search(r"BroadcastHashJoin[^\[]*\[[^]]*__cell_l", plan)
+
+
 @pytest.fixture
 def without_adaptive(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
