@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.operators.skew_join import SHARE, heavy_keys, row_hash
+from tallyforge.storage import stored
 
 #: Time ranges of a heavy key.
 RANGES = 64
@@ -29,6 +30,22 @@ def ordinal(df: DataFrame, column: str) -> Column:
     raise TypeError(f"{column} has no order in time: {kind.simpleString()}")
 
 
+def time_ranges(rows: DataFrame, by: list[str], share: float, ranges: int) -> DataFrame:
+    """(by, _borders): quantiles of ``_o`` of each heavy key of ``rows``, so that at most ``ranges`` ranges hold about as many rows each.
+
+    They are stored: quantiles of many rows depend on the order in which these come, and a plan that reads borders twice must not find them moved.
+    """
+    heavy = heavy_keys(rows.select(*by), by, share).select(*by)
+    cuts = [i / ranges for i in range(1, ranges)]
+    return stored(rows.join(F.broadcast(heavy), by).groupBy(*by).agg(F.percentile_approx("_o", cuts, 1000).alias("_borders")))
+
+
+def borders_before() -> tuple[Column, Column]:
+    """How many of a row's ``_borders``, none where its key isn't heavy, are below its ``_o``, and how many at or below it."""
+    count = lambda c: F.coalesce(F.when(F.col("_borders").isNotNull(), F.size(c)), F.lit(0))
+    return count(F.filter("_borders", lambda b: b < F.col("_o"))), count(F.filter("_borders", lambda b: b <= F.col("_o")))
+
+
 def _matched(left: DataFrame, right: DataFrame, by: list[str], name: str, forward: bool, exact: bool, share: float, ranges: int) -> DataFrame:
     """``left`` (by, _t, _row) with ``name``: the struct of the nearest row of ``right`` (by, _t, _right)."""
     sign = (lambda c: -c) if forward else (lambda c: c)
@@ -36,13 +53,9 @@ def _matched(left: DataFrame, right: DataFrame, by: list[str], name: str, forwar
     single = right.groupBy(*by, sign(F.col("_t")).alias("_o")).agg(F.max("_right").alias("_right"))
     lefts = left.withColumn("_o", sign(F.col("_t")))
     both_keys = lefts.select(*by, "_o").unionByName(single.select(*by, "_o"))
-    heavy = heavy_keys(both_keys, by, share).select(*by)
-    cuts = [i / ranges for i in range(1, ranges)]
-    borders = both_keys.join(F.broadcast(heavy), by).groupBy(*by).agg(F.percentile_approx("_o", cuts, 1000).alias("_borders"))
-    borders = F.broadcast(borders)
+    borders = F.broadcast(time_ranges(both_keys, by, share, ranges))
 
-    below, upto = F.size(F.filter("_borders", lambda b: b < F.col("_o"))), F.size(F.filter("_borders", lambda b: b <= F.col("_o")))
-    below, upto = F.coalesce(F.when(F.col("_borders").isNotNull(), below), F.lit(0)), F.coalesce(F.when(F.col("_borders").isNotNull(), upto), F.lit(0))
+    below, upto = borders_before()
     # a time so frequent that it is several borders: its left rows are dealt over the ranges between those
     first = F.when(upto > below, below + 1).otherwise(upto)
     l_rows = lefts.join(borders, by, "left").withColumn("_range", (first + F.pmod(row_hash(lefts.select("_row")), F.greatest(upto - below, F.lit(1)))).cast("int"))
@@ -72,7 +85,7 @@ def asof_join(left: DataFrame, right: DataFrame, time: str, by: list[str], right
     else in the numbers' unit.
 
     The rows of both sides are put in one order by key and time and the last right row is carried along. A key with at least ``share`` of all
-    rows is cut into time ranges of about equal size, each worked on by itself, and its ranges take over the last right row of those
+    rows is cut into time ranges of about equal size (found by a job while the plan is made, and stored), each worked on by itself, and its ranges take over the last right row of those
     before; so one key, and even one time of it, spreads over many tasks.
 
     Defined results: of right rows of one key and time the one with the greatest other columns, in order, counts

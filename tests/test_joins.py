@@ -141,6 +141,13 @@ def test_asof_is_the_plain_one(spark, direction, exact, tolerance):
     assert Counter(map(tuple, got.collect())) == plain_asof(left, right, direction, tolerance, exact)
 
 
+def test_borders_are_found_once(spark):
+    """A plan that finds the quantiles anew at each place where it needs them may find others there."""
+    a = spark.range(60).selectExpr("1 AS k", "id AS t")
+    plan = asof_join(a, a, "t", ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile_approx" not in plan
+
+
 def test_asof_times_and_empty_sides(spark):
     a = spark.sql("SELECT 'x' AS `k.a`, timestamp'2024-01-01 00:00:01' AS t, map('a', 1) AS m UNION ALL SELECT 'x', timestamp'1960-01-01', map()")
     b = spark.sql("SELECT 'x' AS `k.a`, timestamp'1970-01-01' AS s, array(1, 2) AS v")
