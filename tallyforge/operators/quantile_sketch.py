@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Values that a level keeps before it is compacted.
 SIZE = 512
+#: A sketch with more levels than these keeps as many times more values in each.
+DEEP = 8
 #: Values that a task holds in open sketches, over all groups; beyond it sends what it has.
 TASK_VALUES = 2_000_000
 #: Sketches of a group are merged in rounds over so many buckets, so that no task gathers those of all tasks.
@@ -19,29 +21,37 @@ ROUNDS = (4096, 64, 1)
 class Compactor:
     """Values by level, one at level h standing for 2**h; ``n`` values in all.
 
-    A level that is full is sorted and every second value moves up, from the first or the second in turn. Of the pairs that
-    stand side by side at most one is parted by a given value, so each compaction moves its rank by 2**h at most, and
-    ``error``, the sum of those, bounds the error of every rank. It follows that error <= n / size * (log2(n / size) + 1)
-    when values come one by one; in batches fewer compactions are needed.
+    A level that is full is sorted and every second value moves up. From the first on, the rank of a given value can only grow, by 2**h at most;
+    from the second on it can only shrink, by as much. ``over`` and ``under`` sum the two, each compaction takes the way that leaves
+    the larger sum smaller, and the larger is the bound of every rank's ``error``: about half of all that compactions may move. When values come one by one,
+    error <= n / size * (log2(n / size) + 1) / 2 or so up to ``DEEP`` levels, and as deeper sketches have larger levels, from there on
+    it stays below a fixed part of ``n``, however large that is; in batches fewer compactions are needed.
     """
 
     def __init__(self, size: int = SIZE):
-        self.size, self.n, self.error, self.turns = size, 0, 0, 0
+        self.size, self.n, self.over, self.under = size, 0, 0, 0
         self.levels: list[np.ndarray] = []
 
+    @property
+    def error(self) -> int:
+        return max(self.over, self.under)
+
     def _compact(self) -> None:
         h = 0
         while h < len(self.levels):
             values = self.levels[h]
-            if len(values) > self.size:
+            if len(values) > self.size * max(len(self.levels), DEEP) // DEEP:
                 values = np.sort(values)
                 even = len(values) // 2 * 2
                 if h + 1 == len(self.levels):
                     self.levels.append(np.zeros(0))
-                self.levels[h + 1] = np.concatenate([self.levels[h + 1], values[self.turns % 2 : even : 2]])
+                first = 0 if self.over <= self.under else 1
+                self.levels[h + 1] = np.concatenate([self.levels[h + 1], values[first:even:2]])
                 self.levels[h] = values[even:]
-                self.error += 1 << h
-                self.turns += 1
+                if first:
+                    self.under += 1 << h
+                else:
+                    self.over += 1 << h
             h += 1
 
     def add(self, values: np.ndarray) -> None:
@@ -54,7 +64,7 @@ class Compactor:
             self._compact()
 
     def merge(self, other: "Compactor") -> None:
-        self.n, self.error, self.turns = self.n + other.n, self.error + other.error, self.turns + other.turns
+        self.n, self.over, self.under = self.n + other.n, self.over + other.over, self.under + other.under
         for h, values in enumerate(other.levels):
             if h == len(self.levels):
                 self.levels.append(np.zeros(0))
@@ -80,16 +90,17 @@ class Compactor:
         return values[np.minimum(at, len(values) - 1)].tolist()
 
     def to_bytes(self) -> bytes:
-        head = np.array([1, self.size, self.n, self.error, self.turns, len(self.levels), *map(len, self.levels)], "<i8")
+        head = np.array([2, self.size, self.n, self.over, self.under, len(self.levels), *map(len, self.levels)], "<i8")
         return head.tobytes() + b"".join(v.astype("<f8").tobytes() for v in self.levels)
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> "Compactor":
-        version, size, n, error, turns, depth = np.frombuffer(raw, "<i8", 6).tolist()
-        if version != 1:
+        version, size, n, over, under, depth = np.frombuffer(raw, "<i8", 6).tolist()
+        if version not in (1, 2):
             raise ValueError(f"unknown version of a sketch: {version}")
         out = cls(size)
-        out.n, out.error, out.turns = n, error, turns
+        # the first version had one sum for both ways, and a number of turns
+        out.n, out.over, out.under = n, over, over if version == 1 else under
         lengths = np.frombuffer(raw, "<i8", depth, 48).tolist()
         at = 48 + 8 * depth
         for m in lengths:

@@ -56,6 +56,25 @@ def test_the_stated_bound_for_single_values():
         Compactor.from_bytes(bytes(48))
 
 
+@pytest.mark.parametrize(("n", "parts", "batch"), [(1_200_000, 6, 1365), (3_000_000, 400, 3333), (100_000, 1, 1)])
+def test_the_error_stays_small_however_many_values(n, parts, batch):
+    values, sketches = np.random.default_rng(2).random(n), []
+    for part in np.array_split(values, parts):
+        sketches.append(Compactor(128))
+        for i in range(0, len(part), batch):
+            sketches[-1].add(part[i : i + batch])
+    whole = sketches[0]
+    for other in sketches[1:]:
+        whole.merge(other)
+    assert whole.n == n and whole.error * 20 < n and whole.held() < 10_000
+    within(values, whole.quantiles(FRACTIONS), whole.error)
+
+
+def test_sketches_of_the_first_version_are_read():
+    old = Compactor.from_bytes(np.array([1, 4, 6, 3, 2, 2, 2, 2], "<i8").tobytes() + np.array([1, 2, 3, 4], "<f8").tobytes())
+    assert (old.n, old.error, old.held()) == (6, 3, 4) and Compactor.from_bytes(old.to_bytes()).error == 3
+
+
 def test_query_equals_sql(spark, duck):
     same(plans.QUERIES["sketch_quantiles"](spark, SF).toPandas(), duck(plans.ORACLE_SQL["sketch_quantiles"], SF))
 
