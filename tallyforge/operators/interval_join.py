@@ -1,13 +1,13 @@
-"""Joins of points with intervals, and of overlapping intervals, through levels of bins.
+"""Joins of points with intervals, and of overlapping intervals, through levels of bins; totals of them without pairs.
 
 Outside what the reference describes: a general addition.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.operators.asof_join import ordinal
-from tallyforge.operators.skew_join import SHARE, skew_join
+from tallyforge.operators.asof_join import RANGES, borders_before, ordinal, time_ranges
+from tallyforge.operators.skew_join import SHARE, row_hash, skew_join
 
 #: The width of bins grows by this power of two from level to level.
 STEP = 2
@@ -117,3 +117,51 @@ def overlap_join(left: DataFrame, right: DataFrame, left_start: str, left_end: s
     first = _found(starts(a, "_left"), b, keys, whole, False, False, share)
     second = _found(starts(b, "_right"), a, keys, whole, True, False, share)
     return _columns(first.select("_left", "_right").unionByName(second.select("_left", "_right")), left, right, by, suffix)
+
+
+def _running(rows: DataFrame, keys: list[str], names: list[str], share: float, ranges: int) -> DataFrame:
+    """Those of ``rows`` (keys, _o, _side, _row, names) that have a ``_row``, each with the sums of ``names`` up to it by key, in order of ``_o`` and ``_side``.
+
+    Sides: 0 counts for rows of the same ``_o``, 1 are those rows, 2 counts for later ones only. Heavy keys are cut into ranges of ``_o``, to each of which the totals of those before are added.
+    """
+    borders = F.broadcast(time_ranges(rows.select(*keys, "_o"), keys, share, ranges))
+    below, upto = borders_before()
+    # a number that is several borders: its rows are dealt over the ranges between those, sums for them lie before, others behind
+    first = F.when(upto > below, below + 1).otherwise(upto)
+    spread = first + F.pmod(row_hash(rows.select("_row")), F.greatest(upto - below, F.lit(1)))
+    rows = rows.join(borders, keys, "left").withColumn("_range", F.when(F.col("_side") == 0, first).when(F.col("_side") == 1, spread).otherwise(upto).cast("int"))
+    order = Window.partitionBy(*keys, "_range").orderBy("_o", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = rows.select(*keys, "_range", "_row", *(F.sum(n).over(order).alias(n) for n in names)).where("_row IS NOT NULL")
+    totals = rows.where("_borders IS NOT NULL AND _side <> 1").groupBy(*keys, "_range").agg(*(F.sum(n).alias(n) for n in names))
+    every = borders.select(*keys, F.explode(F.sequence(F.lit(0), F.size("_borders"))).alias("_range"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.join(totals, [*keys, "_range"], "left").select(*keys, "_range", *(F.sum(n).over(before).alias(f"_before_{n}") for n in names))
+    out = sums.join(F.broadcast(carried), [*keys, "_range"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return out.select("_row", *(zero(F.col(n)) + zero(F.col(f"_before_{n}")) for n in names)).toDF("_row", *names)
+
+
+def range_totals(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, by: list[str], totals: dict[str, Column], closed: str = "both", share: float = SHARE, ranges: int = RANGES) -> DataFrame:
+    """All points with totals of the intervals of the same ``by`` that hold them: what grouping a left ``range_join`` gives, without its pairs.
+
+    ``totals`` names sums of whole or decimal numbers of the intervals' rows, exact and without order; nulls count as zero, and so do points that no
+    interval holds. An interval adds its numbers where it starts and takes them off where it ends; a point has the sum of all before it. So the work
+    grows with the rows, however many intervals hold a point. Intervals' ends of one time are summed before they are sorted, and heavy keys are cut into
+    ranges, as in ``asof_join``. Nulls, NaN and reversed intervals as in ``range_join``.
+    """
+    if closed not in ("both", "left", "right", "neither"):
+        raise ValueError(f"no such intervals: {closed}")
+    by = list(by)
+    whole = _whole((points, point), (intervals, start), (intervals, end))
+    keys, names, kind = [f"_k{i}" for i in range(len(by))], [f"_n{i}" for i in range(len(totals))], "long" if whole else "double"
+    p = _keyed(points, by, "_row", _o=ordinal(points, point).cast(kind))
+    i = _keyed(intervals, by, "_right", _s=ordinal(intervals, start).cast(kind), _e=ordinal(intervals, end).cast(kind), **{n: F.coalesce(c, F.lit(0)) for n, c in zip(names, totals.values(), strict=True)})
+    valid = " AND ".join(f"{k} IS NOT NULL" for k in [*keys, "_o"])
+    i = i.where(" AND ".join([*(f"{k} IS NOT NULL" for k in keys), "_s <= _e" if closed == "both" else "_s < _e"]))
+    starts = i.select(*keys, F.col("_s").alias("_o"), F.lit(0 if closed in ("both", "left") else 2).alias("_side"), *names)
+    ends = i.select(*keys, F.col("_e").alias("_o"), F.lit(2 if closed in ("both", "right") else 0).alias("_side"), *(-F.col(n) for n in names)).toDF(*starts.columns)
+    edges = starts.unionByName(ends).groupBy(*keys, "_o", "_side").agg(*(F.sum(n).alias(n) for n in names))
+    asked = p.where(valid).select(*keys, "_o", F.lit(1).alias("_side"), "_row")
+    found = _running(asked.unionByName(edges, allowMissingColumns=True), keys, names, share, ranges)
+    found = found.unionByName(p.where(f"NOT ({valid})").select("_row", *(F.lit(0).alias(n) for n in names)))
+    return found.select(*(F.col("_row")[c].alias(c) for c in points.columns), *(F.col(n).alias(c) for n, c in zip(names, totals, strict=True)))

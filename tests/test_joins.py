@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from compare import same
 from tallyforge import plans
 from tallyforge.operators.asof_join import asof_join
-from tallyforge.operators.interval_join import overlap_join, range_join
+from tallyforge.operators.interval_join import overlap_join, range_join, range_totals
 from tallyforge.operators.skew_join import HeavyHitters, heavy_keys, skew_join
 
 SF = "/root/testdata/sf0.01"
@@ -195,6 +195,25 @@ def test_range_join_is_the_plain_one(spark, kind, closed):
     assert range_join(a.limit(0), b, "p", "s", "e", ["k"], "left").count() == 0 and range_join(a, b.limit(0), "p", "s", "e").count() == 0
 
 
+@pytest.mark.parametrize("closed", ["both", "left", "right", "neither"])
+def test_totals_are_those_of_the_pairs(spark, closed):
+    r = random.Random(31)
+    points = [(r.choice([1] * 9 + [2, None]), r.choice([*[50] * 9, None, *range(0, 100, 3)]), i // 2) for i in range(200)]
+    intervals = [(r.choice([1] * 9 + [2, None]), s, s + r.choice([-1, 0, 0, 1, 9, 80]), r.choice([None, 5, 7])) for s in (r.choice([50, 50, *range(90)]) for _ in range(150))]
+    a, b = spark.createDataFrame(points, "k int, p int, i int").repartition(3), spark.createDataFrame(intervals, "k int, s int, e int, v int")
+    got = range_totals(a, b, "p", "s", "e", ["k"], {"n": F.lit(1), "v": F.col("v")}, closed, share=0.2, ranges=8)
+    pairs = range_join(a.distinct(), b, "p", "s", "e", ["k"], "left", closed).groupBy("k", "p", "i").agg(F.count("s"), F.coalesce(F.sum("v"), F.lit(0)))
+    each = {tuple(x)[:3]: tuple(x) for x in pairs.collect()}
+    assert Counter(map(tuple, got.collect())) == Counter(each[p] for p in points)
+    assert range_totals(a, b.limit(0), "p", "s", "e", ["k"], {"n": F.lit(1)}).where("n = 0").count() == 200
+
+
+def test_the_query_of_ranges_makes_no_pairs(spark):
+    """It counts and sums what holds a point; the pairs would grow with the square of the tables."""
+    plan = plans.QUERIES["join_range"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bin" not in plan and "_level" not in plan
+
+
 def test_overlaps_are_the_plain_ones(spark):
     r = random.Random(22)
     rows = [(r.choice([1, 1, 2, None]), s, s + r.choice([-1, 0, 0, 3, 40, 5000, 2**40]), i) for i in range(90) for s in [r.choice([r.randint(0, 200), None, -(2**50)])] if s is not None]
