@@ -3,8 +3,11 @@
 Outside what the reference describes: a general addition.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,10 +17,12 @@ from tallyforge.operators.skew_join import row_hash
 
 #: Stripes of each order, a power of two; rows of a side that are compared in one task at once.
 STRIPES, BLOCK_ROWS = 64, 50_000
+#: Pairs that a task sends on at once, and those of one more row.
+SENT_PAIRS = 100_000
 
 
-def bit_set_join(lx: np.ndarray, ly: np.ndarray, rx: np.ndarray, ry: np.ndarray, x_equal: bool, y_equal: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places (left, right) with lx < rx and ly < ry, or <= where equal is allowed.
+def bit_set_pairs(lx: np.ndarray, ly: np.ndarray, rx: np.ndarray, ry: np.ndarray, x_equal: bool, y_equal: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (left, right) with lx < rx and ly < ry, or <= where equal is allowed, some at a time.
 
     The right rows lie in order of x, and a permutation leads from their order of y to that. Left rows are taken
     from the largest y down; before each, the right rows whose y has come into reach set their bits; its partners
@@ -31,16 +36,25 @@ def bit_set_join(lx: np.ndarray, ly: np.ndarray, rx: np.ndarray, ry: np.ndarray,
     order = np.argsort(ly, kind="stable")[::-1]
     reach = len(ry) - np.searchsorted(ry[down][::-1], ly[order], side="left" if y_equal else "right")
     begin = np.searchsorted(rx[by_x], lx[order], side="left" if x_equal else "right")
-    bits, done, out_l, out_r = np.zeros(len(rx), bool), 0, [], []
+    bits, done, out_l, out_r, held = np.zeros(len(rx), bool), 0, [], [], 0
     for i, until, at in zip(order.tolist(), reach.tolist(), begin.tolist(), strict=True):
         bits[permutation[done:until]] = True
         done = until
         if found := np.count_nonzero(bits[at:]):
             out_l.append(np.full(found, i))
             out_r.append(np.flatnonzero(bits[at:]) + at)
-    if not out_l:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_l), by_x[np.concatenate(out_r)]
+            held += found
+        if held >= SENT_PAIRS:
+            yield np.concatenate(out_l), by_x[np.concatenate(out_r)]
+            out_l, out_r, held = [], [], 0
+    if held:
+        yield np.concatenate(out_l), by_x[np.concatenate(out_r)]
+
+
+def bit_set_join(lx: np.ndarray, ly: np.ndarray, rx: np.ndarray, ry: np.ndarray, x_equal: bool, y_equal: bool) -> tuple[np.ndarray, np.ndarray]:
+    """All of ``bit_set_pairs`` at once."""
+    left, right = zip((np.zeros(0, np.int64), np.zeros(0, np.int64)), *bit_set_pairs(lx, ly, rx, ry, x_equal, y_equal), strict=True)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _oriented(df: DataFrame, column: str, op: str) -> Column:
@@ -81,7 +95,7 @@ def theta_join(left: DataFrame, right: DataFrame, first: tuple[str, str, str], s
 
     Both orders are cut at quantiles into stripes, and a row lies in the tile of its stripes. Tiles meet in nodes of the binary trees over the stripes of each order:
     where both orders are parted, all pairs of a node are results and an equi-join makes them without a comparison; where
-    tiles share a stripe, ``bit_set_join`` compares blocks of at most about ``block_rows`` rows of each side. A row is copied only to
+    tiles share a stripe, ``bit_set_join`` compares blocks of at most about ``block_rows`` rows of each side, and a task holds two blocks and few of their pairs. A row is copied only to
     nodes in which the other side has rows, as told by the tiles' counts, of which there are at most stripes * stripes a side, whatever the
     size of the tables; these are counted by a job while the plan is made.
 
@@ -136,19 +150,23 @@ def theta_join(left: DataFrame, right: DataFrame, first: tuple[str, str, str], s
     node = ["_kx", "_ky", "_i", "_j"]
     kinds = {f: f"`{f}` {rows_.schema[f].dataType.simpleString()}" for rows_, f in ((a, "_left"), (b, "_right"))}
 
-    def compared(ls: pa.Table, rs: pa.Table) -> pa.Table:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block of both sides, told apart by _is_left; its pairs are sent as they are found, as there may be the product of the blocks."""
+        table = pa.Table.from_batches(list(batches))
+        ls, rs = table.filter(table["_is_left"]).combine_chunks(), table.filter(pc.invert(table["_is_left"])).combine_chunks()
         if not (len(ls) and len(rs)):
-            return pa.Table.from_arrays([ls["_left"].slice(0, 0), rs["_right"].slice(0, 0)], ["_left", "_right"])
+            return
         x = [t["_x"].to_numpy() for t in (ls, rs)]
         y = [t["_y"].to_numpy() for t in (ls, rs)]
         if ls["_kx"][0].as_py() > 0:  # parted already: all are in reach
             x = [np.zeros(len(x[0])), np.ones(len(x[1]))]
         if ls["_ky"][0].as_py() > 0:
             y = [np.zeros(len(y[0])), np.ones(len(y[1]))]
-        i, j = bit_set_join(x[0], y[0], x[1], y[1], first[1][1:] == "=", second[1][1:] == "=")
-        return pa.Table.from_arrays([ls["_left"].take(pa.array(i)), rs["_right"].take(pa.array(j))], ["_left", "_right"])
+        for i, j in bit_set_pairs(x[0], y[0], x[1], y[1], first[1][1:] == "=", second[1][1:] == "="):
+            yield from pa.Table.from_arrays([ls["_left"].take(pa.array(i)), rs["_right"].take(pa.array(j))], ["_left", "_right"]).combine_chunks().to_batches()
 
-    l_rows, r_rows = dealt(a, "_i", "_j", "_left"), dealt(b, "_j", "_i", "_right").select(*node, "_x", "_y", "_right")
-    met = l_rows.groupBy(*node).cogroup(r_rows.groupBy(*node)).applyInArrow(compared, ", ".join(kinds.values()))
+    l_rows, r_rows = dealt(a, "_i", "_j", "_left"), dealt(b, "_j", "_i", "_right")
+    tagged = lambda rows_, is_left: rows_.select(*node, F.lit(is_left).alias("_is_left"), "_x", "_y", *(F.col(f) if f in rows_.columns else F.lit(None).cast(k.split("` ", 1)[1]).alias(f) for f, k in kinds.items()))
+    met = tagged(l_rows, True).unionByName(tagged(r_rows, False)).groupBy(*node).applyInArrow(compared, ", ".join(kinds.values()))
     out = pairs.unionByName(met)
     return out.select(*(F.col("_left")[c].alias(c) for c in left.columns), *(F.col("_right")[c].alias(c + suffix if c in left.columns else c) for c in right.columns))

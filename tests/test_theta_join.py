@@ -32,6 +32,13 @@ def test_bit_sets_find_all_pairs(left, right, x_equal, y_equal):
     assert got == Counter((i, j) for i, a in enumerate(left) for j, b in enumerate(right) if holds(a[0], b[0], x_equal) and holds(a[1], b[1], y_equal))
 
 
+def test_pairs_come_a_few_at_a_time():
+    """A block's pairs may be as many as the product of its sides."""
+    places = np.arange(3000)
+    sizes = [len(i) for i, _ in theta.bit_set_pairs(places, -places, places + 3000, places + 3000, False, False)]
+    assert sum(sizes) == 3000**2 and max(sizes) < theta.SENT_PAIRS + 3000
+
+
 def test_stripes_meet_once():
     for a in range(16):
         for b in range(16):
