@@ -81,7 +81,7 @@ class Sessions(StatefulProcessor):
 
     def _settled(self, key, sessions: list[list], watermark_us: int):
         """What is due is sent, what has changed is corrected, what can't change goes; timers for the rest."""
-        left, out = [], []
+        left, out, next_us = [], [], None
         for s in sessions:
             now, due = tuple(s[:4]), s[1] + self.gap
             if self.eager or s[4] or watermark_us >= due - self.delay:
@@ -90,9 +90,11 @@ class Sessions(StatefulProcessor):
                     s[4] = [now]
             if watermark_us < due:
                 left.append(s)
-                # milliseconds, up to the next one: a timer never comes early
-                for at in (due, due - self.delay) if not s[4] else (due,):
-                    self.handle.registerTimer(max(-(-at // 1000), 1))
+                at = due if s[4] else due - self.delay
+                next_us = at if next_us is None else min(next_us, at)
+        if next_us is not None:
+            # one timer a key, for what comes first; then the next one is set. In milliseconds, up to the next one: a timer never comes early
+            self.handle.registerTimer(max(-(-next_us // 1000), 1))
         self._write(left)
         if out:
             rows = pd.DataFrame(out, columns=["start", "last", "n", "total", "sign"])

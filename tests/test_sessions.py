@@ -86,6 +86,23 @@ def test_late_events_correct_what_was_sent(spark):
     assert not any(c[1] == at(1)[1] for c in changes)
 
 
+@pytest.mark.parametrize("eager", [True, False])
+def test_a_key_has_one_timer_for_all_its_sessions(eager):
+    class Handle:
+        timers = []
+        registerTimer = timers.append  # noqa: N815
+
+    class State:
+        put = clear = lambda self, rows=None: None
+
+    state = sessions.Sessions(10, 1000, eager)
+    state.handle, state.open = Handle(), State()
+    list(state._settled(("a",), [[t, t, 1, 1, []] for t in range(50_000, 90_000, 100)], 40_000))
+    assert Handle.timers == [51 if eager else 50]
+    Handle.timers.clear()
+    assert len(list(state._settled(("a",), [[t, t, 1, 1, [(t, t, 1, 1)]] for t in (1000, 2000)], 3000))) == 0 and not Handle.timers
+
+
 def test_the_state_store_is_asked_for(spark):
     events = spark.range(1).selectExpr("id AS user", "timestamp_micros(id) AS ts")
     with pytest.raises(ValueError, match="RocksDB"):
