@@ -3,6 +3,10 @@
 Outside what the reference describes: a general addition.
 """
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from tallyforge.operators.skew_join import SHARE, row_hash, skew_join
 STEP = 2
 #: The level of intervals of no length among numbers with fractions, and the last levels, whose one bin holds all.
 NARROWEST, LAST_WHOLE, LAST = -40, 62, 1022
+#: Stands for no value among whole numbers of which the least is looked for.
+NONE = np.iinfo(np.int64).max
 
 
 def level(start: Column, end: Column, whole: bool) -> Column:
@@ -165,3 +171,143 @@ def range_totals(points: DataFrame, intervals: DataFrame, point: str, start: str
     found = _running(asked.unionByName(edges, allowMissingColumns=True), keys, names, share, ranges)
     found = found.unionByName(p.where(f"NOT ({valid})").select("_row", *(F.lit(0).alias(n) for n in names)))
     return found.select(*(F.col("_row")[c].alias(c) for c in points.columns), *(F.col(n).alias(c) for n, c in zip(names, totals, strict=True)))
+
+
+def _two_least(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The least value of both and the next different one, where each has these two."""
+    low, high = np.minimum(a[0], b[0]), np.maximum(a[0], b[0])
+    return low, np.minimum(np.where(high > low, high, NONE), np.minimum(a[1], b[1]))
+
+
+def _nodes(first: np.ndarray, last: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, nodes), some at a time: the nodes of a binary tree over ``size`` leaves that together hold the leaves from first to before last of each place."""
+    left, right = first + size, last + size
+    while (left < right).any():
+        odd = np.flatnonzero((left < right) & (left & 1 == 1))
+        yield odd, left[odd]
+        left[odd] += 1
+        odd = np.flatnonzero((left < right) & (right & 1 == 1))
+        right[odd] -= 1
+        yield odd, right[odd]
+        left, right = left >> 1, right >> 1
+
+
+def least_overlapping(start: np.ndarray, end: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least value among the intervals that share a point with each interval, itself included, and the next different one; ``NONE`` if there is none.
+
+    In order of start, an interval holds the starts of a stretch of others. Its partners are those of the stretch, whose least values a tree over the order tells, and
+    the intervals whose stretches hold it, which leave their values at the tree's nodes.
+    """
+    order = np.argsort(start, kind="stable")
+    s, v, n = start[order], value[order], len(order)
+    first, last = np.searchsorted(s, s, "left"), np.searchsorted(s, end[order], "right")
+    size = 1 << max(n - 1, 0).bit_length()
+    low, high = np.full(2 * size, NONE), np.full(2 * size, NONE)
+    low[size : size + n] = v
+    at = size
+    while at > 1:
+        low[at // 2 : at], high[at // 2 : at] = _two_least((low[at : 2 * at : 2], high[at : 2 * at : 2]), (low[at + 1 : 2 * at : 2], high[at + 1 : 2 * at : 2]))
+        at //= 2
+    found, left_low, left_high = (np.full(n, NONE), np.full(n, NONE)), np.full(2 * size, NONE), np.full(2 * size, NONE)
+    for places, nodes in _nodes(first, last, size):
+        found[0][places], found[1][places] = _two_least((found[0][places], found[1][places]), (low[nodes], high[nodes]))
+        np.minimum.at(left_low, nodes, v[places])
+    for places, nodes in _nodes(first, last, size):
+        np.minimum.at(left_high, nodes, np.where(v[places] > left_low[nodes], v[places], NONE))
+    at = 1
+    while at < size:
+        above = np.repeat(left_low[at : 2 * at], 2), np.repeat(left_high[at : 2 * at], 2)
+        left_low[2 * at : 4 * at], left_high[2 * at : 4 * at] = _two_least((left_low[2 * at : 4 * at], left_high[2 * at : 4 * at]), above)
+        at *= 2
+    both = _two_least(found, (left_low[size : size + n], left_high[size : size + n]))
+    out = np.empty(n, np.int64), np.empty(n, np.int64)
+    out[0][order], out[1][order] = both
+    return out
+
+
+def _other(first: np.ndarray, second: np.ndarray, value: np.ndarray) -> pa.Array:
+    """The least value that isn't the own one, null if there is none."""
+    least = np.where(first == value, second, first)
+    return pa.array(least, pa.int64(), mask=least == NONE)
+
+
+def _overlapping(rows: DataFrame, keys: list[str], share: float, ranges: int) -> DataFrame:
+    """``rows`` (keys, _s, _e, _value) as keys, _value, _n and _least: how many rows of the key overlap those of the value, themselves included, and the least other value."""
+    edges = rows.select(*keys, F.col("_s").alias("_o")).unionByName(rows.select(*keys, F.col("_e").alias("_o")))
+    borders = F.broadcast(time_ranges(edges, keys, share, ranges))
+    place = lambda c: F.when(F.col("_borders").isNotNull(), F.size(F.filter("_borders", lambda b: b <= F.col(c)))).otherwise(0)
+    rows = rows.join(borders, keys, "left").withColumn("_first", place("_s")).withColumn("_last", place("_e"))
+    cell = [*keys, "_first", "_last"]
+
+    # of each heavy key and pair of ranges: the number of its rows and their two least values; ranges * ranges / 2 of a key at most
+    heavy = rows.where("_borders IS NOT NULL").select(*cell, "_value")
+    least = heavy.groupBy(*cell).agg(F.count(F.lit(1)).alias("_rows"), F.min("_value").alias("_low"))
+    further = heavy.join(F.broadcast(least), cell).where("_value > _low").groupBy(*cell).agg(F.min("_value").alias("_high"))
+    cells = least.join(F.broadcast(further), cell, "left")
+
+    def across(table: pa.Table) -> pa.Table:
+        """What rows of a cell have beyond the two ranges in which they start and end."""
+        first, last, n = (table.column(c).to_numpy() for c in ("_first", "_last", "_rows"))
+        starts, ends = (np.r_[0, np.cumsum(np.bincount(x, n, int(last.max()) + 1).astype(np.int64))] for x in (first, last))
+        high = table.column("_high")
+        value = np.r_[table.column("_low").to_numpy(), high.drop_null().to_numpy()]
+        told = high.is_valid().to_numpy()
+        v_first, v_last = np.r_[first, first[told]], np.r_[last, last[told]]
+        order = np.argsort(value, kind="stable")
+        value, v_first, v_last = value[order], v_first[order], v_last[order]
+        two = [[], []]
+        for a, b in zip(first.tolist(), last.tolist(), strict=True):
+            v = value[((v_first < a) & (v_last > a)) | ((v_first > a) & (v_first < b))]
+            next_ = v[v > v[0]] if len(v) else v
+            two[0].append(int(v[0]) if len(v) else None)
+            two[1].append(int(next_[0]) if len(next_) else None)
+        out = table.select(cell).append_column("_across", pa.array(starts[last] - ends[first]))
+        return out.append_column("_low", pa.array(two[0], pa.int64())).append_column("_high", pa.array(two[1], pa.int64()))
+
+    kinds = {f: f"`{f}` {rows.schema[f].dataType.simpleString()}" for f in [*cell, "_value"]}
+    around = cells.groupBy(*keys).applyInArrow(across, ", ".join([*(kinds[c] for c in cell), "_across long", "_low long", "_high long"]))
+
+    def within(table: pa.Table) -> pa.Table:
+        """Rows that start or end in a range, as far as they lie in it."""
+        s, e, value, first, last, own = (table.column(c).to_numpy() for c in ("_s", "_e", "_value", "_first", "_last", "_range"))
+        starts, ends = first == own, last == own
+        until = np.searchsorted(np.sort(s[starts]), e, "right")
+        before = np.searchsorted(np.sort(e[ends]), s, "left")
+        lowest, highest = (-np.inf, np.inf) if s.dtype.kind == "f" else (np.iinfo(np.int64).min, np.iinfo(np.int64).max)
+        low, high = least_overlapping(np.where(starts, s, lowest), np.where(ends, e, highest), value)
+        out = table.select([*cell, "_value"]).append_column("_starts", pa.array(starts))
+        return out.append_column("_n", pa.array(np.where(ends, until, 0) - np.where(starts, before, 0))).append_column("_least", _other(low, high, value))
+
+    local = rows.select(*cell, "_s", "_e", "_value", F.explode(F.array_distinct(F.array("_first", "_last"))).alias("_range"))
+    local = local.groupBy(*keys, "_range").applyInArrow(within, ", ".join([*kinds.values(), "_starts boolean", "_n long", "_least long"]))
+    joined = local.join(F.broadcast(around), cell, "left")
+    n = F.col("_n") + F.when(F.col("_starts"), F.coalesce("_across", F.lit(0))).otherwise(0)
+    return joined.groupBy(*keys, "_value").agg(F.sum(n).alias("_n"), F.min(F.least("_least", F.when(F.col("_low") == F.col("_value"), F.col("_high")).otherwise(F.col("_low")))).alias("_least"))
+
+
+def overlap_totals(rows: DataFrame, start: str, end: str, by: list[str], value: str, n: str, least: str, share: float = SHARE, ranges: int = RANGES) -> DataFrame:
+    """For each ``by`` and ``value``, how many pairs its intervals make with overlapping ones of the same ``by`` and another value, and the least such value.
+
+    That is what grouping an ``overlap_join`` of ``rows`` with itself gives, without its pairs: columns ``by``, ``value``, ``n`` and ``least``, where there is a pair. What overlaps an interval is what starts until
+    its end, less what ends before its start. For least values heavy keys are cut into ranges, as in ``range_totals``: a row meets the rows that start or end
+    in the two ranges of its own start and end, in a task for each, and of the others only the two least values of each pair of ranges. So the work
+    grows with the rows and their logarithm. A task holds the rows of one range, or of one key that isn't heavy; a time isn't parted.
+
+    Values are whole numbers. Nulls, NaN and reversed intervals as in ``range_join``; rows without a value match nothing. Values that several rows of a ``by`` share are counted
+    by a job while the plan is made, and so are their pairs with themselves.
+    """
+    by = list(by)
+    whole = _whole((rows, start), (rows, end))
+    keys, kind = [f"_k{i}" for i in range(len(by))], "long" if whole else "double"
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    r = rows.select(*(quoted(c).alias(k) for c, k in zip(by, keys, strict=True)), ordinal(rows, start).cast(kind).alias("_s"), ordinal(rows, end).cast(kind).alias("_e"), quoted(value).cast("long").alias("_value"))
+    r = r.where(" AND ".join([*(f"{k} IS NOT NULL" for k in keys), "_value IS NOT NULL", "_s <= _e"]))
+    found = _overlapping(r, keys, share, ranges)
+    own = F.lit(1)
+    twice = r.groupBy(*keys, "_value").count().where("count > 1").drop("count")
+    if not twice.isEmpty():
+        again = r.join(twice, [*keys, "_value"], "left_semi").withColumn("_own", F.col("_value"))
+        same = _overlapping(again, [*keys, "_own"], share, ranges).select(*keys, "_value", F.col("_n").alias("_same"))
+        found, own = found.join(same, [*keys, "_value"], "left"), F.coalesce("_same", F.lit(1))
+    found = found.withColumn("_n", F.col("_n") - own).where("_n > 0")
+    return found.select(*(F.col(k).alias(c) for k, c in zip(keys, by, strict=True)), F.col("_value").cast(rows.schema[value].dataType).alias(value), F.col("_n").alias(n), F.coalesce("_least", F.lit(int(NONE))).alias(least))

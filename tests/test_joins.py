@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from compare import same
 from tallyforge import plans
 from tallyforge.operators.asof_join import asof_join
-from tallyforge.operators.interval_join import overlap_join, range_join, range_totals
+from tallyforge.operators.interval_join import least_overlapping, overlap_join, overlap_totals, range_join, range_totals
 from tallyforge.operators.skew_join import HeavyHitters, heavy_keys, skew_join
 
 SF = "/root/testdata/sf0.01"
@@ -224,6 +224,37 @@ def test_overlaps_are_the_plain_ones(spark):
     assert overlap_join(df, df, "s", "e", "s", "e").count() >= sum(plain.values())
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 20), st.integers(0, 9), st.integers(-4, 9)), max_size=40))
+def test_least_values_of_overlaps(rows):
+    s, long, v = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+    low, high = least_overlapping(s, s + long, v)
+    for i, got in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+        values = sorted(set(v[(s <= s[i] + long[i]) & (s + long >= s[i])].tolist()))
+        assert got == tuple([*values, 2**63 - 1][:2])
+
+
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_totals_of_overlaps_are_those_of_the_pairs(spark, kind):
+    r = random.Random(41)
+    for repeated in (1, 3):  # values of one row, and of several
+        rows = [(r.choice([1] * 12 + [2, 3, None]), s, s + r.choice([-1, 0, 0, 1, 9, 40, 200]), r.choice([None, *[i // repeated] * 9])) for i in range(240) for s in [r.choice([50, 50, None, *range(200)])] if s is not None]
+        df = spark.createDataFrame([(k, s * (1 if kind == "long" else 0.5), e * (1 if kind == "long" else 0.5), v) for k, s, e, v in rows], f"k int, s {kind}, e {kind}, v long").repartition(3)
+        got = overlap_totals(df, "s", "e", ["k"], "v", "n", "least", share=0.2, ranges=8)
+        pairs = overlap_join(df, df, "s", "e", "s", "e", ["k"]).where("v <> v_right").groupBy("k", "v").agg(F.count("s"), F.min("v_right"))
+        assert got.columns == ["k", "v", "n", "least"]
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.collect())) != []
+    assert overlap_totals(df.limit(0), "s", "e", ["k"], "v", "n", "least").count() == 0
+
+
+def test_the_query_of_overlaps_has_every_user(spark):
+    """The user with a third of the orders too, without making their pairs."""
+    found = plans.QUERIES["join_overlap"](spark, SF)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bin" not in plan and "_level" not in plan
+    assert found.where("o_orderkey % 3 = 0").count() == plans.joins.orders(spark, SF).where("o_orderkey % 3 = 0").count()
+
+
 def test_no_nested_loop_in_the_plan(spark, without_adaptive):
     for name in ("join_range", "join_overlap"):
         plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
