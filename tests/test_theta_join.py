@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from compare import same
 from tallyforge import plans
@@ -80,6 +81,22 @@ def test_few_rows_are_compared(spark):
     assert 0 < compared < 0.05 * 4000**2
 
 
+def test_pairs_of_one_node_reach_many_tasks(spark):
+    """All rows of one side below all of the other meet in one node; its pairs are the product of the sides."""
+    a = spark.range(8500).selectExpr("id AS x", "id AS y")
+    b = a.selectExpr("x + 8500 AS u", "y + 8500 AS v")
+    made = [r["count"] for r in theta_join(a, b, ("x", "<", "u"), ("y", "<", "v")).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == 8500**2 and max(made) < 0.4 * 8500**2
+
+
+def test_stripes_of_one_value(spark):
+    """Stripes whose bounds tell that all of their pairs hold, or none."""
+    a, b = (spark.range(600).selectExpr("id % 6 AS x", "id % 5 AS y", f"id AS {i}") for i in "ij")
+    for op, n in (("<", 15 * 10), ("<=", 21 * 15)):
+        met = [(r["i"], r["j"]) for r in theta_join(a, b, ("x", op, "x"), ("y", op, "y")).collect()]
+        assert len(set(met)) == len(met) == n * 20**2
+
+
 def test_empty_sides_and_wrong_conditions(spark):
     a = spark.range(5).selectExpr("id AS x", "id AS y")
     assert theta_join(a.limit(0), a, ("x", "<", "x"), ("y", "<", "y")).count() == theta_join(a, a.limit(0), ("x", "<", "x"), ("y", "<", "y")).count() == 0
