@@ -74,26 +74,35 @@ def told(n: int) -> int:
     return 1 + n * HEAD.numerator // HEAD.denominator
 
 
+class _Words(dict):
+    """Hashes of words, made when first asked for: a text's words are looked up once, without a set of them."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not tokens:
         return np.zeros(0, np.uint64)
-    known = worker_cache(("shingles",))
+    cache = worker_cache(("shingles",))
+    known = cache.setdefault("words", _Words())
     if len(known) > CACHED_WORDS:
         known.clear()
-    for w in set(tokens).difference(known):
-        known[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
     k = min(words, len(h))
     n = len(h) - k + 1
     total = np.full(n, k, np.uint64)
     for i in range(k):
-        total = total * _A + h[i : i + n]
+        total *= _A
+        total += h[i : i + n]
     total ^= total >> np.uint64(29)
     total *= _B
     total ^= total >> np.uint64(32)
-    return np.unique(total)
+    total.sort()
+    return total[shared_shingles.heads(total)]
 
 
 def head(s: np.ndarray) -> np.ndarray:

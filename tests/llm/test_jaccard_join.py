@@ -59,6 +59,19 @@ def test_heads_of_partners_share_enough(base, more, less):
         assert len(heads[0] & heads[1]) >= jaccard_join.told(jaccard_join.needed(len(s)))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", "b", "c", "d"]), max_size=40), st.integers(1, 5))
+def test_words_are_hashed_once(text, k):
+    """Sets are sorted and distinct, as many as the plain ones, and a worker hashes a word only when it is new."""
+    known = jaccard_join._Words()
+    assert len({known[w] for w in map(str.encode, text)}) == len(known) == len(set(text))
+    words = [w.lower() for w in text]
+    size = min(k, len(words))
+    plain = {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()
+    found = jaccard_join.shingles(" ".join(text), k)
+    assert len(found) == len(plain) and found.tolist() == sorted(set(found.tolist()))
+
+
 @pytest.mark.parametrize("batch", [(1_000_000, 60_000), (40, 3)])
 def test_shared_shingles_across_batches(spark, monkeypatch, batch):
     monkeypatch.setattr(shared_shingles, "BATCH_SHINGLES", batch[0])
